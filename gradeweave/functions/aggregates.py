@@ -12,6 +12,11 @@ def first_seen(value: str | Column, *order: str) -> Column:
     return F.min_by(value, by)
 
 
+def commonest(value: str, count: str, order: str) -> Column:
+    """Value with the largest count, the first-seen of equals, over counted values."""
+    return F.max_by(value, F.struct(F.col(count), -F.col(order)))
+
+
 def mode_first_seen(
     df: DataFrame, keys: list[str], value: str, count: str = "n", order: str = "first_ord"
 ) -> DataFrame:
@@ -23,7 +28,7 @@ def mode_first_seen(
     """
     counted = df.groupBy(*keys, value).agg(F.sum(count).alias("_n"), F.min(order).alias("_ord"))
     return counted.groupBy(*keys).agg(
-        F.max_by(value, F.struct(F.col("_n"), -F.col("_ord"))).alias(value),
+        commonest(value, "_n", "_ord").alias(value),
         F.sum("_n").alias(count),
         F.min("_ord").alias(order),
     )

@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space skipped around numbers, and the accepted number forms.
+# White space skipped around numbers, and the accepted number
+# forms: an optional sign in front, or a sign behind.
 NUMBER_SPACE = "\t\n\x0b\x0c\r "
-SIGN_IN_FRONT = r"^[+-]?(\d[\d,]*\.?\d*|\.\d+)$"
-SIGN_BEHIND = r"^(\d[\d,]*\.?\d*|\.\d+)[\t-\r ]*[+-]$"
+DIGITS = r"(\d[\d,]*\.?\d*|\.\d+)"
+NUMBER = rf"^([+-]?{DIGITS}|{DIGITS}[\t-\r ]*[+-])$"
 
 
-def parse_score(c: Column, precision: int = 18, scale: int = 6) -> Column:
-    """Decimal value of a score cell, or null when the cell is no plain number.
-
-    Accepts a sign on either side and thousands commas; no exponent,
-    parentheses or currency sign. A value too large for the type gives null,
-    so raise ``precision`` for such sheets.
-    """
-    target = f"decimal({precision},{scale})"
-    text = F.btrim(c, F.lit(NUMBER_SPACE))
-    digits = F.replace(text, F.lit(","))
+def is_number(c: Column) -> Column:
+    """Whether a cell is a plain number: a sign on either side and thousands
+    commas are allowed; no exponent, parentheses or currency sign."""
+    return F.rlike(F.btrim(c, F.lit(NUMBER_SPACE)), F.lit(NUMBER))
+
+
+def number_value(c: Column, precision: int = 18, scale: int = 6) -> Column:
+    """Decimal value of a cell known to be a number. A value too large for the
+    type gives null, so raise ``precision`` for such sheets."""
+    text = F.btrim(F.replace(c, F.lit(",")), F.lit(NUMBER_SPACE))
     sign = F.substring(text, -1, 1)
-    body = F.btrim(digits, F.lit(NUMBER_SPACE + "+-"))
-    return (
-        F.when(F.rlike(text, F.lit(SIGN_IN_FRONT)), digits.try_cast(target))
-        .when(F.rlike(text, F.lit(SIGN_BEHIND)), F.concat(sign, body).try_cast(target))
-        .otherwise(F.lit(None).cast(target))
-    )
+    in_front = F.concat(sign, F.btrim(text, F.lit(NUMBER_SPACE + "+-")))
+    return F.when(sign.isin("+", "-"), in_front).otherwise(text).try_cast(f"decimal({precision},{scale})")
+
+
+def parse_score(c: Column, precision: int = 18, scale: int = 6) -> Column:
+    """Decimal value of a score cell, or null when the cell is no plain number."""
+    return F.when(is_number(c), number_value(c, precision, scale))
 
 
 def mean(total: Column, count: Column) -> Column:

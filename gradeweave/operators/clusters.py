@@ -89,7 +89,7 @@ def _earliest_taker(members: DataFrame, heads: DataFrame) -> DataFrame:
 
 def first_takers(identities: DataFrame) -> DataFrame:
     """Each pair with the earliest pair whose sets hold it, itself at the latest."""
-    pairs, classes, members, _ = _prepare(identities)
+    pairs, classes, members = _prepare(identities)
     taken = _earliest_taker(members, classes)
     heads = pairs.select(
         F.col("pair").alias("taker"),
@@ -103,11 +103,10 @@ def first_takers(identities: DataFrame) -> DataFrame:
 def _prepare(identities: DataFrame):
     graph = name_graph(distinct_names(identities))
     owners = materialize(name_owners(graph), "name-owners")
-    pairs = materialize(name_pairs(identities), "name-pairs")
-    placed = materialize(_placed(pairs, owners), "placed-pairs")
-    classes = materialize(class_keys(placed), "class-keys")
+    placed = materialize(_placed(name_pairs(identities), owners), "placed-pairs")
+    classes = class_keys(placed)
     members = materialize(member_keys(placed, graph.links, classes), "member-keys")
-    return pairs, classes, members, owners
+    return placed, classes, members
 
 
 def _settle(classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -132,7 +131,7 @@ def _settle(classes: DataFrame, members: DataFrame) -> DataFrame:
 
 def name_clusters(identities: DataFrame) -> DataFrame:
     """Each pair with its leader: first_name, last_name, pair, n, leader."""
-    pairs, classes, members, _ = _prepare(identities)
+    pairs, classes, members = _prepare(identities)
     leaders = _settle(classes, members)
     taken = _earliest_taker(members, classes.join(leaders, "pair", "left_semi"))
     return pairs.join(taken.withColumnRenamed("taker", "leader"), "pair").select(*PAIR, "pair", "n", "leader")

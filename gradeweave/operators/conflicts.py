@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.functions.aggregates import mode_first_seen
+from gradeweave.functions.aggregates import commonest
 
 TERM = ["student_identifier", "semester"]
+STANDING, EMPHASIS = "class_standing", "emphasis"
 
 
-def attribute_conflicts(profiles: DataFrame, attribute: str) -> DataFrame:
-    """Terms of a student with several values, and the commonest of them.
+def attribute_conflicts(profiles: DataFrame, attributes: list[str]) -> DataFrame:
+    """Terms of a student with several values of an attribute, and the
+    commonest: student_identifier, semester, attribute, n_values, value.
 
     Values that differ only in case are one value for finding a conflict, but
     not for choosing; a missing value counts in both.
     """
-    value = F.col(attribute)
-    counted = profiles.groupBy(*TERM, attribute).agg(
-        F.sum("n").alias("n"), F.min("first_ord").alias("first_ord")
+    listed = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes])
+    values = profiles.select(*TERM, "n", "first_ord", F.inline(listed))
+    keys = [*TERM, "attribute"]
+    spelled = values.groupBy(*keys, "value").agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
+    folded = F.struct(F.upper("value"))  # a struct is counted even when its field is missing
+    found = spelled.groupBy(*keys).agg(
+        F.count_distinct(folded).alias("n_values"), commonest("value", "n", "first_ord").alias("value")
     )
-    several = counted.groupBy(*TERM).agg(
-        (F.count_distinct(F.upper(value)) + F.max(value.isNull().cast("int"))).alias("n_values")
-    ).where("n_values > 1")
-    commonest = mode_first_seen(profiles, TERM, attribute)
-    joined = several.alias("s").join(
-        commonest.alias("m"),
-        F.col("s.student_identifier").eqNullSafe(F.col("m.student_identifier"))
-        & F.col("s.semester").eqNullSafe(F.col("m.semester")),
-    )
-    return joined.select("s.student_identifier", "s.semester", "s.n_values", f"m.{attribute}")
+    return found.where("n_values > 1")
+
+
+def _of(profiles: DataFrame, attribute: str) -> DataFrame:
+    return attribute_conflicts(profiles, [attribute]).select(*TERM, "n_values", F.col("value").alias(attribute))
 
 
 def multiple_standings(profiles: DataFrame) -> DataFrame:
-    return attribute_conflicts(profiles, "class_standing")
+    return _of(profiles, STANDING)
 
 
 def multiple_emphases(profiles: DataFrame) -> DataFrame:
-    return attribute_conflicts(profiles, "emphasis")
+    return _of(profiles, EMPHASIS)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.functions.numbers import parse_score
+from gradeweave.functions.numbers import is_number, number_value
 from gradeweave.functions.text import (
     NBSP,
     WHITE_SPACE,
@@ -128,17 +128,21 @@ def sheet_rows(sheet: Sheet, layout: Layout) -> DataFrame:
 
 def keep_named(rows: DataFrame) -> DataFrame:
     """Drop rows without any name."""
-    return rows.where(~is_blank(F.col("student_identifier")))
+    return rows.where(~(_is_empty("first_name") & _is_empty("last_name")))
 
 
-def _bad_semester():
-    semester = F.col("semester")
-    return is_blank(semester) | ~F.contains(semester, F.lit(" "))
+def _is_empty(attribute: str):
+    """Whether a cleaned attribute is missing."""
+    return text_or_empty(F.col(attribute)) == ""
+
+
+def _has_term():
+    return F.contains(text_or_empty(F.col("semester")), F.lit(" "))
 
 
 def keep_dated(rows: DataFrame) -> DataFrame:
     """Drop rows whose semester is blank or a single word."""
-    return rows.where(~_bad_semester())
+    return rows.where(_has_term())
 
 
 def keep_scored(rows: DataFrame, layout: Layout) -> DataFrame:
@@ -161,7 +165,7 @@ def row_diagnostics(named: DataFrame) -> DataFrame:
         return F.when(problem, F.struct(F.lit(field).alias("field"), row.alias("message")))
 
     findings = [
-        finding(field, is_blank(F.col(field)), F.lit(f"{NAME_HEADERS[field]} is missing"))
+        finding(field, _is_empty(field), F.lit(f"{NAME_HEADERS[field]} is missing"))
         for field in ("first_name", "last_name", "class_standing", "emphasis")
     ]
     quoted = F.concat(
@@ -169,7 +173,7 @@ def row_diagnostics(named: DataFrame) -> DataFrame:
         text_or_empty(F.col("semester")),
         F.lit("'; skipping row."),
     )
-    findings.append(finding("semester", _bad_semester(), quoted))
+    findings.append(finding("semester", ~_has_term(), quoted))
     present = F.filter(F.array(*findings), lambda f: f.isNotNull())
     return named.select(ROW_NO, F.inline(present))
 
@@ -195,8 +199,10 @@ def unpivot_scores(rows: DataFrame, layout: Layout) -> DataFrame:
 
 
 def numeric_scores(cells: DataFrame) -> DataFrame:
-    """Keep cells that hold a number."""
-    return cells.withColumn("score", parse_score(F.col("raw"))).where(F.col("score").isNotNull())
+    """Keep cells that hold a number. The form is tested before the value is
+    taken, so that the pattern is matched once per cell."""
+    numbers = cells.where(is_number(F.col("raw")))
+    return numbers.withColumn("score", number_value(F.col("raw"))).where(F.col("score").isNotNull())
 
 
 def usable_rows(sheet: Sheet, layout: Layout) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.operators.cells import identities, profile, score_cells
 from gradeweave.operators.clusters import canonical_names, misspelled_pairs, name_clusters
-from gradeweave.operators.conflicts import attribute_conflicts
+from gradeweave.operators.conflicts import EMPHASIS, STANDING, attribute_conflicts
 from gradeweave.operators.messages import message_rows, union_messages
 from gradeweave.operators.name_swaps import swap_map
 from gradeweave.schema import IDENTITY
@@ -67,8 +67,8 @@ def _name_map(swaps: DataFrame, rules: Rules) -> DataFrame:
     """Each identity with its final identifier and names (``*_2``) and, where
     the spelling changed, ``spelling_id``."""
     if rules.misspellings:
-        wrong = misspelled_pairs(canonical_names(name_clusters(_repaired_identities(swaps))))
-        wrong = materialize(wrong, "misspelled").select(
+        clusters = materialize(name_clusters(_repaired_identities(swaps)), "name-clusters")
+        wrong = misspelled_pairs(canonical_names(clusters)).select(
             F.col("first_name").alias("first_name_1"), F.col("last_name").alias("last_name_1"),
             F.col("canonical_first_name").alias("_first"), F.col("canonical_last_name").alias("_last"),
             F.col("canonical_identifier").alias("spelling_id"),
@@ -110,7 +110,7 @@ class Findings:
 def find_corrections(profiles: DataFrame, rules: Rules = Rules()) -> Findings:
     """Run the rules over profiles (see ``profile``)."""
     swaps = materialize(_swapped(profiles, rules), "swaps")
-    names = materialize(_name_map(swaps, rules), "name-map")
+    names = _name_map(swaps, rules)
 
     renamed = profiles.alias("p").join(names.alias("m"), null_safe("p", "m", IDENTITY)).select(
         *[f"p.{c}" for c in IDENTITY], "p.semester", "p.class_standing", "p.emphasis", "p.n", "p.first_ord",
@@ -125,20 +125,25 @@ def find_corrections(profiles: DataFrame, rules: Rules = Rules()) -> Findings:
     )
     messages = _name_messages(renamed)
     fixes = renamed.select(*TERM_IDENTITY, *[f"{c}_2" for c in IDENTITY]).distinct()
-    for kind, attribute, on in (
-        ("standing", "class_standing", rules.standings),
-        ("emphasis", "emphasis", rules.emphases),
-    ):
+    active = {
+        "standing": (STANDING, rules.standings),
+        "emphasis": (EMPHASIS, rules.emphases),
+    }
+    attributes = [a for a, on in active.values() if on]
+    conflicts = None
+    if attributes:
+        conflicts = materialize(attribute_conflicts(final, attributes), "conflicts")
+    for kind, (attribute, on) in active.items():
         flag, value = f"fix_{attribute}", f"new_{attribute}"
         if not on:
             fixes = fixes.withColumn(flag, F.lit(None).cast("boolean"))
             fixes = fixes.withColumn(value, F.lit(None).cast("string"))
             continue
-        conflicts = materialize(attribute_conflicts(final, attribute), f"conflicts-{attribute}")
-        messages.append(message_rows(conflicts, kind, "student_identifier", attribute))
-        found = conflicts.select(
+        here = conflicts.where(F.col("attribute") == attribute)
+        messages.append(message_rows(here, kind, "student_identifier", "value"))
+        found = here.select(
             F.col("student_identifier").alias("_id"), F.col("semester").alias("_semester"),
-            F.col(attribute).alias(value), F.lit(True).alias(flag),
+            F.col("value").alias(value), F.lit(True).alias(flag),
         )
         at = F.col("student_identifier_2").eqNullSafe(F.col("_id")) & F.col("semester").eqNullSafe(F.col("_semester"))
         fixes = fixes.join(found, at, "left").drop("_id", "_semester")

@@ -75,7 +75,7 @@ def score_sheet_wide(spark: SparkSession, sf_dir: str) -> Sheet:
     forms = (
         table(spark, sf_dir, "orders")
         .join(segments, "o_custkey", "left")
-        .join(quantities, "o_orderkey", "left")
+        .join(quantities.hint("merge"), "o_orderkey", "left")  # two fact tables: never a broadcast
     )
 
     k, c = F.col("o_orderkey"), F.col("o_custkey")
