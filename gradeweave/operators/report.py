@@ -61,9 +61,13 @@ def cell_text() -> Column:
 def report_pivot(cells: DataFrame, semesters: list[str] | None = None) -> DataFrame:
     """Assessments down, semesters across: own average by student.
 
-    The columns are ``semesters``, or all that occur; Spark refuses more than
-    ``spark.sql.pivotMaxValues`` of them.
+    The columns are ``semesters``, and any other semester is an error; or all
+    that occur, of which Spark refuses more than ``spark.sql.pivotMaxValues``.
     """
+    if semesters:
+        semester = F.col("semester")
+        unlisted = F.raise_error(F.concat(F.lit("Semester not listed: "), semester))
+        cells = cells.withColumn("semester", F.when(semester.isin(semesters), semester).otherwise(unlisted))
     grouped = cells.groupBy("student_identifier", "score_name")
     pivoted = grouped.pivot("semester", semesters) if semesters else grouped.pivot("semester")
     wide = pivoted.agg(F.first("yours"))

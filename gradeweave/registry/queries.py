@@ -26,7 +26,7 @@ from gradeweave.operators.cells import identities, profile, score_cells
 from gradeweave.plans import report_job as job
 from gradeweave.plans import validate as val
 from gradeweave.session import materialize, scratch_root
-from gradeweave.sources.order_sheet import HEADER, score_sheet_wide
+from gradeweave.sources.order_sheet import HEADER, score_sheet_wide, table
 from gradeweave.sources.sheets import ROW_NO, Sheet, cell, read_csv_sheet, write_csv_sheet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,7 +248,12 @@ def report_grid(spark, sf_dir):
 
 @register
 def report_pivot(spark, sf_dir):
-    return rep.report_pivot(materialize(report_cells_of(spark, sf_dir), "report-cells"))
+    """Columns for all terms of the years the orders span."""
+    date = F.year("o_orderdate")
+    span = table(spark, sf_dir, "orders").agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
+    terms = ("Spring", "New Student Fall", "Fall")
+    semesters = [f"{term} {year}" for year in range(span["first"], span["last"] + 1) for term in terms]
+    return rep.report_pivot(report_cells_of(spark, sf_dir), semesters)
 
 
 @register

@@ -36,7 +36,7 @@ def differences(con, spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = Counter(tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect())
-    rel = con.execute(ORACLE[name])
+    rel = con.cursor().execute(ORACLE[name])
     heads = [d[0] for d in rel.description]
     types = {d[0]: str(d[1]).replace(" ", "") for d in rel.description}
     rows = rel.fetchall()

@@ -1,5 +1,7 @@
 """The known cases of name repair, and hand-made cases for the other rules."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from gradeweave.plans.validate import (
@@ -47,20 +49,31 @@ NAME_CASES = {
 }
 
 
+@pytest.fixture(scope="module")
+def repaired_cases(scores_of):
+    """All cases at once: each is many small jobs, so they run side by side."""
+
+    def repair(case):
+        before = scores_of(pairs(NAME_CASES[case][0]))
+        result = validate_scores(before)
+        return case, (before.orderBy("ord").collect(), *outcome(result), result.messages.collect())
+
+    with ThreadPoolExecutor(len(NAME_CASES)) as pool:
+        return dict(pool.map(repair, NAME_CASES))
+
+
 @pytest.mark.parametrize("case", NAME_CASES)
-def test_name_cases(scores_of, case):
-    names, n_messages, expected = NAME_CASES[case]
-    before = scores_of(pairs(names))
-    rows, messages = outcome(validate_scores(before))
+def test_name_cases(repaired_cases, case):
+    _, n_messages, expected = NAME_CASES[case]
+    before, rows, messages, _ = repaired_cases[case]
     assert len(messages) == n_messages
     assert [(r.first_name, r.last_name) for r in rows] == expected
     if not n_messages:
-        assert rows == before.orderBy("ord").collect()
+        assert rows == before
 
 
-def test_message_text_and_keys(scores_of):
-    result = validate_scores(scores_of(pairs(NAME_CASES["plural"][0])))
-    (m,) = result.messages.collect()
+def test_message_text_and_keys(repaired_cases):
+    (m,) = repaired_cases["plural"][3]
     assert m.message == (
         "Student Eric Wood has potential misspelled name Eric Woods in semester Spring 2019; using Eric Wood"
     )
@@ -120,38 +133,30 @@ def test_dash_prevails_over_flip_and_names_the_flipped_identifier(scores_of):
     ]
 
 
-def one_student(attribute, values):
-    return [{"first": "Ann", "last": "Lee", attribute: v} for v in values]
-
-
-@pytest.mark.parametrize(
-    ("values", "chosen"),
-    [
-        (["4 - Senior", "3 - Junior", "4 - Senior"], "4 - Senior"),
-        (["3 - Junior", "4 - Senior"], "3 - Junior"),  # tie: first seen
-        (["b", "a", "a", "b"], "b"),
-        ([None, None, "4 - Senior"], None),  # a missing value can win
-        ([None, "4 - Senior"], None),
-    ],
-)
-def test_standing_conflict(scores_of, values, chosen):
-    rows, messages = outcome(resolve_standing(scores_of(one_student("standing", values))))
-    assert {r.class_standing for r in rows} == {chosen}
-    assert messages == [
-        f"Student Ann Lee has multiple class standings for semester Spring 2019; picking {chosen or ''}"
-    ]
+STANDINGS = {  # student: values in order, the value chosen, whether it is a conflict
+    "Majority": (["4 - Senior", "3 - Junior", "4 - Senior"], ["4 - Senior"] * 3, True),
+    "Tie": (["3 - Junior", "4 - Senior"], ["3 - Junior"] * 2, True),
+    "Late": (["b", "a", "a", "b"], ["b"] * 4, True),
+    "Missing": ([None, None, "4 - Senior"], [None] * 3, True),
+    "Gap": ([None, "4 - Senior"], [None] * 2, True),
+    "Case": (["4 - senior", "4 - Senior", "4 - Senior"], ["4 - senior", "4 - Senior", "4 - Senior"], False),
+    "Apart": (["4 - senior", "4 - Senior", "3 - Junior", "3 - Junior"], ["3 - Junior"] * 4, True),
+}
 
 
-def test_standing_case_difference_alone_is_no_conflict(scores_of):
-    before = scores_of(one_student("standing", ["4 - senior", "4 - Senior", "4 - Senior"]))
-    rows, messages = outcome(resolve_standing(before))
-    assert messages == [] and [r.class_standing for r in rows] == ["4 - senior", "4 - Senior", "4 - Senior"]
+def test_standing_conflicts(scores_of):
+    rows = [{"first": s, "last": "Lee", "standing": v} for s, (values, _, _) in STANDINGS.items() for v in values]
+    fixed, messages = outcome(resolve_standing(scores_of(rows)))
+    for student, (_, chosen, _) in STANDINGS.items():
+        assert [r.class_standing for r in fixed if r.first_name == student] == chosen, student
+    assert messages == sorted(
+        f"Student {s} Lee has multiple class standings for semester Spring 2019; picking {chosen[0] or ''}"
+        for s, (_, chosen, conflict) in STANDINGS.items() if conflict
+    )
 
 
-def test_standing_mode_keeps_case_apart(scores_of):
-    values = ["4 - senior", "4 - Senior", "3 - Junior", "3 - Junior"]
-    rows, _ = outcome(resolve_standing(scores_of(one_student("standing", values))))
-    assert {r.class_standing for r in rows} == {"3 - Junior"}
+def one_student(attribute, values):
+    return [{"first": "Ann", "last": "Lee", attribute: v} for v in values]
 
 
 def test_emphasis_conflict_is_per_semester(scores_of):

@@ -210,6 +210,8 @@ def test_documents_are_json(spark, scores_of):
     wide = {(r.student_identifier, r.score_name): r for r in report_pivot(table).collect()}
     assert wide["Ann Lee", "Oral"]["New Student Fall 2019"] == "2.5"
     assert wide["Ann Lee", "Oral"]["Spring 2019"] == "N/A"
+    with pytest.raises(Exception, match="Semester not listed"):
+        report_pivot(table, ["Spring 2019"]).collect()
 
     many = spark.range(1000).select(F.pmod(F.col("id") * 37, F.lit(1000)).alias("v"), (F.col("id") % 2).alias("hot"))
     placed = global_position(many, ["hot", "v"], "pos")
