@@ -12,6 +12,18 @@ def first_seen(value: str | Column, *order: str) -> Column:
     return F.min_by(value, by)
 
 
+def per_key(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """One row per key, for joining back to rows of which one key may hold most.
+
+    Grouping by the keys as one struct leaves a shuffle of its own between this
+    result and the join. Only then can the adaptive skew join split a hot key of
+    the other side; grouped by the join keys themselves, it could not.
+    """
+    grouped = df.groupBy(F.struct(*keys).alias("_key")).agg(*aggregates)
+    values = [c for c in grouped.columns if c != "_key"]
+    return grouped.select(*[F.col("_key")[k].alias(k) for k in keys], *values)
+
+
 def commonest(value: str, count: str, order: str) -> Column:
     """Value with the largest count, the first-seen of equals, over counted values."""
     return F.max_by(value, F.struct(F.col(count), -F.col(order)))

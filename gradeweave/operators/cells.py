@@ -23,6 +23,15 @@ def score_cells(scores: DataFrame) -> DataFrame:
     )
 
 
+def as_cells(scores: DataFrame) -> DataFrame:
+    """Each score as a cell of its own, for a single fold that needs no cells between."""
+    return scores.select(
+        *CELL_KEYS,
+        F.col("score").alias("score_sum"), F.lit(1).cast("bigint").alias("score_count"),
+        F.col("ord").alias("first_ord"),
+    )
+
+
 def merge_cells(cells: DataFrame) -> DataFrame:
     """Fold cells again after their attributes were repaired."""
     return cells.groupBy(*CELL_KEYS).agg(

@@ -20,7 +20,7 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.functions.aggregates import mode_first_seen
+from gradeweave.functions.aggregates import mode_first_seen, per_key
 from gradeweave.functions.text import full_name
 from gradeweave.operators.likeness import PARTS, distinct_names, name_graph, name_owners
 from gradeweave.session import materialize
@@ -77,13 +77,13 @@ def member_keys(placed: DataFrame, links: DataFrame, met: DataFrame) -> DataFram
         own = out.withColumn(f"{part}_half", F.col(f"{part}_block"))
         out = own.unionByName(out.join(through, f"{part}_node"))
     keys = ["first_half", "last_half"]
-    return out.join(met.select(*keys).distinct(), keys, "left_semi").select("pair", *keys)
+    return out.join(per_key(met, keys, F.min("pair")), keys, "left_semi").select("pair", *keys)
 
 
 def _earliest_taker(members: DataFrame, heads: DataFrame) -> DataFrame:
     """Per member pair, the earliest of ``heads`` (pair, first_half, last_half) it meets."""
     keys = ["first_half", "last_half"]
-    least = heads.groupBy(*keys).agg(F.min("pair").alias("taker"))
+    least = per_key(heads, keys, F.min("pair").alias("taker"))
     return members.join(least, keys).groupBy("pair").agg(F.min("taker").alias("taker"))
 
 

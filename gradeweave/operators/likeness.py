@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeweave.functions.aggregates import per_key
 from gradeweave.functions.text import is_blank, sound_code, sounds_or_looks_alike
 from gradeweave.session import materialize
 
@@ -201,14 +202,14 @@ def _covered_within_block(graph: NameGraph) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit("salt"), F.col("linked"))).alias("print_2"),
     )
     by = ["block", "links", "print_1", "print_2"]
-    heads = classes.groupBy(*by).agg(F.max("node").alias("head"))
-    followers = classes.join(heads, by).where("node < head").select("node")
+    heads = classes.groupBy(*by).agg(F.max("node").alias("node"))
+    followers = classes.select("node").join(heads.select("node"), "node", "left_anti")
 
-    head_nodes = heads.select(F.col("head").alias("node"), F.col("links").alias("head_links"))
+    head_nodes = heads.select("node", F.col("links").alias("head_links"))
     head_links = materialize(
         links.select("node", "block", "linked").join(head_nodes, "node"), "class-links"
     )
-    sharing = head_links.groupBy("block", "linked").agg(F.count(F.lit(1)).alias("sharing"))
+    sharing = per_key(head_links, ["block", "linked"], F.count(F.lit(1)).alias("sharing"))
     rarest = (
         head_links.join(sharing, ["block", "linked"])
         .groupBy("block", F.col("node").alias("inner"), F.col("head_links").alias("inner_links"))
@@ -246,7 +247,7 @@ def _covered_across_blocks(graph: NameGraph) -> DataFrame:
     is never longer than the outer node's links.
     """
     nodes, links = graph.nodes, graph.links
-    reach = links.groupBy("node", "linked_block").agg(F.count(F.lit(1)).alias("reach"))
+    reach = per_key(links, ["node", "linked_block"], F.count(F.lit(1)).alias("reach"))
     size = nodes.select("node", "links", "set_size")
     inner = size.toDF("inner", "inner_links", "inner_size")
     outer = size.toDF("outer", "outer_links", "outer_size")

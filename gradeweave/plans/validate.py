@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.operators.cells import identities, profile, score_cells
+from gradeweave.operators.cells import as_cells, identities, profile
 from gradeweave.operators.clusters import canonical_names, misspelled_pairs, name_clusters
 from gradeweave.operators.conflicts import EMPHASIS, STANDING, attribute_conflicts
 from gradeweave.operators.messages import message_rows, union_messages
@@ -176,7 +176,7 @@ def apply_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def stored_profile(scores: DataFrame) -> DataFrame:
-    return materialize(profile(score_cells(scores)), "profiles")
+    return materialize(profile(as_cells(scores)), "profiles")
 
 
 def validate_scores(scores: DataFrame, rules: Rules = Rules()) -> Validation:

@@ -22,7 +22,7 @@ from gradeweave.operators import likeness as lik
 from gradeweave.operators import name_swaps as swp
 from gradeweave.operators import ordering as odr
 from gradeweave.operators import report as rep
-from gradeweave.operators.cells import identities, profile, score_cells
+from gradeweave.operators.cells import as_cells, identities, profile, score_cells
 from gradeweave.plans import report_job as job
 from gradeweave.plans import validate as val
 from gradeweave.session import materialize, scratch_root
@@ -64,11 +64,17 @@ def scores_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_cells(scores_of(spark, sf_dir))
+    """Scores as cells: for queries that fold them once."""
+    return as_cells(scores_of(spark, sf_dir))
+
+
+def stored_cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded cells: for queries that use them more than once."""
+    return materialize(score_cells(scores_of(spark, sf_dir)), "cells")
 
 
 def profiles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(profile(cells_of(spark, sf_dir)), "profiles")
+    return val.stored_profile(scores_of(spark, sf_dir))
 
 
 def identities_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +197,7 @@ def semester_sort_keys(spark, sf_dir):
 
 @register
 def run_counts(spark, sf_dir):
-    cells = materialize(cells_of(spark, sf_dir), "cells")
+    cells = stored_cells_of(spark, sf_dir)
     return job.run_counts(cells, avg.current_students(cells, SEMESTER))
 
 
@@ -214,7 +220,7 @@ def with_double_average(df: DataFrame) -> DataFrame:
 
 
 def report_cells_of(spark, sf_dir) -> DataFrame:
-    cells = cells_of(spark, sf_dir)
+    cells = stored_cells_of(spark, sf_dir)
     return avg.report_cells(averages_of(cells), avg.cohort_average(cells))
 
 

@@ -92,3 +92,33 @@ def test_sound_code(spark):
     assert got == {n: sound(n) for n in got}
     (missing,) = spark.sql("select cast(null as string) n").select(sound_code(F.col("n")).alias("c")).collect()
     assert missing.c == "0000"
+
+
+def test_hot_key_is_split(spark):
+    """A key that holds most members is split by the adaptive skew join."""
+    from gradeweave.operators.clusters import _earliest_taker
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        half = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 97))
+        members = spark.range(0, 60000, 1, 8).select(
+            F.col("id").alias("pair"), half.alias("first_half"), F.lit("x").alias("last_half"))
+        taken = _earliest_taker(members, members)
+        assert taken.where("taker = 1").count() == 40000
+        counted = taken.groupBy("taker").count()
+        counted.collect()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
