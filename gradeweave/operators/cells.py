@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeweave.schema import IDENTITY, PROFILE
 
@@ -24,10 +25,13 @@ def score_cells(scores: DataFrame) -> DataFrame:
 
 
 def as_cells(scores: DataFrame) -> DataFrame:
-    """Each score as a cell of its own, for a single fold that needs no cells between."""
+    """Each score as a cell of its own, for a single fold that needs no cells
+    between. The type is that of a folded sum, so results are alike."""
+    kind = scores.schema["score"].dataType
+    total = T.DecimalType(min(kind.precision + 10, 38), kind.scale)
     return scores.select(
         *CELL_KEYS,
-        F.col("score").alias("score_sum"), F.lit(1).cast("bigint").alias("score_count"),
+        F.col("score").cast(total).alias("score_sum"), F.lit(1).cast("bigint").alias("score_count"),
         F.col("ord").alias("first_ord"),
     )
 
