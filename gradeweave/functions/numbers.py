@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 # forms: an optional sign in front, or a sign behind.
 NUMBER_SPACE = "\t\n\x0b\x0c\r "
 DIGITS = r"(\d[\d,]*\.?\d*|\.\d+)"
-NUMBER = rf"^([+-]?{DIGITS}|{DIGITS}[\t-\r ]*[+-])$"
+SPACE = r"[\t-\r ]*"
+NUMBER = rf"^{SPACE}([+-]?{DIGITS}|{DIGITS}{SPACE}[+-]){SPACE}$"
 
 
 def is_number(c: Column) -> Column:
     """Whether a cell is a plain number: a sign on either side and thousands
     commas are allowed; no exponent, parentheses or currency sign."""
-    return F.rlike(F.btrim(c, F.lit(NUMBER_SPACE)), F.lit(NUMBER))
+    return F.rlike(c, F.lit(NUMBER))
 
 
 def number_value(c: Column, precision: int = 18, scale: int = 6) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.functions.aggregates import first_seen
+from gradeweave.functions.aggregates import first_seen, per_key
 from gradeweave.functions.numbers import format_score, mean
 from gradeweave.schema import AVERAGE_KEYS, COHORT_KEYS
 
@@ -21,7 +21,7 @@ def current_students(scores: DataFrame, semester: str | None) -> DataFrame:
     when no semester is given."""
     if semester is None or not semester.strip():
         return scores
-    present = scores.where(in_semester(semester)).select("student_identifier").distinct()
+    present = per_key(scores.where(in_semester(semester)), ["student_identifier"], F.count(F.lit(1)))
     return scores.join(present, "student_identifier", "left_semi")
 
 

@@ -140,10 +140,13 @@ def name_clusters(identities: DataFrame) -> DataFrame:
 def canonical_names(clusters: DataFrame) -> DataFrame:
     """Each pair with the commonest first and the commonest last name of its
     cluster, chosen independently of each other."""
-    chosen = clusters.select("leader").distinct()
-    for column in PAIR:
-        common = mode_first_seen(clusters, ["leader"], column, "n", "pair")
-        chosen = chosen.join(common.select("leader", F.col(column).alias(f"canonical_{column}")), "leader")
+    names = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("name")) for c in PAIR])
+    listed = clusters.select("leader", "pair", "n", F.inline(names))
+    common = mode_first_seen(listed, ["leader", "part"], "name", "n", "pair")
+    chosen = per_key(
+        common, ["leader"],
+        *[F.max(F.when(F.col("part") == c, F.col("name"))).alias(f"canonical_{c}") for c in PAIR],
+    )
     return clusters.join(chosen, "leader")
 
 

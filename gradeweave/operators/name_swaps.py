@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.functions.aggregates import first_seen
+from gradeweave.functions.aggregates import first_seen, per_key
 from gradeweave.functions.text import full_name
 
 
@@ -76,14 +76,12 @@ def lost_dashes(identities: DataFrame, match: str = "first_name") -> DataFrame:
 
 
 def _apply(identities: DataFrame, fixes: DataFrame, key: str, source: Column, tag: str) -> DataFrame:
-    fix = fixes.select(
-        F.col(key).alias("_key"),
-        F.struct(
-            F.col("student_identifier").alias("id"), F.col("first_name").alias("first"),
-            F.col("last_name").alias("last"),
-        ).alias(tag),
+    values = F.struct(
+        F.col("student_identifier").alias("id"), F.col("first_name").alias("first"),
+        F.col("last_name").alias("last"),
     )
-    return identities.join(fix, source == F.col("_key"), "left").drop("_key")
+    fix = per_key(fixes, [key], F.max(values).alias(tag))  # keys are unique already
+    return identities.join(fix, source == F.col(key), "left").drop(key)
 
 
 def swap_map(
