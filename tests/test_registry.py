@@ -15,7 +15,8 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no driver tab
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE) == set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 def test_entry_has_rows_and_stable_columns(spark):
