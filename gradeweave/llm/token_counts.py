@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-NODES, WORDS = 400_000, 300_000
+NODES, WORDS = 800_000, 400_000
+COUNT_BITS = 32
+COUNT_MASK = (1 << COUNT_BITS) - 1
 #: Longer words are counted by the same recurrence outside the trie.
 TRIE_WORD = 48
 BYTE_PENALTY = 2_000_000
@@ -46,59 +48,57 @@ def unigram_scores(model_file: str) -> dict[str, int]:
 
 
 class ForwardTrie(dict):
-    """Word to token count; a missing word is inserted into the trie and scored there."""
+    """Word to token count; a missing word is inserted into the trie and scored there.
+
+    A node holds one number, its best score above and its token count, taken
+    off, below: the larger number is the better score, or as good with fewer tokens.
+    """
 
     def __init__(self, scores: dict[str, int]):
         super().__init__()
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
-        self.byte_score = min(scores.values(), default=0) - BYTE_PENALTY
+        # All endings of pieces, 0 for those that are none: an unknown ending says that no longer piece fits.
+        self.endings = {piece[k:]: 0 for piece in scores for k in range(len(piece))}
+        self.endings |= {piece: (score << COUNT_BITS) - 1 for piece, score in scores.items()}
+        self.byte_step = ((min(scores.values(), default=0) - BYTE_PENALTY) << COUNT_BITS) - 1
         self.restart()
 
     def restart(self) -> None:
         self.clear()
         self.child: dict[int, int] = {}
-        self.best, self.count = [0], [0]
-
-    def forward(self, word: str, end: int, best, count) -> tuple[int, int]:
-        """Best score and fewest tokens of word[:end], given those of shorter prefixes by their length."""
-        found = None
-        for begin in range(max(0, end - self.longest), end):
-            score = self.scores.get(word[begin:end])
-            if score is not None:
-                option = (best(begin) + score, -count(begin) - 1)
-                if found is None or option > found:
-                    found = option
-        if word[end - 1] not in self.scores:
-            n = len(word[end - 1].encode())
-            option = (best(end - 1) + n * self.byte_score, -count(end - 1) - n)
-            if found is None or option > found:
-                found = option
-        return found[0], -found[1]
+        self.value = [0]
+
+    def forward(self, word: str, end: int, values: list[int]) -> int:
+        """Value of word[:end], given those of its shorter prefixes."""
+        ending, best = self.endings.get, None
+        for begin in range(end - 1, -1, -1):
+            step = ending(word[begin:end])
+            if step is None:
+                break
+            if step and (best is None or values[begin] + step > best):
+                best = values[begin] + step
+        if not self.endings.get(word[end - 1]):
+            spelt = values[end - 1] + len(word[end - 1].encode()) * self.byte_step
+            best = spelt if best is None or spelt > best else best
+        return best
 
     def __missing__(self, word: str) -> int:
-        marked = MARK + word
+        marked, values = MARK + word, [0]
         if len(marked) > TRIE_WORD:
-            best, count = [0], [0]
             for end in range(1, len(marked) + 1):
-                b, c = self.forward(marked, end, best.__getitem__, count.__getitem__)
-                best.append(b)
-                count.append(c)
-            return count[-1]
-        if len(self.best) > NODES or len(self) > WORDS:
+                values.append(self.forward(marked, end, values))
+            return -values[-1] & COUNT_MASK
+        if len(self.value) > NODES or len(self) > WORDS:
             self.restart()
-        path = [0]
+        child, value, node = self.child, self.value, 0
         for end, letter in enumerate(marked, 1):
-            key = path[-1] * 0x110000 + ord(letter)
-            node = self.child.get(key)
+            key = node << 21 | ord(letter)
+            node = child.get(key)
             if node is None:
-                b, c = self.forward(marked, end, lambda i: self.best[path[i]], lambda i: self.count[path[i]])
-                node = self.child[key] = len(self.best)
-                self.best.append(b)
-                self.count.append(c)
-            path.append(node)
-        self[word] = self.count[path[-1]]
-        return self[word]
+                node = child[key] = len(value)
+                value.append(self.forward(marked, end, values))
+            values.append(value[node])
+        count = self[word] = -values[-1] & COUNT_MASK
+        return count
 
 
 @lru_cache(maxsize=1)
