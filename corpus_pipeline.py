@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.llm import knn_quality, length_buckets, line_dedup, quality_rules, simhash
-from gradeweave.llm.common import ship, table
+from gradeweave.llm.common import prepare, table
 from gradeweave.session import materialize
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for bad go."""
-    ship(spark)
+    prepare(spark)
     return knn_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,13 +23,13 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share go, but for one document's."""
-    ship(spark)
+    prepare(spark)
     return line_dedup.clean_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    ship(spark)
+    prepare(spark)
     return simhash.one_of_each(docs)
 
 

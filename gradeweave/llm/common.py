@@ -36,10 +36,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers of the session, as ``--py-files`` does; once per application."""
+#: Rows of an Arrow batch where the session leaves Spark's default of 10,000, which is much memory for whole texts.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for the Python operators; once per application.
+
+    Sends this package's modules to the Python workers, as ``--py-files`` does, and bounds Arrow batches.
+    """
     context = spark.sparkContext
-    if getattr(context, "_gradeweave_shipped", False):
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    if getattr(context, "_gradeweave_sent", False):
         return
     package = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp(prefix="gradeweave-py-")) / "gradeweave.zip"
@@ -47,4 +57,4 @@ def ship(spark: SparkSession) -> None:
         for module in sorted(package.rglob("*.py")):
             z.write(module, module.relative_to(package.parent))
     context.addPyFile(str(archive))
-    context._gradeweave_shipped = True
+    context._gradeweave_sent = True

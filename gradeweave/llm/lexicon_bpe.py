@@ -34,13 +34,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEXICON_WORDS, LEXICON_BYTES = 150_000, 48
+LEXICON_WORDS, LEXICON_BYTES = 100_000, 48
+BYTES = tuple(bytes([b]) for b in range(256))
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 #: A merge is one number: its rank above, the id it makes below.
 ID_BITS = 24
 ID_MASK, NO_MERGE = (1 << ID_BITS) - 1, 1 << 60
 #: Words that a worker remembers, and that a counting task holds before it passes them on.
-REMEMBERED, COUNTED = 400_000, 200_000
+REMEMBERED, COUNTED = 200_000, 200_000
+#: Documents that go back to Spark at a time.
+SLICE = 128
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -70,12 +73,14 @@ class WordBPE:
         self.plain_added = all(t.startswith("<|") for t in self.added)
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(split["pattern"]["Regex"], regex.V0)
-        self.alphabet = byte_alphabet()
+        self.byte_ids = [self.vocab[c] for _, c in sorted(byte_alphabet().items())]
+        self.end_ids = [self.vocab[c + self.suffix] for _, c in sorted(byte_alphabet().items())]
         if spec["decoder"] is not None:
             raise ValueError("tokens are joined by one space, as files without a decoder say")
         self.tokens = [""] * (1 + max(chain(self.vocab.values(), self.added.values()), default=-1))
         for token, i in chain(self.vocab.items(), self.added.items()):
             self.tokens[i] = token
+        self.numerals = [*map(str, range(len(self.tokens)))]
 
     def normalize(self, text: str) -> str:
         # Letter by letter, as the file's normaliser does: without the final form of sigma that str.lower() picks.
@@ -97,11 +102,15 @@ class WordBPE:
     def words(self, chunk: str) -> list[str]:
         return self.pattern.findall(chunk)
 
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids: their tokens, joined by one space as the file has no decoder."""
+        return " ".join(map(self.tokens.__getitem__, ids))
+
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of a word: the pair of the lowest rank is merged, leftmost first, until none is left."""
-        letters = [self.alphabet[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        ids = [self.vocab[c] for c in letters]
+        raw = word.encode()
+        ids = [*map(self.byte_ids.__getitem__, raw)]
+        ids[-1] = self.end_ids[raw[-1]]
         if len(ids) > 256:
             return self._merge_long(ids)
         rule = self.merges.get
@@ -210,8 +219,8 @@ def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
         starts.append(len(ids))
     final = [int(accepting[node]) for node in reversed(order)]
     parts = [first, target, skipped, final, starts, ids]
-    head = struct.pack("<7I", *map(len, parts), len(label_bytes))
-    return head + b"".join(struct.pack(f"<{len(p)}I", *p) for p in parts) + bytes(label_bytes)
+    labels_first = bytes(label_bytes) + bytes(-len(label_bytes) % 4)  # so that a label's place is its transition's number
+    return labels_first + b"".join(array("I", p).tobytes() for p in parts) + struct.pack("<7I", len(labels_first), *map(len, parts))
 
 
 class Lexicon:
@@ -222,24 +231,23 @@ class Lexicon:
             f.write(compiled)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes = struct.unpack_from("<7I", self.map, 0)
-        words, place = memoryview(self.map), 28
-        views = []
-        for n in sizes[:6]:
+        place, *sizes = struct.unpack("<7I", self.map[-28:])
+        words, views = memoryview(self.map), []
+        for n in sizes:
             views.append(words[place:place + 4 * n].cast("I"))
             place += 4 * n
         self.first, self.target, self.skipped, self.final, self.starts, self.ids = views
-        self.labels = place
 
     def get(self, word: bytes) -> bytes | None:
         """The ids of a word, packed, if it is in the lexicon."""
         state, rank = 0, 0
-        for k in range(len(word)):
-            at = self.map.find(word[k:k + 1], self.labels + self.first[state], self.labels + self.first[state + 1]) - self.labels
+        find, first, target, skipped = self.map.find, self.first, self.target, self.skipped
+        for label in word:
+            at = find(BYTES[label], first[state], first[state + 1])
             if at < 0:
                 return None
-            rank += self.skipped[at]
-            state = self.target[at]
+            rank += skipped[at]
+            state = target[at]
         return self.ids[self.starts[rank]:self.starts[rank + 1]].tobytes() if self.final[state] else None
 
 
@@ -332,28 +340,57 @@ def build_lexicon(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> byt
     return compile_lexicon({w.encode(): bpe.merge(w) for w in frequent_words(docs, path, limit)})
 
 
-def encode(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
-    """doc_id and ids of every document. ``path`` is the tokenizer file, present on every executor."""
+def _encoding(docs: DataFrame, path: str, lexicon: bytes, fields: dict[str, Callable], schema: str) -> DataFrame:
+    """doc_id and, per document, what ``fields`` make of its ids, in one pass over the texts."""
     spark: SparkSession = docs.sparkSession
     compiled, name = spark.sparkContext.broadcast(lexicon), f"{len(lexicon)}-{hash(lexicon)}"
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        encoder, flat, ends = _encoder(path, name, compiled), [], [0]
-        for text in texts:
-            flat.append(encoder.encode(text.as_py() or ""))
-            ends.append(ends[-1] + len(flat[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, name, compiled)
+        for batch in batches:
+            for begin in range(0, len(batch), SLICE):
+                part = batch.slice(begin, SLICE)
+                rows = [encoder.encode(t.as_py() or "") for t in part.column(1)]
+                made = [f(encoder.bpe, rows) for f in fields.values()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["doc_id", *fields])
+
+    named = docs.select(F.col("doc_id").cast("long"), "text")
+    return named.mapInArrow(encoded, f"doc_id long, {schema}")
+
+
+def _as_lists(_: WordBPE, rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
+def _as_numerals(bpe: WordBPE, rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([" ".join(map(bpe.numerals.__getitem__, r.tolist())) for r in rows], pa.string())
 
-    return docs.select("doc_id", ids.asNondeterministic()("text").alias("ids"))  # so that they are computed once
 
+def _as_text(bpe: WordBPE, rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([bpe.decode(r.tolist()) for r in rows], pa.string())
+
+
+def encode(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
+    """doc_id and ids of every document. ``path`` is the tokenizer file, present on every executor."""
+    return _encoding(docs, path, lexicon, {"ids": _as_lists}, "ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and text of every row of doc_id and ids."""
+
+    def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(path)
+        for batch in batches:
+            rows = [np.array(r.as_py() or [], np.int32) for r in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _as_text(bpe, rows)], ["doc_id", "text"])
 
-def decoded(path: str):
-    """Function of a column of ids that gives their text: the tokens, joined by one space as the file has no decoder."""
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(decoded, "doc_id long, text string")
 
-    @F.arrow_udf("string")
-    def text(ids: pa.Array) -> pa.Array:
-        of = word_bpe(path).tokens.__getitem__
-        return pa.array([" ".join(map(of, row.values.to_numpy().tolist())) if row.is_valid else "" for row in ids], pa.string())
 
-    return text
+def round_trip(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
+    """doc_id, numerals (the ids in decimal, joined by one space), n_tokens, and the text that the ids decode to."""
+    fields = {
+        "numerals": _as_numerals, "n_tokens": lambda _, rows: pa.array([*map(len, rows)], pa.int64()), "decoded": _as_text,
+    }
+    return _encoding(docs, path, lexicon, fields, "numerals string, n_tokens long, decoded string")

@@ -12,7 +12,7 @@ from gradeweave.llm import (
     chat_parts, knn_quality, length_buckets, lexicon_bpe, line_dedup, quality_rules, rotated_codes, simhash, token_counts,
     wrappers,
 )
-from gradeweave.llm.common import ship, table
+from gradeweave.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def query(f):
     @wraps(f)
     def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = shipped
@@ -96,12 +96,9 @@ def op8_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     docs, path = table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")
-    encoded = lexicon_bpe.encode(docs, path, lexicon_bpe.build_lexicon(docs, path))
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2(lexicon_bpe.decoded(path)("ids"), 256).alias("decoded_sha256"),
-    )
+    made = lexicon_bpe.round_trip(docs, path, lexicon_bpe.build_lexicon(docs, path))
+    return made.select(
+        "doc_id", "n_tokens", F.sha2("numerals", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
