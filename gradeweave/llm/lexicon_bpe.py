@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeweave.session import materialize
+
 LEXICON_WORDS, LEXICON_BYTES = 100_000, 48
 BYTES = tuple(bytes([b]) for b in range(256))
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
@@ -307,7 +309,7 @@ def _encoder(path: str, name: str, compiled) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of the whole corpus, at most ``limit`` of them; equal counts in code point order."""
+    """The most frequent words of the whole corpus, at most ``limit`` of them: all whose count reaches one bound."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, seen = word_bpe(path), Counter()
@@ -330,8 +332,16 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
 
     counted = docs.select("text").mapInArrow(count, "word string, n long")
     short = counted.filter(F.octet_length("word") <= LEXICON_BYTES)
-    top = short.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r["word"] for r in top.collect()]
+    cell = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    totals = materialize(short.groupBy("word").agg(F.sum("n").alias("n")).withColumn("cell", cell), "word-counts")
+    # The lowest count that leaves at most ``limit`` words; there are at most 16 cells for each doubling of a count.
+    least, above = None, 0
+    for row in sorted(totals.groupBy("cell").count().collect(), reverse=True):
+        above += row["count"]
+        if above > limit:
+            break
+        least = row["cell"]
+    return [] if least is None else [r["word"] for r in totals.filter(F.col("cell") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> bytes:
