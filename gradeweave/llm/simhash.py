@@ -7,9 +7,9 @@ each segment's value is looked up there. What meets under one key is verified
 over all 64 bits. Of a pair that is one bit apart in a segment, only the side
 with the bit set looks up, so it meets once.
 
-Exact copies are one fingerprint from the start. Under a key with few members
-a join lists the verified pairs; under one with more than ``FEW``, links are
-reduced to a spanning forest at once, so a large group of near copies gives as
+Exact copies are one fingerprint from the start. Under most keys a join lists
+the verified pairs; under one with over ``FEW`` members, and eight times as
+many as an even spread would give it, links are reduced to a spanning forest at once, so a large group of near copies gives as
 many links as members, not as pairs. A key with more members than ``BLOCK`` is
 dealt out in blocks that also hold the key's first ``LEADERS`` members. Links
 missed between blocks are found in a second pass: only members outside the
@@ -41,7 +41,7 @@ from gradeweave.session import materialize
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: (lowest bit, width) of each segment. With three, four differing bits leave one segment at most one bit apart.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-FEW, BLOCK, LEADERS = 32, 4096, 64
+FEW, BLOCK, LEADERS = 64, 4096, 64
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -110,28 +110,27 @@ def table_rows(distinct: DataFrame) -> DataFrame:
     )
 
 
-def _keyed_rows(distinct: DataFrame) -> DataFrame:
-    """Rows of keys under which at least two fingerprints meet, one of them at home, with the key's size."""
-    rows = table_rows(distinct)
-    sizes = rows.groupBy("seg", "key").agg(F.count("*").alias("n"), F.max("home").alias("housed"))
-    met = sizes.filter("n > 1 and housed").select("seg", "key", "n")
-    return rows.join(met, ["seg", "key"])
-
-
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a, b: links whose components are those of all pairs at most ``max_bits`` apart. ``distinct`` has fp."""
     if max_bits // len(SEGMENTS) > 1:
         raise ValueError(f"{len(SEGMENTS)} segments with balls of one bit find up to {2 * len(SEGMENTS) - 1} bits")
-    rows = materialize(_keyed_rows(distinct), "simhash-keys")
-    few, large = rows.filter(F.col("n") <= FEW), rows.filter(F.col("n") > BLOCK)
-    middling = rows.filter((F.col("n") > FEW) & (F.col("n") <= BLOCK))
+    rows, keys = table_rows(distinct), ["seg", "key"]
+    few = FEW + 8 * distinct.count() * max(w for _, w in SEGMENTS) // 2 ** min(w for _, w in SEGMENTS)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("home").alias("housed"))
+    crowded = materialize(sizes.filter((F.col("n") > few) & F.col("housed")).select(*keys, "n"), "simhash-crowded")
+    alone = crowded.isEmpty()
+    plain = rows if alone else rows.join(crowded, keys, "left_anti")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = (
-        few.filter("home").select("seg", "key", F.col("fp").alias("a"))
-        .join(few.select("seg", "key", F.col("fp").alias("b"), "home"), ["seg", "key"])
+        plain.filter("home").select(*keys, F.col("fp").alias("a"))
+        .join(plain.select(*keys, F.col("fp").alias("b"), "home"), keys)
         .filter((F.col("a") != F.col("b")) & (~F.col("home") | (F.col("a") < F.col("b"))) & (apart <= max_bits))
         .select("a", "b")
     )
+    if alone:
+        return pairs
+    crowd = materialize(rows.join(crowded, keys), "simhash-crowds")
+    middling, large = crowd.filter(F.col("n") <= BLOCK), crowd.filter(F.col("n") > BLOCK)
 
     def within(group: pd.DataFrame) -> pd.DataFrame:
         fp = group["fp"].to_numpy().view(np.uint64)
