@@ -181,8 +181,9 @@ def _between_blocks(large: DataFrame, links: DataFrame, max_bits: int) -> DataFr
         return _pairs(fp, _forest(fp, max_bits, both["root"].to_numpy()))
 
     pick = [*keys, "fp", "root"]
+    other = against.select(pick).toDF(*pick)  # columns of its own, as both sides come from one table
     return (
-        asked.select(pick).groupBy(*keys).cogroup(against.select(pick).groupBy(*keys))
+        asked.select(pick).groupBy(*keys).cogroup(other.groupBy(*keys))
         .applyInPandas(across, "a bigint, b bigint")
     )
 

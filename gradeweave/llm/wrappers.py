@@ -13,7 +13,7 @@ wrapper per host, and these are aligned in two steps per host; a host with a
 third of all pages is folded in all tasks.
 
 Extraction walks a page along its host's wrapper. What the wrapper shows to be the
-template's (a text that never varied over ``ENOUGH`` different pages) falls
+template's (a text that stayed the same on ``ENOUGH`` pages whose longest texts differ) falls
 away, as do elements that are not content by their tag, role, class or id; of the
 rest, the article or main part counts, or else the body without its lists of
 links. A text that the wrapper does not place is judged by the page alone.
@@ -187,7 +187,8 @@ def _open(stack: list[Element], element: Element) -> None:
 
 
 # A wrapper's nodes are lists, which JSON can hold:
-#   ["#", value or None, linked]              a text, its slot open (None) once values differ
+#   ["#", value or None, linked, pages]       a text, its slot open (None) once values differ; until then, digests of
+#                                             up to ENOUGH pages that show it, by their longest text
 #   ["E", label, mark, children]              an element
 #   ["R", children]                           a repeated group of optional children
 # and a child is [node, optional, repeated].
@@ -197,15 +198,22 @@ def _symbol(node: list) -> str:
     return "#" if node[0] == "#" else "(*)" if node[0] == "R" else f"<{node[1]}>"
 
 
-def wrapper_of(element: Element) -> list:
+def _digest(text: str) -> str:
+    return f"{zlib.crc32(text.encode()):08x}{len(text)}"
+
+
+def wrapper_of(page: Element) -> list:
     """The wrapper of a single page."""
-    kids = []
-    for kid in element.kids:
-        if isinstance(kid, Element):
-            kids.append([wrapper_of(kid), False, False])
-        else:
-            kids.append([["#", f"{zlib.crc32(kid[0].encode()):08x}{len(kid[0])}", kid[1]], False, False])
-    return ["E", element.label, element.mark, folded(kids)]
+    seen = _digest(max((text for text, _ in _texts(page)), key=len, default=""))
+
+    def node(element: Element) -> list:
+        kids = [
+            [node(kid) if isinstance(kid, Element) else ["#", _digest(kid[0]), kid[1], [seen]], False, False]
+            for kid in element.kids
+        ]
+        return ["E", element.label, element.mark, folded(kids)]
+
+    return node(page)
 
 
 def folded(kids: list) -> list:
@@ -244,7 +252,8 @@ def _group(kids: list) -> list:
 def merged(a: list, b: list) -> list:
     """The wrapper that matches whatever either of two nodes of one symbol matches."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] and b[2]]
+        same = a[1] is not None and a[1] == b[1]
+        return ["#", a[1] if same else None, a[2] and b[2], sorted({*a[3], *b[3]})[:ENOUGH] if same else []]
     if a[0] == "R":
         return _group(a[1] + b[1])
     return ["E", a[1], a[2] if a[2] == b[2] else a[2] or b[2], aligned(a[3], b[3])]
@@ -278,61 +287,52 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-SCHEMA = "host string, part int, wrapper string, pages array<string>"
+SCHEMA = "host string, part int, wrapper string"
 
 
-def _entry(name: str, part: int, wrapper: list, pages: set[str]) -> dict:
-    return {"host": name, "part": part, "wrapper": json.dumps(wrapper, separators=(",", ":")), "pages": sorted(pages)[:ENOUGH]}
+def _entry(name: str, part: int, wrapper: list) -> dict:
+    return {"host": name, "part": part, "wrapper": json.dumps(wrapper, separators=(",", ":"))}
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's pages as one wrapper per host; with it up to ENOUGH digests of different pages."""
-    held: dict[str, tuple[list, set[str]]] = {}
-    schema = pa.schema([("host", pa.string()), ("part", pa.int32()), ("wrapper", pa.string()), ("pages", pa.list_(pa.string()))])
+    """A task's pages as one wrapper per host."""
+    held: dict[str, list] = {}
+    schema = pa.schema([("host", pa.string()), ("part", pa.int32()), ("wrapper", pa.string())])
 
     def out() -> pa.RecordBatch:
-        rows = [_entry(h, zlib.crc32(json.dumps(w).encode()) % PARTS, w, p) for h, (w, p) in held.items()]
+        rows = [_entry(h, zlib.crc32(json.dumps(w).encode()) % PARTS, w) for h, w in held.items()]
         held.clear()
         return pa.RecordBatch.from_pylist(rows, schema)
 
     for batch in batches:
         for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = page.as_py() or ""
-            wrapper, digest = wrapper_of(parsed(text)), f"{zlib.crc32(text.encode()):08x}"
-            known = held.get(name)
-            if known is None:
-                held[name] = (wrapper, {digest})
-            else:
-                if len(known[1]) < ENOUGH:
-                    known[1].add(digest)
-                held[name] = (merged(known[0], wrapper), known[1])
+            wrapper = wrapper_of(parsed(page.as_py()))
+            held[name] = merged(held[name], wrapper) if name in held else wrapper
         if len(held) > HOSTS:
             yield out()
     yield out()
 
 
 def _align_all(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("wrapper")
-    wrapper, pages = json.loads(rows["wrapper"].iloc[0]), set()
-    for other in rows["wrapper"].iloc[1:].drop_duplicates():
+    texts = sorted(set(rows["wrapper"]))
+    wrapper = json.loads(texts[0])
+    for other in texts[1:]:
         wrapper = merged(wrapper, json.loads(other))
-    for digests in rows["pages"]:
-        pages.update(digests)
-    return pd.DataFrame([_entry(rows["host"].iloc[0], 0, wrapper, pages)])
+    return pd.DataFrame([_entry(rows["host"].iloc[0], 0, wrapper)])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper, pages (up to ENOUGH digests of different pages) for every host."""
-    folded_ = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_fold, SCHEMA)
-    by_part = folded_.groupBy("host", "part").applyInPandas(_align_all, SCHEMA)
+    """host and wrapper of every host."""
+    by_task = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_fold, SCHEMA)
+    by_part = by_task.groupBy("host", "part").applyInPandas(_align_all, SCHEMA)
     return by_part.groupBy("host").applyInPandas(_align_all, SCHEMA).drop("part")
 
 
 class Slots:
     """What a host's wrapper says about places in its pages."""
 
-    def __init__(self, wrapper: str, pages: int):
-        self.root, self.settled = json.loads(wrapper), pages >= ENOUGH
+    def __init__(self, wrapper: str):
+        self.root = json.loads(wrapper)
 
     def child(self, kids: list, place: int, symbol: str) -> tuple[list | None, int]:
         """The wrapper's child that matches ``symbol`` at or behind ``place``, and the place to go on from."""
@@ -347,8 +347,8 @@ class Slots:
 
 
 @lru_cache(maxsize=256)
-def _slots(wrapper: str, pages: int) -> Slots:
-    return Slots(wrapper, pages)
+def _slots(wrapper: str) -> Slots:
+    return Slots(wrapper)
 
 
 def main_text(page: str | None, slots: Slots | None) -> str:
@@ -369,7 +369,7 @@ def main_text(page: str | None, slots: Slots | None) -> str:
             if slots is not None and node is not None and node[0] == "E":
                 found, place = slots.child(node[3], place, "#" if is_text else f"<{kid.label}>")
             if is_text:
-                template = slots is not None and slots.settled and found is not None and found[1] is not None
+                template = found is not None and found[1] is not None and len(found[3]) >= ENOUGH
                 if (inside or not region) and not template:
                     blocks.append(kid[0])
                 continue
@@ -408,12 +408,9 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = materialize(infer_wrappers(pages), "wrappers")
 
     @F.arrow_udf("string")
-    def text(htmls: pa.Array, found: pa.Array, seen: pa.Array) -> pa.Array:
-        out = []
-        for page, wrapper, digests in zip(htmls, found, seen, strict=True):
-            learnt = _slots(wrapper.as_py(), len(digests.as_py())) if wrapper.is_valid else None
-            out.append(main_text(page.as_py(), learnt))
-        return pa.array(out, pa.string())
+    def text(htmls: pa.Array, found: pa.Array) -> pa.Array:
+        slots = (_slots(w.as_py()) if w.is_valid else None for w in found)
+        return pa.array([main_text(page.as_py(), s) for page, s in zip(htmls, slots, strict=True)], pa.string())
 
     joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(wrappers, "host", "left")
-    return joined.select("page_id", "url", text("html", "wrapper", "pages").alias("text"))
+    return joined.select("page_id", "url", text("html", "wrapper").alias("text"))

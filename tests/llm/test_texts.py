@@ -1,0 +1,227 @@
+"""Quality rules, classifier, packing, BPE, token counts."""
+
+import random
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from gradeweave.llm import knn_quality, length_buckets, lexicon_bpe, quality_rules, token_counts
+from gradeweave.llm.oracle import ORACLE
+
+ODD = [
+    None, "", " \t\n", "one", "the " * 60, "a b c a b c a b c d", "x\n\nx\n x\nx", "#*$ | <b>& %", "word " * 50_000,
+    "\n".join("the same line here" for _ in range(40)), "The cat, and the dog; in a house. " * 3, "é日本 ☃️ the", "a\x0bb\x0cc\rd\x85e\xa0f",
+]
+
+
+def spelt_out(text):
+    text = text or ""
+    words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    counts = {}
+    for w in windows:
+        counts[w] = counts.get(w, 0) + 1
+    covered = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed)
+
+
+def test_quality_counts(spark, docs_of):
+    docs = docs_of(ODD + ODD[3:5], extra="n_words")
+    rows = {r.doc_id: r for r in quality_rules.quality_report(docs).collect()}
+    for i, text in enumerate(ODD + ODD[3:5]):
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == spelt_out(text), repr(text)[:50]
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.keep_quality(docs).columns == docs.columns
+    assert quality_rules.quality_report(docs.limit(0)).count() == 0
+
+
+def test_thresholds_each_reject(spark, docs_of):
+    rng = random.Random(1)
+    good = " ".join(rng.choice(["the", "of", "stone", "river", "old", "house"]) + str(i) * (i % 3 == 0) for i in range(80)) + " the of and to"
+    bad = {
+        "symbols": good.replace(" ", "### "), "long": " ".join(f"{i}" + "x" * 20 for i in range(60)) + " the of and to",
+        "no stop words": " ".join(f"stone{i}" for i in range(60)), "lines": "\n".join([good] + ["it is"] * 30),
+    }
+    rows = quality_rules.quality_report(docs_of([good, *bad.values()])).orderBy("doc_id").collect()
+    assert [r.kept for r in rows] == [True, False, False, False, False]
+    assert not rows[4].base_failed or not rows[4].kept
+    loose = quality_rules.judge(F.col("text"), (quality_rules.Threshold("symbol_ratio", most=9.0),))
+    assert docs_of([bad["symbols"]]).select(loose["kept"]).first()[0]
+
+
+def test_rules_equal_sql(docs_of, tmp_path):
+    docs_of(ODD).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(f"SELECT doc_id, n_words, n_repeat_words, n_dup_lines, kept FROM ({ORACLE['op6_quality_rules']})").fetchall()
+    got = quality_rules.quality_report(docs_of(ODD)).select("doc_id", "n_words", "n_repeat_words", "n_dup_lines", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def labelled(spark, docs_of, n=240):
+    rng = random.Random(2)
+    words = ["river", "stone", "and", "the", "house", "of", "light", "green"]
+    texts, marks = [], []
+    for i in range(n):
+        clean = " ".join(rng.choice(words) for _ in range(rng.randint(40, 120))).capitalize() + "."
+        texts.append(clean if i % 4 else clean.upper().replace(" ", "!! "))
+        marks.append((i, int(bool(i % 4)), 0))
+    return docs_of(texts, extra="score"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def test_classifier_on_the_held_out_fold(spark, docs_of):
+    docs, labels = labelled(spark, docs_of)
+    rows = knn_quality.quality_scores(docs, labels).join(labels, "doc_id").collect()
+    assert len(rows) == 240 and {r.predicted == (r.score >= 0.5) for r in rows} == {True}
+    import zlib
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert np.mean([r.predicted == r.quality for r in rows if r.held_out]) > 0.95
+    kept = knn_quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in rows)
+
+
+def test_held_out_labels_do_not_reach_the_scores(spark, docs_of):
+    docs, labels = labelled(spark, docs_of)
+    wrong = labels.withColumn("quality", F.when(knn_quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    score = lambda x: sorted((r.doc_id, r.score) for r in knn_quality.quality_scores(docs, x).collect())
+    assert score(labels) == score(wrong)
+
+
+def test_classifier_equals_brute_force_and_takes_odd_rows(spark, docs_of):
+    docs, labels = labelled(spark, docs_of)
+    model = knn_quality.fit(docs, labels)
+    rows = np.stack([knn_quality.term_vector(t) for t in ("River and stone. " * 9, "RIVER!! AND!! " * 9, "x")])
+    unit = model.unit(rows @ model.projection)
+    for i, got in enumerate(model.scores(rows)):
+        cosines = unit[i] @ model.vectors.T
+        near = np.argsort(-cosines, kind="stable")[:knn_quality.NEIGHBOURS]
+        w = np.clip(cosines[near], 0, None).astype(float) ** knn_quality.SHARPNESS
+        assert abs(got - (w * model.labels[near]).sum() / w.sum()) < 1e-3
+    odd = docs_of([(1, None), (2, ""), (None, "x"), (4, "the " * 100_000), (4, "y")])
+    scores = [r.score for r in knn_quality.quality_scores(odd, labels).collect()]
+    assert len(scores) == 5 and all(0 <= s <= 1 for s in scores)
+    none = knn_quality.quality_scores(odd, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5} and knn_quality.quality_scores(odd.limit(0), labels).count() == 0
+    with_nulls = labels.union(spark.createDataFrame([(None, 1, 0), (3, None, 0), (3, 0, 0)], labels.schema))
+    assert knn_quality.quality_scores(odd, with_nulls).count() == 5
+
+
+def least_padding(lengths, buckets):
+    distinct = sorted(set(lengths))
+    def cost(bounds):
+        return sum(min(b for b in bounds if b >= x) for x in lengths)
+    return min(cost((*c, distinct[-1])) for k in range(min(buckets, len(distinct))) for c in combinations(distinct[:-1], k))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_boundaries_are_optimal(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([1, 2, 3, 10, 11, 12, 50, 60, 61, 200]) for _ in range(rng.randint(1, 60))]
+    xs, ns = np.unique(lengths, return_counts=True)
+    bounds = length_buckets.optimal_boundaries(xs, ns, 3)
+    assert len(bounds) <= 3 and bounds[-1] == max(lengths)
+    assert sum(min(b for b in bounds if b >= x) for x in lengths) == least_padding(lengths, 3)
+
+
+def test_packing_keeps_every_row_within_budget(spark, docs_of):
+    texts = ["w " * n for n in [0, 1, 1, 5, 5, 7, 30, 31, 300, 70_000]] * 3 + [None]
+    packed = length_buckets.pack(docs_of(texts, extra="bucket"), length_buckets.word_pieces(F.col("text")), buckets=3, budget=64).collect()
+    assert sorted(r.doc_id for r in packed) == list(range(31))
+    batches = {}
+    for r in packed:
+        assert r.n_tokens <= r.bucket_tokens and r.n_tokens == len((texts[r.doc_id] or "").split())
+        batches.setdefault((r.bucket, r.shard, r.batch), []).append(r)
+    for rows in batches.values():
+        assert len(rows) == 1 or len(rows) * rows[0].bucket_tokens <= 64 or rows[0].bucket_tokens == 0
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    twins = docs_of([(1, "a b"), (1, "a b"), (None, "c")])
+    assert length_buckets.pack(twins, length_buckets.word_pieces(F.col("text"))).count() == 3
+    assert length_buckets.pack(twins.limit(0), length_buckets.word_pieces(F.col("text"))).count() == 0
+
+
+def test_cells_grow_and_are_bounded(spark):
+    lengths = [0, 1, 65_535, 65_536, 65_599, 65_600, 131_071, 131_072, 10**9]
+    df = spark.createDataFrame([(x,) for x in lengths], "n long").select("n", length_buckets.cell(F.col("n")).alias("c"))
+    cells = [r.c for r in df.orderBy("n").collect()]
+    assert cells == sorted(cells) and cells[2:5] == [65_535, 65_536, 65_536] and cells[-1] < 100_000
+
+
+BPE = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    None, "", "   ", "Hello WORLD, don't 123 x's", "Σίσυφος ΣΑΣ İstanbul é́", "<|endoftext|>hello <|startoftext|>", "a" * 900, "ab" * 400 + "!",
+    "日本語 ☃️ ½ ﬁ Å", "tab\tnew\nline\x0b\x1f\x85\xa0end", "the quick brown fox " * 2000, "it'll we've they'd", "\u0000 ok",
+]
+
+
+def test_bpe_equals_the_library(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(BPE)
+    docs = docs_of(TEXTS + TEXTS[3:5], extra="ids")
+    lexicon = lexicon_bpe.build_lexicon(docs, BPE, 20)
+    encoded = lexicon_bpe.encode(docs, BPE, lexicon)
+    decoded = {r.doc_id: r.text for r in lexicon_bpe.decode(encoded, BPE).collect()}
+    trip = {r.doc_id: r for r in lexicon_bpe.round_trip(docs, BPE, lexicon).collect()}
+    for r in encoded.collect():
+        want = known.encode((TEXTS + TEXTS[3:5])[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == want, TEXTS[r.doc_id]
+        assert decoded[r.doc_id] == trip[r.doc_id].decoded == known.decode(want, skip_special_tokens=False)
+        assert trip[r.doc_id].numerals == " ".join(map(str, want)) and trip[r.doc_id].n_tokens == len(want)
+    assert lexicon_bpe.round_trip(docs.limit(0), BPE, lexicon_bpe.build_lexicon(docs.limit(0), BPE)).count() == 0
+
+
+def test_lexicon_is_minimal_and_exact():
+    words = {w.encode(): (i, i + 1) for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "é"])}
+    lexicon = lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon(words))
+    for w, ids in words.items():
+        assert tuple(memoryview(lexicon.get(w)).cast("I")) == ids
+    for w in (b"", b"t", b"tapss", b"sto", b"x"):
+        assert lexicon.get(w) is None
+    assert len(lexicon.final) == 8  # one state for "ta", "to" and "sto"
+    empty = lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon({}))
+    assert empty.get(b"a") is None
+
+
+def test_frequent_words_are_bounded(docs_of):
+    docs = docs_of(["b b b b a a c", "b a <|endoftext|> b", None])
+    assert lexicon_bpe.frequent_words(docs, BPE, 2) == ["b"] or set(lexicon_bpe.frequent_words(docs, BPE, 2)) == {"a", "b"}
+    assert len(lexicon_bpe.frequent_words(docs, BPE, 1)) <= 1
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def fewest_tokens(scores, word):
+    """The best segmentation over all of them."""
+    word, lowest = token_counts.MARK + word, min(scores.values()) - token_counts.BYTE_PENALTY
+    best = [(0, 0)]
+    for end in range(1, len(word) + 1):
+        options = [(best[b][0] + scores[word[b:end]], best[b][1] - 1) for b in range(end) if word[b:end] in scores]
+        if word[end - 1] not in scores:
+            n = len(word[end - 1].encode())
+            options.append((best[end - 1][0] + n * lowest, best[end - 1][1] - n))
+        best.append(max(options))
+    return -best[-1][1]
+
+
+def test_token_counts_equal_brute_force(spark, docs_of, monkeypatch):
+    scores = token_counts.unigram_scores(PIECES)
+    texts = [t or "" for t in TEXTS] + ["under understand understanding 日本語日本 ☃x", "z" * 60]
+    rows = {r.doc_id: r for r in token_counts.token_counts(docs_of([None, *texts], extra="n_tokens"), PIECES).collect()}
+    assert (rows[0].n_words, rows[0].n_tokens) == (0, 0)
+    for i, text in enumerate(texts, 1):
+        words = text.split()[:200] if len(text) < 5000 else []
+        if words:
+            assert rows[i].n_words == len(words) and rows[i].n_tokens == sum(fewest_tokens(scores, w) for w in words), text[:40]
+    monkeypatch.setattr(token_counts, "NODES", 5)
+    trie = token_counts.ForwardTrie(scores)  # starts anew all the time
+    for w in ("under", "understand", "underx", "under"):
+        assert trie[w] == fewest_tokens(scores, w)
+    assert token_counts.token_counts(docs_of(["x"]).limit(0), PIECES).count() == 0
