@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import first_seen, per_key
-from gradeweave.functions.numbers import format_score, mean
+from gradeweave.functions.numbers import format_mean, mean
 from gradeweave.schema import AVERAGE_KEYS, COHORT_KEYS
 
 NOT_AVAILABLE = "N/A"
@@ -68,7 +68,7 @@ def report_cells(averages: DataFrame, cohorts: DataFrame) -> DataFrame:
     joined = averages.alias("a").join(cohorts.alias("g"), same, "left")
     return joined.select(
         "a.student_identifier", "a.last_name", "a.score_name", "a.semester", "a.semester_sort",
-        format_score(F.col("a.average")).alias("yours"),
-        F.coalesce(format_score(F.col("g.average")), F.lit(NOT_AVAILABLE)).alias("average"),
+        format_mean(F.col("a.score_sum"), F.col("a.score_count")).alias("yours"),
+        F.coalesce(format_mean(F.col("g.score_sum"), F.col("g.score_count")), F.lit(NOT_AVAILABLE)).alias("average"),
         "a.first_ord",
     )

@@ -66,7 +66,11 @@ def class_keys(placed: DataFrame) -> DataFrame:
 
 
 def member_keys(placed: DataFrame, links: DataFrame, met: DataFrame) -> DataFrame:
-    """The keys at which a pair may be taken, as far as some class is met there."""
+    """The keys at which a pair may be taken, as far as some class is met there.
+
+    What the first half of a key rules out is dropped before the last half is
+    added, so the halves of a pair are not multiplied in full.
+    """
     out = placed.select("pair", *[f"{p}_{x}" for p in PARTS for x in ("node", "block")])
     for part in PARTS:
         used = placed.select(F.col(f"{part}_owner").alias("linked")).distinct()
@@ -76,6 +80,7 @@ def member_keys(placed: DataFrame, links: DataFrame, met: DataFrame) -> DataFram
         )
         own = out.withColumn(f"{part}_half", F.col(f"{part}_block"))
         out = own.unionByName(out.join(through, f"{part}_node"))
+        out = out.join(per_key(met, [f"{part}_half"], F.min("pair")), f"{part}_half", "left_semi")
     keys = ["first_half", "last_half"]
     return out.join(per_key(met, keys, F.min("pair")), keys, "left_semi").select("pair", *keys)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.functions.numbers import is_number, number_value
+from gradeweave.functions.numbers import is_number, number_loss, number_value
 from gradeweave.functions.text import (
     NBSP,
     WHITE_SPACE,
@@ -18,7 +18,7 @@ from gradeweave.functions.text import (
     semester_sort_key,
     text_or_empty,
 )
-from gradeweave.schema import COLUMNS_PER_ROW
+from gradeweave.schema import SCORE_PRECISION, SCORE_SCALE, columns_per_row
 from gradeweave.sources.sheets import ROW_NO, Sheet, cell
 
 # Header texts, labels and messages of the sheet format.
@@ -198,27 +198,44 @@ def unpivot_scores(rows: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def numeric_scores(cells: DataFrame) -> DataFrame:
+def numeric_scores(cells: DataFrame, precision: int = SCORE_PRECISION, scale: int = SCORE_SCALE) -> DataFrame:
     """Keep cells that hold a number. The form is tested before the value is
-    taken, so that the pattern is matched once per cell."""
+    taken, so that the pattern is matched once per cell. What does not fit the
+    type is told by ``score_diagnostics``."""
     numbers = cells.where(is_number(F.col("raw")))
-    return numbers.withColumn("score", number_value(F.col("raw"))).where(F.col("score").isNotNull())
+    return numbers.withColumn("score", number_value(F.col("raw"), precision, scale)).where(F.col("score").isNotNull())
+
+
+def score_diagnostics(cells: DataFrame, precision: int = SCORE_PRECISION, scale: int = SCORE_SCALE) -> DataFrame:
+    """One row per number that the type of scores cuts: row_no, field, message."""
+    lost = cells.where(is_number(F.col("raw"))).withColumn("loss", number_loss(F.col("raw"), precision, scale))
+    large = F.lit("' is too large; skipping cell.")
+    told = F.when(F.col("loss") == "large", large).otherwise(F.lit(f"' is rounded to {scale} places."))
+    message = F.concat(F.lit("Row "), F.col(ROW_NO).cast("string"), F.lit(": Score '"), F.col("raw"), told)
+    return lost.where(F.col("loss").isNotNull()).select(ROW_NO, F.lit("score").alias("field"), message.alias("message"))
 
 
 def usable_rows(sheet: Sheet, layout: Layout) -> DataFrame:
     return reclassify_emphasis(keep_scored(keep_dated(keep_named(sheet_rows(sheet, layout))), layout))
 
 
-def read_scores(sheet: Sheet, layout: Layout) -> DataFrame:
-    """All scores of a sheet in the long form."""
+def read_scores(
+    sheet: Sheet, layout: Layout, precision: int = SCORE_PRECISION, scale: int = SCORE_SCALE, width: int | None = None
+) -> DataFrame:
+    """All scores of a sheet in the long form. ``width`` is that of the widest
+    sheet whose rows are numbered together, by default this one's."""
     rows = usable_rows(sheet, layout).withColumn("semester_sort", semester_sort_key(F.col("semester")))
-    scores = numeric_scores(unpivot_scores(rows, layout))
+    scores = numeric_scores(unpivot_scores(rows, layout), precision, scale)
     return scores.select(
-        (F.col(ROW_NO) * COLUMNS_PER_ROW + F.col("col_no")).alias("ord"),
+        (F.col(ROW_NO) * columns_per_row(width or len(sheet.header)) + F.col("col_no")).alias("ord"),
         "first_name", "last_name", "student_identifier", "semester", "semester_sort",
         "class_standing", "emphasis", "score_name", "score",
     )
 
 
-def sheet_diagnostics(sheet: Sheet, layout: Layout) -> DataFrame:
-    return row_diagnostics(keep_named(sheet_rows(sheet, layout)))
+def sheet_diagnostics(
+    sheet: Sheet, layout: Layout, precision: int = SCORE_PRECISION, scale: int = SCORE_SCALE
+) -> DataFrame:
+    """What is missing in rows, and scores that do not fit their type."""
+    cells = unpivot_scores(usable_rows(sheet, layout), layout)
+    return row_diagnostics(keep_named(sheet_rows(sheet, layout))).unionByName(score_diagnostics(cells, precision, scale))

@@ -95,18 +95,22 @@ def _one_edit_stems(nodes: DataFrame) -> DataFrame:
 def _substitutions(nodes: DataFrame, other_block_only: bool) -> DataFrame:
     """Pairs of equal length that differ at one place: they share place and stem.
 
-    With ``other_block_only``, stems seen in one block only are put aside by a
-    cheap aggregate before any pairing.
+    With ``other_block_only``, the blocks that share a stem are paired first,
+    and only names of two such blocks meet. A stem of one block alone, however
+    many names it has, pairs nothing.
     """
     stems = _one_edit_stems(nodes)
     by = ["part", "place", "stem"]
-    if other_block_only:
-        block_hash = F.xxhash64("block")
-        mixed = stems.groupBy(*by).agg(F.min(block_hash).alias("lo"), F.max(block_hash).alias("hi"))
-        stems = stems.join(mixed.where("lo < hi").select(*by), by, "left_semi")
-    left = stems.select(*by, _end().alias("a"))
-    right = stems.select(*by, _end().alias("b"))
-    return left.join(right, by).where("a.node < b.node").select("a", "b")
+    left = stems.select(*by, F.col("block").alias("a_block"), _end().alias("a"))
+    right = stems.select(*by, F.col("block").alias("b_block"), _end().alias("b"))
+    if not other_block_only:
+        return left.join(right, by).where("a.node < b.node").select("a", "b")
+    held = stems.select(*by, "block").distinct()
+    block_pairs = (
+        held.withColumnRenamed("block", "a_block").join(held.withColumnRenamed("block", "b_block"), by)
+        .where("a_block < b_block")
+    )
+    return left.join(block_pairs, [*by, "a_block"]).join(right, [*by, "b_block"]).select("a", "b")
 
 
 def _fragments_of(nodes: DataFrame, fragments: Column) -> DataFrame:

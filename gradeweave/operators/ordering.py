@@ -46,7 +46,7 @@ def students_by_last_name(cells: DataFrame, collation: str | None = None) -> Dat
     Names are compared by code point; ``collation`` (such as ``UNICODE``)
     orders them as people do.
     """
-    listed = students(cells)
+    listed = materialize(students(cells), "students")  # the range partitioning reads them twice
     if collation is None:
         return global_position(listed, ["last_name", "semester_sort", "first_ord"], "student_pos")
     name = F.collate(F.col("last_name"), collation)

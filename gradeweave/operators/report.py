@@ -20,9 +20,12 @@ ROW_LABELS = ("Yours:", "Average:")
 
 def positioned_cells(cells: DataFrame, positions: DataFrame) -> DataFrame:
     """Report cells with the positions of their student, assessment and semester."""
+    rows = student_assessments(cells).alias("r")
+    # Assessments without a heading have a null name and still are one row.
+    same = (F.col("k.student_identifier") == F.col("r.student_identifier")) & F.col("k.score_name").eqNullSafe(F.col("r.score_name"))
     return (
-        cells.join(positions.select("student_identifier", "student_pos"), "student_identifier")
-        .join(student_assessments(cells), ["student_identifier", "score_name"])
+        cells.alias("k").join(rows, same).select("k.*", "r.score_pos")
+        .join(positions.select("student_identifier", "student_pos"), "student_identifier")
         .join(student_semesters(cells).drop("semester_sort"), ["student_identifier", "semester"])
         .select(
             "student_identifier", "score_name", "semester", "yours", "average",

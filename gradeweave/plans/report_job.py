@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +26,15 @@ from gradeweave.operators.ingest import (
 from gradeweave.operators.ordering import students_by_last_name
 from gradeweave.operators.report import positioned_cells, report_grid, student_report
 from gradeweave.plans.validate import Findings, Rules, apply_corrections, find_corrections
-from gradeweave.session import materialize
+from gradeweave.schema import SCORE_PRECISION, SCORE_SCALE
+from gradeweave.session import discard, materialize, scratch_run
 from gradeweave.sources.outputs import refuse_overlap, write_by_student, write_table
-from gradeweave.sources.sheets import Sheet, read_csv_sheet, resolve_sheet_path
+from gradeweave.sources.sheets import Sheet, read_csv_sheets, read_parquet_sheet, read_table_sheet, resolve_sheet_path
 
 
 @dataclass(frozen=True)
 class JobOptions:
-    workbook: str  # folder of sheets
+    workbook: str  # folder of sheets, or a catalog schema
     sheet_name: str = "Sheet1"
     output: str | None = None
     current_semester: str | None = None
@@ -40,7 +42,12 @@ class JobOptions:
     last_column: str | None = DEFAULT_END
     skip_columns: tuple[str, ...] = DEFAULT_SKIP
     validate_only: bool = False
-    row_no_header: str | None = None
+    row_no_header: str | None = None  # column of row numbers; needed for parquet and tables
+    source: str = "csv"  # csv, parquet or table
+    header: tuple[str | None, ...] | None = None  # header texts of parquet and tables, where they repeat
+    precision: int = SCORE_PRECISION
+    scale: int = SCORE_SCALE
+    buckets: int = 64  # folders of the report tables
     rules: Rules = field(default_factory=Rules)
 
 
@@ -51,6 +58,12 @@ class Report:
     messages: DataFrame
     cells: DataFrame | None = None
     documents: DataFrame | None = None
+    scratch: str | None = None  # folder the tables above are read from
+
+    def close(self) -> None:
+        """Remove the run's scratch folder; the tables above cannot be read then."""
+        if self.scratch:
+            discard(self.counts.sparkSession, self.scratch)
 
 
 def run_counts(read: DataFrame, used: DataFrame) -> DataFrame:
@@ -76,32 +89,57 @@ def repaired_cells(cells: DataFrame, findings: Findings) -> DataFrame:
 def report_tables(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Report cells with positions, and the documents, from stored cells."""
     table = materialize(report_cells(student_score_averages(cells), cohort_average(cells)), "report-cells")
-    positions = materialize(students_by_last_name(table), "student-positions")
+    positions = students_by_last_name(table)
     return positioned_cells(table, positions), student_report(report_grid(table), positions)
 
 
 def run_sheet(sheet: Sheet, options: JobOptions) -> Report:
-    layout = plan_layout(sheet.header, options.start_column, options.last_column, options.skip_columns)
-    read = materialize(score_cells(read_scores(sheet, layout)), "cells")
+    return run_sheets([sheet], options)
+
+
+def run_sheets(sheets: list[Sheet], options: JobOptions) -> Report:
+    """The job over sheets of one workbook page, each with a header of its own."""
+    kind = {"precision": options.precision, "scale": options.scale}
+    planned = [(s, plan_layout(s.header, options.start_column, options.last_column, options.skip_columns)) for s in sheets]
+    width = max(len(s.header) for s in sheets)
+    scores = reduce(DataFrame.unionByName, [read_scores(s, layout, **kind, width=width) for s, layout in planned])
+    diagnostics = reduce(DataFrame.unionByName, [sheet_diagnostics(s, layout, **kind) for s, layout in planned])
+    read = materialize(score_cells(scores), "cells")
     used = current_students(read, options.current_semester)
     findings = cell_findings(used, options.rules)
-    checked = (run_counts(read, used), sheet_diagnostics(sheet, layout), findings.messages)
+    checked = (run_counts(read, used), diagnostics, findings.messages)
     if options.validate_only:
         return Report(*checked)
     return Report(*checked, *report_tables(repaired_cells(used, findings)))
 
 
+def read_sheets(spark: SparkSession, options: JobOptions) -> list[Sheet]:
+    """The sheets that the options name."""
+    if options.source == "csv":
+        path = resolve_sheet_path(spark, options.workbook, options.sheet_name)
+        return read_csv_sheets(spark, path, options.row_no_header)
+    if options.row_no_header is None:
+        raise ValueError("Name the column of row numbers: row_no_header")
+    header = None if options.header is None else list(options.header)
+    if options.source == "parquet":
+        path = resolve_sheet_path(spark, options.workbook, options.sheet_name)
+        return [read_parquet_sheet(spark, path, options.row_no_header, header)]
+    if options.source == "table":
+        return [read_table_sheet(spark, options.workbook, options.sheet_name, options.row_no_header, header)]
+    raise ValueError(f"Unknown source {options.source}: csv, parquet or table")
+
+
 def run(spark: SparkSession, options: JobOptions) -> Report:
-    """Run the job on a CSV sheet; results are also written when ``output`` is set."""
-    path = resolve_sheet_path(spark, options.workbook, options.sheet_name)
-    if options.output:
-        refuse_overlap(options.output, path)
-    report = run_sheet(read_csv_sheet(spark, path, options.row_no_header), options)
-    if options.output:
-        write_table(report.counts, f"{options.output}/run_counts")
-        write_table(report.diagnostics, f"{options.output}/diagnostics")
-        write_table(report.messages, f"{options.output}/messages")
-        if not options.validate_only:
-            write_by_student(report.cells, f"{options.output}/report_cells")
-            write_by_student(report.documents, f"{options.output}/documents", "json")
+    """Run the job; results are also written when ``output`` is set."""
+    if options.output and options.source != "table":
+        refuse_overlap(options.output, resolve_sheet_path(spark, options.workbook, options.sheet_name))
+    with scratch_run(spark) as scratch:
+        report = replace(run_sheets(read_sheets(spark, options), options), scratch=scratch)
+        if options.output:
+            write_table(report.counts, f"{options.output}/run_counts")
+            write_table(report.diagnostics, f"{options.output}/diagnostics")
+            write_table(report.messages, f"{options.output}/messages")
+            if not options.validate_only:
+                write_by_student(report.cells, f"{options.output}/report_cells", buckets=options.buckets)
+                write_by_student(report.documents, f"{options.output}/documents", "json", options.buckets)
     return report

@@ -8,6 +8,7 @@ scores meet it in a single join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,9 +104,14 @@ def _name_messages(terms: DataFrame) -> list[DataFrame]:
 
 @dataclass(frozen=True)
 class Findings:
-    corrections: DataFrame  # identity and semester, their new values, one row where any differs
+    fixes: DataFrame  # identity and semester, their new values, one row where any differs
     messages: DataFrame
 
+    @cached_property
+    def corrections(self) -> DataFrame:
+        """The fixes, written when first asked for: messages alone do not need them."""
+        return materialize(self.fixes, "corrections")
+
 
 def find_corrections(profiles: DataFrame, rules: Rules = Rules()) -> Findings:
     """Run the rules over profiles (see ``profile``)."""
@@ -151,8 +157,7 @@ def find_corrections(profiles: DataFrame, rules: Rules = Rules()) -> Findings:
     changed = F.coalesce("fix_class_standing", F.lit(False)) | F.coalesce("fix_emphasis", F.lit(False))
     for c in IDENTITY:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"{c}_2"))
-    corrections = materialize(fixes.where(changed), "corrections")
-    return Findings(corrections, union_messages(messages))
+    return Findings(fixes.where(changed), union_messages(messages))
 
 
 def apply_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -6,9 +6,6 @@ pair by pair, sets are lists, and order is taken by sorting.
 
 from __future__ import annotations
 
-from gradeweave.operators.averages import NOT_AVAILABLE
-from gradeweave.operators.messages import TEXTS
-from gradeweave.operators.report import NOTE, ROW_LABELS, TITLE
 from gradeweave.registry.queries import SEMESTER
 from gradeweave.sources.order_sheet import (
     EMPHASES,
@@ -28,9 +25,22 @@ def _case(key: str, mapping: dict[str, str]) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 
 
+# The texts of reports and messages, written out once more.
+NOT_AVAILABLE = "N/A"
+TITLE = "Assessment Scores For "
+NOTE = '"Average" is the average score for all students with the same Emphasis and Class Standing in a semester.'
+ROW_LABELS = ("Yours:", "Average:")
+TEXTS = {
+    "flipped": "Student {winner} has potential flipped first and last name {found} in semester {semester}",
+    "dash": "Student {winner} has potential missing dash {found} in semester {semester}",
+    "misspelled": "Student {winner} has potential misspelled name {found} in semester {semester}; using {winner}",
+    "standing": "Student {winner} has multiple class standings for semester {semester}; picking {found}",
+    "emphasis": "Student {winner} has multiple emphases for semester {semester}; picking {found}",
+}
+
 LINES = range(1, 8)
 NAMES_OF_LINE = {
-    1: "Oral", 2: "Metacognition", 3: "Acting/Directing Approach", 4: "Design Approach",
+    1: "Oral", 3: "Acting/Directing Approach", 4: "Design Approach",
     5: "Educational Approach", 6: "Other Project Approach", 7: "Overall Success",
 }
 SCORE_NAME = "CASE ln " + " ".join(f"WHEN {n} THEN '{name}'" for n, name in NAMES_OF_LINE.items()) + " END"
@@ -63,12 +73,14 @@ quantity AS (
   SELECT l_orderkey AS k, l_linenumber AS ln, CAST(floor(max(l_quantity)) AS INTEGER) AS q
   FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY ALL
 ),
-raw_cells AS (
+raw_cells AS MATERIALIZED (
   SELECT s.row_no, n.ln,
     CASE WHEN q IS NULL THEN NULL
          WHEN (row_no + n.ln) % 31 = 0 THEN 'n/a'
          WHEN (row_no + n.ln) % 37 = 0 THEN '1,0' || (q + 10)
          WHEN (row_no + n.ln) % 41 = 0 THEN q || '-'
+         WHEN (row_no + n.ln) % 43 = 0 THEN '12345678901' || lpad(CAST(q AS VARCHAR), 2, '0')
+         WHEN (row_no + n.ln) % 47 = 0 THEN '0.000000' || lpad(CAST(q AS VARCHAR), 2, '0')
          ELSE (q // 10) || '.' || (q % 10) END AS raw
   FROM sheet s CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS ln) n
   LEFT JOIN quantity t ON t.k = s.row_no AND t.ln = n.ln
@@ -110,14 +122,14 @@ usable AS (
 SCORES = f"""{ROWS},
 numbers AS (
   SELECT row_no, ln, raw,
-    CASE WHEN regexp_full_match(raw, '[0-9.,]+') THEN CAST(replace(raw, ',', '') AS DECIMAL(18,6))
-         WHEN regexp_full_match(raw, '[0-9.,]+-') THEN -CAST(replace(rtrim(raw, '-'), ',', '') AS DECIMAL(18,6)) END AS score
+    CASE WHEN regexp_full_match(raw, '[0-9.,]+') THEN CAST(replace(raw, ',', '') AS DECIMAL(28,8))
+         WHEN regexp_full_match(raw, '[0-9.,]+-') THEN -CAST(replace(rtrim(raw, '-'), ',', '') AS DECIMAL(28,8)) END AS score
   FROM raw_cells
 ),
 scores AS (
   SELECT u.row_no * 10000 + ln + {FIRST_SCORE_COLUMN - 1} AS ord, first_name, last_name, student_identifier, semester,
          {_sort_key("semester")} AS semester_sort, class_standing, emphasis, {SCORE_NAME} AS score_name,
-         CAST(score AS DECIMAL(18,6)) AS score
+         CAST(score AS DECIMAL(28,8)) AS score
   FROM usable u JOIN numbers n USING (row_no) WHERE score IS NOT NULL
 )"""
 
@@ -127,20 +139,20 @@ def _averages(scores: str) -> str:
 averages AS (
   SELECT student_identifier, first(last_name ORDER BY ord) AS last_name, semester, semester_sort, score_name,
          first(class_standing ORDER BY ord) AS class_standing, first(emphasis ORDER BY ord) AS emphasis,
-         CAST(sum(score) AS DECIMAL(38,6)) AS score_sum, count(*) AS score_count, min(ord) AS first_ord
+         CAST(sum(score) AS DECIMAL(38,8)) AS score_sum, count(*) AS score_count, min(ord) AS first_ord
   FROM {scores} GROUP BY student_identifier, semester, semester_sort, score_name
 ),
 cohorts AS (
   SELECT semester_sort, class_standing, emphasis, score_name,
-         CAST(sum(score) AS DECIMAL(38,6)) AS score_sum, count(*) AS score_count
+         CAST(sum(score) AS DECIMAL(38,8)) AS score_sum, count(*) AS score_count
   FROM {scores} GROUP BY ALL
 )"""
 
 
 def _two_places(total: str, count: str) -> str:
     """Half away from zero by integers: hundredths = (2 * sum * 100 + count) // (2 * count)."""
-    units = f"CAST(abs({total}) * 1000000 AS HUGEINT)"
-    cents = f"((2 * {units} + 10000 * {count}) // (20000 * {count}))"
+    units = f"CAST(replace(CAST(abs({total}) AS VARCHAR), '.', '') AS HUGEINT)"
+    cents = f"((2 * {units} + 1000000 * CAST({count} AS HUGEINT)) // (2000000 * CAST({count} AS HUGEINT)))"
     digits = f"CAST({cents} // 100 AS VARCHAR)"
     rest = f"rtrim(lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'), '0')"
     sign = f"CASE WHEN {total} < 0 AND {cents} > 0 THEN '-' ELSE '' END"
@@ -153,7 +165,7 @@ shown AS (
          {_two_places("a.score_sum", "a.score_count")} AS yours,
          coalesce({_two_places("g.score_sum", "g.score_count")}, '{NOT_AVAILABLE}') AS average, a.first_ord
   FROM averages a LEFT JOIN cohorts g
-    ON a.semester_sort = g.semester_sort AND a.score_name = g.score_name
+    ON a.semester_sort = g.semester_sort AND a.score_name IS NOT DISTINCT FROM g.score_name
    AND a.class_standing IS NOT DISTINCT FROM g.class_standing AND a.emphasis IS NOT DISTINCT FROM g.emphasis
 )"""
 
@@ -179,7 +191,7 @@ assessments AS (
 score_places AS (
   SELECT student_identifier, score_name,
          CAST(row_number() OVER (PARTITION BY student_identifier
-                                 ORDER BY score_name = 'Overall Success', first_at) AS INTEGER) AS score_pos
+                                 ORDER BY coalesce(score_name = 'Overall Success', false), first_at) AS INTEGER) AS score_pos
   FROM assessments
 )"""
 
@@ -187,8 +199,9 @@ GRID = f"""
 grid AS (
   SELECT student_identifier, score_name, semester, score_pos, semester_pos,
          coalesce(yours, '{NOT_AVAILABLE}') AS yours, average
-  FROM score_places JOIN semester_places USING (student_identifier)
-  LEFT JOIN shown USING (student_identifier, score_name, semester)
+  FROM (SELECT p.*, t.semester, t.semester_pos FROM score_places p JOIN semester_places t USING (student_identifier)) f
+  LEFT JOIN (SELECT student_identifier AS id, score_name AS heading, semester AS term, yours, average FROM shown) s
+    ON id = student_identifier AND heading IS NOT DISTINCT FROM score_name AND term = semester
 )"""
 
 
@@ -467,7 +480,7 @@ WHERE row_no IN (SELECT row_no FROM raw_cells WHERE raw IS NOT NULL)""",
        THEN 'Musical Theatre Applicant' ELSE emphasis END AS emphasis FROM rows_""",
     "unpivot_scores": f"""WITH {ROWS} SELECT row_no, CAST(ln + {FIRST_SCORE_COLUMN - 1} AS INTEGER) AS col_no,
   {SCORE_NAME} AS score_name, raw FROM usable JOIN raw_cells USING (row_no)
-  WHERE row_no IN (SELECT row_no FROM raw_cells WHERE raw IS NOT NULL)""",
+  WHERE EXISTS (SELECT 1 FROM raw_cells filled WHERE filled.row_no = usable.row_no AND filled.raw IS NOT NULL)""",
     "numeric_scores": f"WITH {SCORES} SELECT {SCORE_COLUMNS} FROM scores",
     "semester_sort_key": f"""WITH {ROWS} SELECT semester, {_sort_key("semester")} AS semester_sort, count(*) AS n
 FROM rows_ GROUP BY ALL""",
@@ -487,7 +500,8 @@ WHERE student_identifier IN (SELECT student_identifier FROM scores WHERE semeste
     "student_assessments": f"WITH {RAW_REPORT} SELECT * FROM score_places",
     "student_report": f"""WITH {RAW_REPORT},{GRID},
 lines AS (
-  SELECT student_identifier, score_pos, score_name AS assessment, score_name = 'Overall Success' AS emphasised,
+  SELECT student_identifier, score_pos, coalesce(score_name, '') AS assessment,
+         coalesce(score_name = 'Overall Success', false) AS emphasised,
          list(CASE WHEN average IS NULL THEN [yours] ELSE [yours, average] END ORDER BY semester_pos) AS cells
   FROM grid GROUP BY student_identifier, score_pos, score_name
 ),
@@ -540,8 +554,8 @@ SELECT ord, emphasis FROM settled""",
 SELECT *, {_sort_key("sort_value")} AS sort_key FROM messages""",
     "validated_scores": f"WITH {VALIDATED} SELECT {SCORE_COLUMNS} FROM settled",
     "full_report": f"""WITH {VALIDATED},{_averages('settled')},{REPORT},{POSITIONS}
-SELECT student_identifier, score_name, semester, yours, average, student_pos, score_pos, semester_pos
+SELECT shown.student_identifier, shown.score_name, semester, yours, average, student_pos, score_pos, semester_pos
 FROM shown JOIN student_places USING (student_identifier)
-JOIN score_places USING (student_identifier, score_name)
-JOIN semester_places USING (student_identifier, semester)""",
+JOIN semester_places USING (student_identifier, semester)
+JOIN score_places p ON p.student_identifier = shown.student_identifier AND p.score_name IS NOT DISTINCT FROM shown.score_name""",
 }

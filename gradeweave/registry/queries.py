@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import mode_first_seen
-from gradeweave.functions.numbers import format_score
+from gradeweave.functions.numbers import format_mean
 from gradeweave.functions.text import clean, semester_sort_key, sound_code
 from gradeweave.operators import averages as avg
 from gradeweave.operators import clusters as clu
@@ -238,7 +238,7 @@ def cohort_average(spark, sf_dir):
 def format_scores(spark, sf_dir):
     averages = averages_of(cells_of(spark, sf_dir))
     return averages.select(
-        "student_identifier", "semester", "score_name", format_score(F.col("average")).alias("shown")
+        "student_identifier", "semester", "score_name", format_mean(F.col("score_sum"), F.col("score_count")).alias("shown")
     )
 
 

@@ -9,7 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-COLUMNS_PER_ROW = 10000  # ord = row_no * COLUMNS_PER_ROW + col_no
+COLUMNS_PER_ROW = 10000  # ord = row_no * columns_per_row(width) + col_no
+SCORE_PRECISION, SCORE_SCALE = 28, 8
+
+
+def columns_per_row(width: int) -> int:
+    """Distance between the positions of two rows: more than any column number."""
+    return max(COLUMNS_PER_ROW, 10 ** len(str(width)))
+
 
 SCORE_SCHEMA = T.StructType(
     [
@@ -22,7 +29,7 @@ SCORE_SCHEMA = T.StructType(
         T.StructField("class_standing", T.StringType()),
         T.StructField("emphasis", T.StringType()),
         T.StructField("score_name", T.StringType()),
-        T.StructField("score", T.DecimalType(18, 6)),
+        T.StructField("score", T.DecimalType(SCORE_PRECISION, SCORE_SCALE)),
     ]
 )
 

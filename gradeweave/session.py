@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_RUN: ContextVar[str] = ContextVar("gradeweave_run", default="shared")
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", scratch: str | None = None
+) -> SparkSession:
     """Session for tests and the local bench. A cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -20,23 +29,53 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(CHECKPOINT_SETTING, scratch or _own_folder("session"))
         .getOrCreate()
     )
 
 
+@cache
+def _own_folder(_: str) -> str:
+    """A folder of this process, removed at its end."""
+    folder = tempfile.mkdtemp(prefix="gradeweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session that names none gets a temporary folder; on a
-    cluster a machine-local folder would lose data with its executor.
+    Where the session names none, only local mode has another choice: driver
+    and tasks are one process there and share a folder of its own. The setting
+    itself cannot be changed in a running session.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="gradeweave-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/gradeweave/{spark.sparkContext.applicationId}/{_RUN.get()}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """What is materialized within goes to one folder, which is given; see ``discard``."""
+    token = _RUN.set(uuid.uuid4().hex)
+    try:
+        yield _run_folder(spark)
+    finally:
+        _RUN.reset(token)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a scratch folder, once nothing that was read from it is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -47,7 +86,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     sizes, so that small sides are broadcast and large ones are not.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{scratch_root(spark)}/gradeweave/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

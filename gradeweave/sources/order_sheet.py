@@ -2,7 +2,8 @@
 
 Each order is one student's form for one semester: the customer is the student
 and gives the name and emphasis, the order key picks the planted errors, and up
-to seven order lines give the scores.
+to seven order lines give the scores. One scored column has no heading, and
+some scores have thirteen digits or eight places.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ EMPHASES = {
 STANDINGS = {"1": "1 - Freshman", "2": "2 - Sophomore", "3": "3 - Junior", "4": "4 - Senior", "5": "4 - senior"}
 ATTRIBUTE_HEADERS = ["Row", "First Name", "Last Name", "Class Standing", "Emphasis", "Semester/Date",
                      "Status", "Customer"]
-SCORE_HEADERS = ["Oral", "Metacognition", "Approach", "Approach", "Approach", "Approach", "Overall Success"]
+SCORE_HEADERS = ["Oral", None, "Approach", "Approach", "Approach", "Approach", "Overall Success"]
 HEADER = (*ATTRIBUTE_HEADERS, *SCORE_HEADERS, "Comments")
 FIRST_SCORE_COLUMN = len(ATTRIBUTE_HEADERS) + 1
 
@@ -60,6 +61,8 @@ def _score_text(key: Column, line: int) -> Column:
         .when(_hits(key + line, 31), F.lit("n/a"))
         .when(_hits(key + line, 37), F.concat(F.lit("1,0"), (q + 10).cast("string")))
         .when(_hits(key + line, 41), F.concat(digits, F.lit("-")))
+        .when(_hits(key + line, 43), F.concat(F.lit("12345678901"), F.lpad(digits, 2, "0")))
+        .when(_hits(key + line, 47), F.concat(F.lit("0.000000"), F.lpad(digits, 2, "0")))
         .otherwise(F.concat(F.floor(q / 10).cast("string"), F.lit("."), (q % 10).cast("string")))
     )
 

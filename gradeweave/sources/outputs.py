@@ -27,6 +27,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def write_by_student(df: DataFrame, path: str, fmt: str = "parquet", buckets: int = 64) -> None:
     """Replace the table at ``path``, in folders by a hash of the student: a
-    report is found in one folder, without a folder per student."""
+    report is found in one folder, without a folder per student. Rows of a
+    bucket meet before they are written, so a folder has few files; adaptive
+    execution splits a bucket that is much larger than the others."""
     bucket = F.pmod(F.xxhash64("student_identifier"), F.lit(buckets))
-    df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
+    df.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)

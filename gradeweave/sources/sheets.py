@@ -7,12 +7,17 @@ Header texts may repeat, so cells are addressed by position: ``c1``, ``c2``...
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeweave.session import materialize
+
 ROW_NO = "row_no"
 
 
@@ -71,59 +76,108 @@ def sheet_from_dataframe(df: DataFrame, row_no: str, header: list[str | None] |
 def read_table_sheet(spark: SparkSession, schema: str, sheet_name: str, row_no: str,
                      header: list[str | None] | None = None) -> Sheet:
     table = resolve_sheet_table(spark, schema, sheet_name)
-    return _require_rows(sheet_from_dataframe(spark.table(table), row_no, header), table)
+    return numbered_once(_require_rows(sheet_from_dataframe(spark.table(table), row_no, header), table), table)
 
 
 def read_parquet_sheet(spark: SparkSession, path: str, row_no: str,
                        header: list[str | None] | None = None) -> Sheet:
-    return _require_rows(sheet_from_dataframe(spark.read.parquet(path), row_no, header), path)
+    return numbered_once(_require_rows(sheet_from_dataframe(spark.read.parquet(path), row_no, header), path), path)
+
+
+def numbered_once(sheet: Sheet, where: str) -> Sheet:
+    """The sheet, unless row numbers are missing, unreadable or given twice:
+    every rule about order rests on them."""
+    doubtful = sheet.cells.groupBy(ROW_NO).count().where(F.col(ROW_NO).isNull() | (F.col("count") > 1))
+    found = [("none" if r[ROW_NO] is None else str(r[ROW_NO]), r["count"]) for r in doubtful.limit(5).collect()]
+    if found:
+        told = ", ".join(f"{n} ({times} rows)" for n, times in found)
+        raise ValueError(f"Row numbers of {where} missing or repeated: {told}")
+    return sheet
 
 
 def read_csv_sheet(spark: SparkSession, path: str, row_no_header: str | None = None,
                    multi_line: bool = False) -> Sheet:
-    """Sheet over CSV files that all start with the same header line.
+    """Sheet over CSV files that all start with the same header line; see ``read_csv_sheets``."""
+    sheets = read_csv_sheets(spark, path, row_no_header, multi_line)
+    if len(sheets) > 1:
+        raise ValueError(f"Files of {path} have {len(sheets)} different headers")
+    return sheets[0]
+
+
+def read_csv_sheets(spark: SparkSession, path: str, row_no_header: str | None = None,
+                    multi_line: bool = False) -> list[Sheet]:
+    """Sheets over the CSV files of a folder, one for each different header line.
 
     ``row_no_header`` names the column that holds the row number. Without it
-    rows are numbered by file path and line, the first data row being 2.
+    rows are numbered by file path and line over all files, the first data row
+    being 2. A header is one line.
     """
-    options = {"multiLine": multi_line, "escape": '"', "encoding": "UTF-8"}
-    first = spark.read.options(**options).csv(path).first()
-    if first is None:
+    options = {"multiLine": multi_line, "escape": '"', "encoding": "UTF-8", "header": True}
+    headers = _header_lines(spark, path)
+    if not headers:
         raise ValueError(f"Sheet {path} has no data")
-    header = tuple(first)
-    schema = T.StructType([T.StructField(cell(i), T.StringType()) for i in range(1, len(header) + 1)])
-    cells = spark.read.options(header=True, **options).schema(schema).csv(path)
-    if row_no_header is not None:
-        if row_no_header not in header:
-            raise ValueError(f"No column {row_no_header} in {path}")
-        number = F.col(cell(header.index(row_no_header) + 1)).try_cast("bigint")
-        cells = cells.select(number.alias(ROW_NO), *schema.names)
+    read = []
+    for line in sorted(headers):
+        header = tuple(text or None for text in next(csv.reader([line.removeprefix("\ufeff")])))
+        schema = T.StructType([T.StructField(cell(i), T.StringType()) for i in range(1, len(header) + 1)])
+        files = path if len(headers) == 1 else headers[line]
+        read.append((spark.read.options(**options).schema(schema).csv(files), header))
+    if row_no_header is None:
+        sheets = [Sheet(c, h) for c, (_, h) in zip(number_lines([c for c, _ in read]), read, strict=True)]
     else:
-        cells = number_lines(cells)
-    return _require_rows(Sheet(cells, header), path)
+        if lost := [h for _, h in read if row_no_header not in h]:
+            raise ValueError(f"No column {row_no_header} in {path}: {lost[0]}")
+        number = lambda h: F.col(cell(h.index(row_no_header) + 1)).try_cast("bigint").alias(ROW_NO)
+        sheets = [Sheet(c.select(number(h), *c.columns), h) for c, h in read]
+        numbers = reduce(DataFrame.unionByName, [s.cells.select(ROW_NO) for s in sheets])
+        numbered_once(Sheet(numbers, ()), path)
+    if all(s.cells.isEmpty() for s in sheets):
+        raise ValueError(f"Sheet {path} has no data")
+    return sheets
+
+
+def _header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """First lines and the files that start with them. One row per file comes to the driver, which lists the files anyway."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "id").alias("line"))
+    found: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        found.setdefault(row["line"], []).append(unquote(row["file"]))
+    return found
 
 
-def number_lines(cells: DataFrame) -> DataFrame:
-    """Row numbers in file-path, then line, order, starting at 2.
+def number_lines(parts: list[DataFrame]) -> list[DataFrame]:
+    """Row numbers in file-path, then line, order over all parts, starting at 2.
 
-    Within one file split the generated ids run on line by line, so a row's
-    place is its distance from the split's first id plus the rows of all
-    splits before it. Only per-split totals are ordered in one place.
+    Lines are stored once, with the file split they come from. Within a split
+    the generated ids run on line by line, so a row's place is its distance
+    from the split's first id plus the rows of all splits before it. Only
+    per-split totals are ordered in one place and broadcast, two numbers per
+    split; no line is shuffled.
     """
     split = ["_file", "_start"]
-    lines = cells.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    totals = lines.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    stored = [
+        materialize(p.select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id")), "sheet-lines")
+        for p in parts
+    ]
+    totals = reduce(DataFrame.unionByName, [
+        s.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")) for s in stored
+    ])
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *split, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 2).alias("_shift")
-    )
-    numbered = lines.join(offsets, split)
-    return numbered.select((F.col("_id") + F.col("_shift")).alias(ROW_NO), *cells.columns)
+    offsets = materialize(totals.select(
+        F.xxhash64(*split).alias("_split"),
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 2).alias("_shift"),
+    ), "sheet-splits")
+    numbered = []
+    for part, lines in zip(parts, stored, strict=True):
+        placed = lines.withColumn("_split", F.xxhash64(*split)).join(F.broadcast(offsets), "_split")
+        numbered.append(placed.select((F.col("_id") + F.col("_shift")).alias(ROW_NO), *part.columns))
+    return numbered
 
 
 def write_csv_sheet(sheet: Sheet, path: str) -> None:

@@ -11,10 +11,8 @@ from gradeweave.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(cores="8", shuffle_partitions=4)
+    session = local_session(cores="8", shuffle_partitions=4, scratch=str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
     return session
 
 

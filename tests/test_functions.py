@@ -22,8 +22,8 @@ def test_semester_sort_key(spark):
 
 def test_parse_score(spark):
     known = {
-        "1,234.5": "1234.500000", "3-": "-3.000000", "+4": "4.000000", " 4 ": "4.000000", ".5": "0.500000",
-        "5.": "5.000000", "3 -": "-3.000000", "3+": "3.000000", "-2": "-2.000000", "\t7\n": "7.000000",
+        "1,234.5": "1234.50000000", "3-": "-3.00000000", "+4": "4.00000000", " 4 ": "4.00000000", ".5": "0.50000000",
+        "5.": "5.00000000", "3 -": "-3.00000000", "3+": "3.00000000", "-2": "-2.00000000", "\t7\n": "7.00000000",
         "1e2": None, "(3)": None, "$3": None, "- 3": None, "\xa04": None, "abc": None, "": None, "NaN": None,
         "+": None, ".": None, "+3-": None, ",5": None, "1.2.3": None, None: None,
     }
@@ -33,8 +33,25 @@ def test_parse_score(spark):
 
 def test_parse_score_precision(spark):
     value = "1234567890123456"
-    assert apply(spark, [value], num.parse_score) == [None]
+    assert apply(spark, [value], lambda c: num.parse_score(c, 18, 6)) == [None]
     assert str(apply(spark, [value], lambda c: num.parse_score(c, 28, 6))[0]) == value + ".000000"
+    assert str(apply(spark, [value + ".12345678"], num.parse_score)[0]) == value + ".12345678"
+
+
+def test_number_loss(spark):
+    known = {"1": None, "0.12345678": None, "0.1234567800": None, "0.123456789": "places", "1" * 20: None, "1" * 21: "large",
+             "1,000.000000001-": "places", "+" + "9" * 40: "large"}
+    assert apply(spark, list(known), num.number_loss) == list(known.values())
+
+
+def test_format_mean_rounds_once(spark):
+    # 1e11 scores of a total just under half a hundredth each: rounding the mean first would give 0.01.
+    known = {("499999999.99999999", 10**11): "0", ("500000000", 10**11): "0.01", ("10", 3): "3.33", ("-2.005", 1): "-2.01",
+             ("20", 3): "6.67", ("1234567890123.12345678", 1): "1234567890123.12", ("0", 5): "0", ("-1", 3): "-0.33",
+             ("99999999999999999999999.995", 1): "100000000000000000000000"}
+    rows = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(known)], "i int, t string, n long")
+    shown = rows.select("i", num.format_mean(F.col("t").cast("decimal(38,8)"), F.col("n")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in shown] == list(known.values())
 
 
 def test_format_score(spark):

@@ -94,11 +94,11 @@ def test_scores_and_diagnostics(sheet):
     layout = plan_layout(sheet.header, "F", "M", ("I",))
     rows = read_scores(sheet, layout).orderBy("ord").collect()
     assert [(r.ord, r.student_identifier, r.score_name, str(r.score)) for r in rows[:3]] == [
-        (20006, "Ann Lee", "Oral", "4.000000"), (20007, "Ann Lee", "Acting/Directing Approach", "3.000000"),
-        (20008, "Ann Lee", "Design Approach", "2.000000"),
+        (20006, "Ann Lee", "Oral", "4.00000000"), (20007, "Ann Lee", "Acting/Directing Approach", "3.00000000"),
+        (20008, "Ann Lee", "Design Approach", "2.00000000"),
     ]
     assert [(r.ord, str(r.score)) for r in rows[7:]] == [
-        (30006, "-3.000000"), (30013, "2.000000"), (40006, "2.000000"), (80006, "1000.000000")]
+        (30006, "-3.00000000"), (30013, "2.00000000"), (40006, "2.00000000"), (80006, "1000.00000000")]
     assert rows[0].emphasis == "Musical Theatre Applicant"
     assert rows[-1].emphasis == "Musical Theatre"  # the standing is compared exactly
     assert rows[9].semester_sort == "20190" and rows[9].first_name == "Bob"
