@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gradeweave.functions.aggregates import mode_first_seen, per_key
 from gradeweave.functions.text import full_name
 from gradeweave.operators.likeness import PARTS, distinct_names, name_graph, name_owners
-from gradeweave.session import materialize
+from gradeweave.session import materialize, scratch_folder
 
 log = logging.getLogger(__name__)
 
@@ -115,23 +115,33 @@ def _prepare(identities: DataFrame):
 
 
 def _settle(classes: DataFrame, members: DataFrame) -> DataFrame:
-    """The leading pairs."""
+    """The leading pairs.
+
+    Classes and members shrink to the undecided pairs once these have halved,
+    so late rounds read little. Leaders of all rounds go to one folder.
+    """
+    spark = members.sparkSession
+    folder = scratch_folder(spark, "leaders")
     open_pairs = members.select("pair").distinct()
-    leaders = None
-    rounds = 0
+    held, rounds = None, 0
     while True:
         open_classes = classes.join(open_pairs, "pair", "left_semi")
         open_members = members.join(open_pairs, "pair", "left_semi")
         leading = _earliest_taker(open_members, open_classes).where("pair = taker").select("pair")
-        leading = materialize(leading, "leaders")
-        led = classes.join(leading, "pair", "left_semi")
+        leading.write.parquet(f"{folder}/round={rounds}")
+        leading = spark.read.schema("pair long").parquet(f"{folder}/round={rounds}")
+        led = open_classes.join(leading, "pair", "left_semi")
         settled = _earliest_taker(open_members, led).where("taker <= pair").select("pair")
-        leaders = leading if leaders is None else leaders.unionByName(leading)
         open_pairs = materialize(open_pairs.join(settled, "pair", "left_anti"), "open-pairs")
         rounds += 1
-        if open_pairs.isEmpty():
+        left = open_pairs.count()
+        if left == 0:
             log.info("name clusters settled in %d rounds", rounds)
-            return leaders
+            return spark.read.schema("pair long, round int").parquet(folder).select("pair")
+        if held is None or 2 * left <= held:
+            classes = materialize(classes.join(open_pairs, "pair", "left_semi"), "open-classes")
+            members = materialize(members.join(open_pairs, "pair", "left_semi"), "open-members")
+            held = left
 
 
 def name_clusters(identities: DataFrame) -> DataFrame:

@@ -78,6 +78,11 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """Name of a new folder for tables written part by part."""
+    return f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 
@@ -86,6 +91,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     sizes, so that small sides are broadcast and large ones are not.
     """
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
