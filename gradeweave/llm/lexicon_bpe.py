@@ -24,12 +24,13 @@ import tempfile
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +43,13 @@ SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 #: A merge is one number: its rank above, the id it makes below.
 ID_BITS = 24
 ID_MASK, NO_MERGE = (1 << ID_BITS) - 1, 1 << 60
-#: Words that a worker remembers, and that a counting task holds before it passes them on.
+NO_ID = ID_MASK
+#: Bytes of the words that are merged together, and how many of these at a time.
+MERGED_TOGETHER, WORDS_TOGETHER = 64, 4_096
+#: Chunks that a worker remembers, and that a counting task holds before it passes them on.
 REMEMBERED, COUNTED = 200_000, 200_000
-#: Documents that go back to Spark at a time.
-SLICE = 128
+#: Documents that are encoded at a time, and bytes of their texts, but for a single longer one.
+SLICE, SLICE_BYTES = 128, 1 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -70,6 +74,8 @@ class WordBPE:
             (self.vocab[a], self.vocab[b]): rank << ID_BITS | self.vocab[a + b]
             for rank, (a, b) in enumerate(merges)
         }
+        self.pair_keys = np.array(sorted(a << ID_BITS | b for a, b in self.merges) or [-1], np.int64)
+        self.pair_rules = np.array([self.merges.get((k >> ID_BITS, k & ID_MASK), NO_MERGE) for k in self.pair_keys.tolist()], np.int64)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.plain_added = all(t.startswith("<|") for t in self.added)
@@ -102,33 +108,69 @@ class WordBPE:
         return text.split() if SEPARATORS.isdisjoint(text) else regex.split(r"\s+", text)
 
     def words(self, chunk: str) -> list[str]:
-        return self.pattern.findall(chunk)
+        return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)  # letters alone are one word
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: their tokens, joined by one space as the file has no decoder."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of a word: the pair of the lowest rank is merged, leftmost first, until none is left."""
-        raw = word.encode()
-        ids = [*map(self.byte_ids.__getitem__, raw)]
-        ids[-1] = self.end_ids[raw[-1]]
-        if len(ids) > 256:
-            return self._merge_long(ids)
-        rule = self.merges.get
-        found = [rule(p, NO_MERGE) for p in zip(ids, ids[1:], strict=False)]
-        while found and (least := min(found)) < NO_MERGE:
-            at = found.index(least)
-            ids[at:at + 2] = [least & ID_MASK]
-            del found[at]
-            if at:
-                found[at - 1] = rule((ids[at - 1], ids[at]), NO_MERGE)
-            if at < len(found):
-                found[at] = rule((ids[at], ids[at + 1]), NO_MERGE)
-        return tuple(ids)
+    def rules(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge of each pair of ids, NO_MERGE for those that have none."""
+        key = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_rules[at], NO_MERGE)
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word: the pair of the lowest rank is merged, leftmost first, until none is left. Words of
+        like length are merged together, a merge of each at a time."""
+        raws = [w.encode() for w in words]
+        out = [b""] * len(raws)
+        order = sorted(range(len(raws)), key=lambda i: len(raws[i]))
+        short = [i for i in order if len(raws[i]) <= MERGED_TOGETHER]
+        for begin in range(0, len(short), WORDS_TOGETHER):
+            some = short[begin:begin + WORDS_TOGETHER]
+            for i, ids in zip(some, self._merge_block([raws[i] for i in some]), strict=True):
+                out[i] = ids
+        for i in order[len(short):]:
+            ids = [*map(self.byte_ids.__getitem__, raws[i])]
+            ids[-1] = self.end_ids[raws[i][-1]]
+            out[i] = array("I", self._merge_long(ids)).tobytes()
+        return out
+
+    def _merge_block(self, raws: list[bytes]) -> list[bytes]:
+        lengths = np.array([*map(len, raws)])
+        width, rows = int(lengths.max()), np.arange(len(raws))
+        letters = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raws), np.uint8).reshape(len(raws), width)
+        # One more column than there are letters, so that every place has one behind it; NO_ID pads the rows.
+        ids = np.full((len(raws), width + 1), NO_ID, np.int64)
+        ids[:, :width] = np.where(np.arange(width) < lengths[:, None], np.array(self.byte_ids)[letters], NO_ID)
+        ids[rows, lengths - 1] = np.array(self.end_ids)[letters[rows, lengths - 1]]
+        found = self.rules(ids[:, :-1], ids[:, 1:])
+        out, names = [b""] * len(raws), rows
+        while len(names):
+            at = found.argmin(axis=1)  # the first of equal ranks
+            least = found[np.arange(len(names)), at]
+            live = least < NO_MERGE
+            done = ids[~live]
+            packed, ends = done[done != NO_ID].astype(np.uint32).tobytes(), np.cumsum((done != NO_ID).sum(axis=1)) * 4
+            for name, first, end in zip(names[~live].tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[name] = packed[first:end]
+            names, ids, found, at, least = names[live], ids[live], found[live], at[live], least[live]
+            if not len(names):
+                break
+            row, n = np.arange(len(names)), ids.shape[1]
+            ids[row, at] = least & ID_MASK
+            stay, open_ = np.ones(ids.shape, bool), np.ones(found.shape, bool)
+            stay[row, at + 1], open_[row, at] = False, False
+            ids, found = ids[stay].reshape(len(names), n - 1), found[open_].reshape(len(names), n - 2)
+            behind = at < n - 2
+            found[row[behind], at[behind]] = self.rules(ids[row, at], ids[row, np.minimum(at + 1, n - 2)])[behind]
+            before = at > 0
+            found[row[before], at[before] - 1] = self.rules(ids[row, np.maximum(at - 1, 0)], ids[row, at])[before]
+        return out
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
-        """The same with a heap over linked places, for words of any length."""
+        """The same for one word, with a heap over linked places, for words of any length."""
         from heapq import heapify, heappop, heappush
 
         n, rules = len(ids), self.merges
@@ -155,7 +197,7 @@ def word_bpe(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
+def compile_lexicon(entries: dict[bytes, Sequence[int]]) -> bytes:
     """The automaton over the words, and their ids, as bytes.
 
     Words are added in order. Once the next word leaves a path, the states
@@ -253,48 +295,58 @@ class Lexicon:
         return self.ids[self.starts[rank]:self.starts[rank + 1]].tobytes() if self.final[state] else None
 
 
-class Remembering(dict):
-    """Values by key, made when missing; of two generations the older one goes when the younger is full."""
-
-    def __init__(self, make: Callable[[str], bytes], size: int):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LEXICON_BYTES:
-            if len(self) >= self.size:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Encoder:
-    """Text to ids: chunks and words that were met are remembered, others come from the lexicon or are merged."""
+    """Texts to ids: chunks that were met are remembered; the words of others come from the lexicon or are merged, those of
+    all texts that are given at once together."""
 
     def __init__(self, bpe: WordBPE, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
-        self.by_word = Remembering(self.word, REMEMBERED)
-        self.by_chunk = Remembering(self.chunk, REMEMBERED)
-
-    def word(self, word: str) -> bytes:
-        ids = self.lexicon.get(word.encode())
-        return array("I", self.bpe.merge(word)).tobytes() if ids is None else ids
-
-    def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.by_word.__getitem__, self.bpe.words(chunk)))
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. They are kept packed until here: millions of small tuples would burden the collector."""
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the packed ids of ``chunks``."""
+        known, older, split, words = self.known, self.older, {}, set()
+        for chunk in chunks:
+            ids = older.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+            elif chunk.isalpha():  # letters alone are one word
+                words.add(chunk)
+            else:
+                split[chunk] = self.bpe.words(chunk)
+        ids_of, unseen = {}, []
+        for word in words.union(*split.values()):
+            ids = self.lexicon.get(word.encode())
+            if ids is None:
+                unseen.append(word)
+            else:
+                ids_of[word] = ids
+        ids_of.update(zip(unseen, self.bpe.merge_all(unseen), strict=True))
+        for chunk in words:
+            known[chunk] = ids_of[chunk]
+        for chunk, parts in split.items():
+            known[chunk] = b"".join(map(ids_of.__getitem__, parts))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. They are kept packed until here: millions of small tuples would burden the collector."""
+        if len(self.known) > REMEMBERED:  # of two generations the older one goes
+            self.known, self.older = {}, self.known
+        parts = [[*self.bpe.stretches(text)] for text in texts]
+        new = set().union(*(chunks for part in parts for chunks, _ in part)).difference(self.known)
+        self.learn(new)
         out = []
-        for chunks, added in self.bpe.stretches(text):
-            out.extend(map(self.by_chunk.__getitem__, chunks))
-            if added is not None:
-                out.append(array("I", [self.bpe.added[added]]).tobytes())
-        return np.frombuffer(b"".join(out), np.uint32).astype(np.int32)
+        for part in parts:
+            packed = []
+            for chunks, added in part:
+                packed.extend(map(self.known.__getitem__, chunks))
+                if added is not None:
+                    packed.append(array("I", [self.bpe.added[added]]).tobytes())
+            out.append(np.frombuffer(b"".join(packed), np.uint32).astype(np.int32))
+        for chunk in new:
+            if len(chunk) > LEXICON_BYTES:
+                del self.known[chunk]
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -347,7 +399,20 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
 def build_lexicon(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> bytes:
     """The compiled lexicon of a corpus."""
     bpe = word_bpe(path)
-    return compile_lexicon({w.encode(): bpe.merge(w) for w in frequent_words(docs, path, limit)})
+    words = frequent_words(docs, path, limit)
+    return compile_lexicon({w.encode(): memoryview(ids).cast("I") for w, ids in zip(words, bpe.merge_all(words), strict=True)})
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of doc_id and text, cut up to the bounds of a slice."""
+    begin, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+        if at > begin and (at - begin == SLICE or held + size > SLICE_BYTES):
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < len(batch):
+        yield batch.slice(begin)
 
 
 def _encoding(docs: DataFrame, path: str, lexicon: bytes, fields: dict[str, Callable], schema: str) -> DataFrame:
@@ -358,9 +423,8 @@ def _encoding(docs: DataFrame, path: str, lexicon: bytes, fields: dict[str, Call
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, name, compiled)
         for batch in batches:
-            for begin in range(0, len(batch), SLICE):
-                part = batch.slice(begin, SLICE)
-                rows = [encoder.encode(t.as_py() or "") for t in part.column(1)]
+            for part in _slices(batch):
+                rows = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 made = [f(encoder.bpe, rows) for f in fields.values()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], ["doc_id", *fields])
 
