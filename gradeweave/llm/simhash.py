@@ -95,19 +95,36 @@ def _pairs(fp: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
 
 
+def _homes(distinct: DataFrame) -> DataFrame:
+    """fp, seg, key: a fingerprint's own key in each segment."""
+    own = [
+        F.struct(F.lit(seg).alias("seg"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1).alias("key"))
+        for seg, (low, width) in enumerate(SEGMENTS)
+    ]
+    return distinct.select("fp", F.explode(F.array(*own)).alias("e")).select("fp", "e.*")
+
+
+def _reached(rows: DataFrame) -> DataFrame:
+    """``rows`` under their key, as home, and once more under every key that is one set bit lower."""
+    key = F.col("key")
+    lower = [
+        F.struct(F.when(key.bitwiseAND(1 << bit) != 0, key.bitwiseXOR(F.lit(1 << bit))).alias("key"), F.lit(False).alias("home"))
+        for bit in range(max(width for _, width in SEGMENTS))
+    ]
+    ball = F.array(F.struct(key.alias("key"), F.lit(True).alias("home")), *lower)
+    return rows.withColumn("e", F.explode(ball)).drop("key").select("*", "e.*").drop("e").filter("key is not null")
+
+
 def table_rows(distinct: DataFrame) -> DataFrame:
     """fp, seg, key, home: a fingerprint's own key in each segment, and keys one set bit lower."""
-    entries = []
-    for seg, (low, width) in enumerate(SEGMENTS):
-        key = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
-        entries.append(F.struct(F.lit(seg).alias("seg"), key.alias("key"), F.lit(True).alias("home")))
-        for bit in range(width):
-            lower = F.when(key.bitwiseAND(1 << bit) != 0, key.bitwiseXOR(F.lit(1 << bit)))
-            entries.append(F.struct(F.lit(seg).alias("seg"), lower.alias("key"), F.lit(False).alias("home")))
-    return (
-        distinct.select("fp", F.explode(F.array(*entries)).alias("e"))
-        .select("fp", "e.*").filter("key is not null")
-    )
+    return _reached(_homes(distinct))
+
+
+def key_sizes(distinct: DataFrame) -> DataFrame:
+    """seg, key, n, housed: how many rows of the table stand under a key, and whether any is at home. Fingerprints are
+    counted by their own key before the balls are formed, so there are no more counts than keys."""
+    own = _homes(distinct).groupBy("seg", "key").agg(F.count("*").alias("n"))
+    return _reached(own).groupBy("seg", "key").agg(F.sum("n").alias("n"), F.max("home").alias("housed"))
 
 
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -116,8 +133,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError(f"{len(SEGMENTS)} segments with balls of one bit find up to {2 * len(SEGMENTS) - 1} bits")
     rows, keys = table_rows(distinct), ["seg", "key"]
     few = FEW + 8 * distinct.count() * max(w for _, w in SEGMENTS) // 2 ** min(w for _, w in SEGMENTS)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("home").alias("housed"))
-    crowded = materialize(sizes.filter((F.col("n") > few) & F.col("housed")).select(*keys, "n"), "simhash-crowded")
+    crowded = materialize(key_sizes(distinct).filter((F.col("n") > few) & F.col("housed")).select(*keys, "n"), "simhash-crowded")
     alone = crowded.isEmpty()
     plain = rows if alone else rows.join(crowded, keys, "left_anti")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
