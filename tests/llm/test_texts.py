@@ -6,6 +6,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,48 @@ def test_lexicon_is_minimal_and_exact():
     assert empty.get(b"a") is None
 
 
+def merged_plainly(bpe, word):
+    """The merges of one word, each found by looking at all its pairs."""
+    ids = [bpe.byte_ids[b] for b in word.encode()]
+    ids[-1] = bpe.end_ids[word.encode()[-1]]
+    while True:
+        rules = [bpe.merges.get(p, lexicon_bpe.NO_MERGE) for p in zip(ids, ids[1:])]
+        if not rules or min(rules) == lexicon_bpe.NO_MERGE:
+            return ids
+        at = rules.index(min(rules))
+        ids[at:at + 2] = [rules[at] & lexicon_bpe.ID_MASK]
+
+
+def test_words_merged_together_equal_plain_merges(monkeypatch):
+    monkeypatch.setattr(lexicon_bpe, "WORDS_TOGETHER", 50)
+    bpe, rng = lexicon_bpe.word_bpe(BPE), random.Random(4)
+    words = ["".join(rng.choice("aaeinorstthé日") for _ in range(rng.randrange(1, 14))) for _ in range(500)]
+    words += ["a" * n for n in (1, 2, 63, 64, 65, 300)] + ["the", "the"]
+    for word, ids in zip(words, bpe.merge_all(words), strict=True):
+        assert list(memoryview(ids).cast("I")) == merged_plainly(bpe, word)
+    assert bpe.merge_all([]) == []
+
+
+def test_encoder_forgets_and_slices_are_bounded(monkeypatch):
+    monkeypatch.setattr(lexicon_bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(lexicon_bpe, "SLICE", 4)
+    monkeypatch.setattr(lexicon_bpe, "SLICE_BYTES", 100)
+    texts = ["", "x" * 500, None, "one two, three", "four five", "one two", "y" * 90, "z" * 90, "one", None, "", "two", "six"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for p in lexicon_bpe._slices(batch)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len(t or "") for t in p) <= 100) for p in parts)
+    bpe = lexicon_bpe.word_bpe(BPE)
+    encoder = lexicon_bpe.Encoder(bpe, lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon({})))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    for part in parts:
+        for text, ids in zip(part, encoder.encode([t or "" for t in part]), strict=True):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+        assert all(len(c) <= lexicon_bpe.LEXICON_BYTES for c in encoder.known)
+
+
 def test_frequent_words_are_bounded(docs_of):
     docs = docs_of(["b b b b a a c", "b a <|endoftext|> b", None])
     assert lexicon_bpe.frequent_words(docs, BPE, 2) == ["b"] or set(lexicon_bpe.frequent_words(docs, BPE, 2)) == {"a", "b"}
