@@ -12,11 +12,11 @@ Wrappers align with wrappers in the same way. So each task folds its pages into
 wrapper per host, and these are aligned in two steps per host; a host with a
 third of all pages is folded in all tasks.
 
-Extraction walks a page along its host's wrapper. What the wrapper shows to be the
-template's (a text that stayed the same on ``ENOUGH`` pages whose longest texts differ) falls
-away, as do elements that are not content by their tag, role, class or id; of the
-rest, the article or main part counts, or else the body without its lists of
-links. A text that the wrapper does not place is judged by the page alone.
+Extraction walks a page along its host's wrapper. Elements that are not content by their tag, role,
+class or id fall away. Of the rest, the article or main part counts, whole; a page without one gives its body without
+lists of links and without what the wrapper shows to be the template's (a text that stayed the same on ``ENOUGH``
+pages whose longest texts, of those that count, differ). A text that the wrapper does not place is judged by the
+page alone.
 
 Defined results: null or empty html gives an empty text; a null or odd url stands for the host ""; unclosed and stray
 tags are tolerated; repeated rows are extracted each; extra columns are dropped; nothing is cut off.
@@ -204,7 +204,7 @@ def _digest(text: str) -> str:
 
 def wrapper_of(page: Element) -> list:
     """The wrapper of a single page."""
-    seen = _digest(max((text for text, _ in _texts(page)), key=len, default=""))
+    seen = _digest(max(_blocks(page, None), key=len, default=""))
 
     def node(element: Element) -> list:
         kids = [
@@ -353,7 +353,11 @@ def _slots(wrapper: str) -> Slots:
 
 def main_text(page: str | None, slots: Slots | None) -> str:
     """The blocks of a page's main part, two line ends between them."""
-    root = parsed(page)
+    return "\n\n".join(_blocks(parsed(page), slots))
+
+
+def _blocks(root: Element, slots: Slots | None) -> list[str]:
+    """The texts that count, in order; without a wrapper, by the page alone."""
     region = _has_main(root)
     blocks: list[str] = []
 
@@ -370,7 +374,7 @@ def main_text(page: str | None, slots: Slots | None) -> str:
                 found, place = slots.child(node[3], place, "#" if is_text else f"<{kid.label}>")
             if is_text:
                 template = found is not None and found[1] is not None and len(found[3]) >= ENOUGH
-                if (inside or not region) and not template:
+                if inside or not region and not template:
                     blocks.append(kid[0])
                 continue
             if kid.mark == "drop" or kid.mark == "header" and not (inside and _has_heading(kid)):
@@ -380,7 +384,7 @@ def main_text(page: str | None, slots: Slots | None) -> str:
             walk(kid, found, inside or kid.mark == "main")
 
     walk(root, slots.root if slots else None, False)
-    return "\n\n".join(blocks)
+    return blocks
 
 
 def _texts(element: Element) -> Iterator[tuple[str, bool]]:
