@@ -373,7 +373,7 @@ def _blocks(root: Element, slots: Slots | None) -> list[str]:
             if slots is not None and node is not None and node[0] == "E":
                 found, place = slots.child(node[3], place, "#" if is_text else f"<{kid.label}>")
             if is_text:
-                template = found is not None and found[1] is not None and len(found[3]) >= ENOUGH
+                template = found is not None and len(found[3]) >= ENOUGH and found[1] == _digest(kid[0])
                 if inside or not region and not template:
                     blocks.append(kid[0])
                 continue

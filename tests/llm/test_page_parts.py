@@ -23,3 +23,9 @@ def test_constant_texts_of_an_article_stay():
 def test_pages_are_told_apart_by_texts_that_count():
     copies = [f"<div><p>Short</p></div><div class='ad'>A long advert, number {i}</div><nav><a>And a long menu {i}</a></nav>" for i in range(9)]
     assert texts(*copies) == [["Short"]] * 9
+
+
+def test_a_text_is_template_only_if_it_is_the_constant():
+    first = ["<div><p>a</p>x</div>", "<div>y</div>"]
+    rest = [f"<div>Advert<p>Longer text {i}</p>z{i}</div>" for i in range(5)]
+    assert texts(*first, *rest) == [["a", "x"], ["y"], *[[f"Longer text {i}", f"z{i}"] for i in range(5)]]
