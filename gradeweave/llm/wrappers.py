@@ -28,6 +28,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ ENOUGH = 5
 #: Children a wrapper's stream may have before it becomes a repeated group, hosts a task folds at a time, and parts in
 #: which a host's wrappers are aligned first.
 WIDE, HOSTS, PARTS = 16, 2_000, 64
-#: Nesting that is told apart.
+#: Nesting that wrappers tell apart; deeper elements are flat to them. The tree of a page has no bound.
 DEEP = 150
 
 # HTML's void elements, elements whose content is no markup, and block-level elements.
@@ -78,12 +79,16 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    """An element of a page: its name, what its attributes say of it, its children and texts in order."""
+    """An element of a page: its name, what its attributes say of it, its children and texts in order.
 
-    __slots__ = ("name", "label", "mark", "kids")
+    Set once all is read, for the whole subtree: the number of texts and of those that are links, whether a main part
+    with text stands outside what is dropped, and whether there is a heading.
+    """
+
+    __slots__ = ("name", "label", "mark", "kids", "texts", "linked", "main", "heading")
 
     def __init__(self, name: str, attributes: dict[str, str]):
-        self.name, self.kids = name, []
+        self.name, self.kids, self.texts, self.linked, self.main, self.heading = name, [], 0, 0, False, False
         named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
         self.label = f"{name}.{re.sub(r'[0-9]+', '', named)}" if named else name
         hidden = "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
@@ -99,6 +104,18 @@ class Element:
         else:
             self.mark = "drop" if MARKS.search(named) else ""
 
+    def sum_up(self) -> None:
+        """Sets what is said of the subtree; its elements come first."""
+        for kid in self.kids:
+            if isinstance(kid, Element):
+                self.texts += kid.texts
+                self.linked += kid.linked
+                self.main = self.main or kid.mark != "drop" and (kid.mark == "main" and kid.texts > 0 or kid.main)
+                self.heading = self.heading or kid.heading or kid.name in ("h1", "h2")
+            else:
+                self.texts += 1
+                self.linked += kid[1]
+
 
 def attributes_of(rest: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {}
@@ -108,6 +125,7 @@ def parsed(page: str | None) -> Element:
     """Tree of a page's block-level elements. Texts are strings with a flag for texts that are links."""
     root = Element("#root", {})
     stack, text, links, in_link = [root], [], [], 0
+    elements, at = [root], defaultdict(list)  # in the order of their start tags; places in the stack by name
 
     def flush() -> None:
         joined = SPACE.sub(" ", "".join(text)).strip()
@@ -119,7 +137,17 @@ def parsed(page: str | None) -> Element:
 
     def close(down_to: int) -> None:
         flush()
-        del stack[down_to:]
+        while len(stack) > down_to:
+            at[stack.pop().name].pop()
+
+    def enter(element: Element) -> None:
+        at[element.name].append(len(stack))
+        stack[-1].kids.append(element)
+        stack.append(element)
+        elements.append(element)
+
+    def nearest(names: set[str]) -> int:
+        return max((at[x][-1] for x in names if at[x]), default=0)
 
     def add(piece: str) -> None:
         text.append(piece)
@@ -144,9 +172,8 @@ def parsed(page: str | None) -> Element:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in BLOCK or _marked_inline(stack, name):
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-                if at:
-                    close(at)
+                if at[name]:
+                    close(at[name][-1])
                 else:
                     flush()
         elif name == "br":
@@ -157,21 +184,20 @@ def parsed(page: str | None) -> Element:
             flush()
             if name in CLOSES:
                 shut, bound = CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in bound:
-                        break
-                    if stack[i].name in shut:
-                        close(i)
+                while (place_of := nearest(shut)) > nearest(bound):
+                    close(place_of)
             elif stack[-1].name == "p":
                 close(len(stack) - 1)
             if name != "hr":
-                _open(stack, Element(name, attributes_of(found["rest"])))
+                enter(Element(name, attributes_of(found["rest"])))
         elif name not in VOID and found["rest"].strip(" /"):
             element = Element(name, attributes_of(found["rest"]))
             if element.mark == "drop":  # inline, but not content
                 flush()
-                _open(stack, element)
+                enter(element)
     flush()
+    for element in reversed(elements):
+        element.sum_up()
     return root
 
 
@@ -179,13 +205,6 @@ def _marked_inline(stack: list[Element], name: str) -> bool:
     return stack[-1].name == name and stack[-1].mark == "drop"
 
 
-def _open(stack: list[Element], element: Element) -> None:
-    """Elements deeper than DEEP stay flat: their texts go to the element they stand in."""
-    if len(stack) < DEEP:
-        stack[-1].kids.append(element)
-        stack.append(element)
-
-
 # A wrapper's nodes are lists, which JSON can hold:
 #   ["#", value or None, linked, pages]       a text, its slot open (None) once values differ; until then, digests of
 #                                             up to ENOUGH pages that show it, by their longest text
@@ -206,14 +225,14 @@ def wrapper_of(page: Element) -> list:
     """The wrapper of a single page."""
     seen = _digest(max(_blocks(page, None), key=len, default=""))
 
-    def node(element: Element) -> list:
+    def node(element: Element, depth: int) -> list:
         kids = [
-            [node(kid) if isinstance(kid, Element) else ["#", _digest(kid[0]), kid[1], [seen]], False, False]
-            for kid in element.kids
+            [node(kid, depth + 1) if isinstance(kid, Element) else ["#", _digest(kid[0]), kid[1], [seen]], False, False]
+            for kid in (element.kids if depth < DEEP else _texts(element))
         ]
         return ["E", element.label, element.mark, folded(kids)]
 
-    return node(page)
+    return node(page, 1)
 
 
 def folded(kids: list) -> list:
@@ -358,55 +377,47 @@ def main_text(page: str | None, slots: Slots | None) -> str:
 
 def _blocks(root: Element, slots: Slots | None) -> list[str]:
     """The texts that count, in order; without a wrapper, by the page alone."""
-    region = _has_main(root)
+    region = root.main
     blocks: list[str] = []
-
-    def link_list(element: Element) -> bool:
-        texts = list(_texts(element))
-        return len(texts) > 1 and all(linked for _, linked in texts)
-
-    def walk(element: Element, node: list | None, inside: bool) -> None:
-        place = 0
-        for kid in element.kids:
-            is_text = not isinstance(kid, Element)
-            found = None
-            if slots is not None and node is not None and node[0] == "E":
-                found, place = slots.child(node[3], place, "#" if is_text else f"<{kid.label}>")
-            if is_text:
-                template = found is not None and len(found[3]) >= ENOUGH and found[1] == _digest(kid[0])
-                if inside or not region and not template:
-                    blocks.append(kid[0])
-                continue
-            if kid.mark == "drop" or kid.mark == "header" and not (inside and _has_heading(kid)):
-                continue
-            if not region and not inside and link_list(kid):
-                continue
-            walk(kid, found, inside or kid.mark == "main")
-
-    walk(root, slots.root if slots else None, False)
+    # Of each open element: children to come, its node, the place in the node's children, whether in the main part.
+    walk: list[list] = [[iter(root.kids), slots.root if slots else None, 0, False]]
+    while walk:
+        kids, node, place, inside = walk[-1]
+        kid = next(kids, None)
+        if kid is None:
+            walk.pop()
+            continue
+        is_text = not isinstance(kid, Element)
+        found = None
+        if not is_text and len(walk) >= DEEP:
+            found = node
+        elif node is not None and node[0] == "E":
+            found, walk[-1][2] = slots.child(node[3], place, "#" if is_text else f"<{kid.label}>")
+        if is_text:
+            template = found is not None and len(found[3]) >= ENOUGH and found[1] == _digest(kid[0])
+            if inside or not region and not template:
+                blocks.append(kid[0])
+            continue
+        if kid.mark == "drop" or kid.mark == "header" and not (inside and kid.heading):
+            continue
+        if not region and not inside and kid.texts > 1 and kid.texts == kid.linked:  # a list of links
+            continue
+        walk.append([iter(kid.kids), found, 0, inside or kid.mark == "main"])
     return blocks
 
 
 def _texts(element: Element) -> Iterator[tuple[str, bool]]:
-    for kid in element.kids:
-        if isinstance(kid, Element):
-            yield from _texts(kid)
+    walk = [iter(element.kids)]
+    while walk:
+        kid = next(walk[-1], None)
+        if kid is None:
+            walk.pop()
+        elif isinstance(kid, Element):
+            walk.append(iter(kid.kids))
         else:
             yield kid
 
 
-def _has_main(element: Element) -> bool:
-    """Whether a main part with text stands outside what is dropped."""
-    return any(
-        isinstance(k, Element) and k.mark != "drop" and (k.mark == "main" and any(True for _ in _texts(k)) or _has_main(k))
-        for k in element.kids
-    )
-
-
-def _has_heading(element: Element) -> bool:
-    return any(isinstance(k, Element) and (k.name in ("h1", "h2") or _has_heading(k)) for k in element.kids)
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     wrappers = materialize(infer_wrappers(pages), "wrappers")

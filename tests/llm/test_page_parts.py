@@ -29,3 +29,14 @@ def test_a_text_is_template_only_if_it_is_the_constant():
     first = ["<div><p>a</p>x</div>", "<div>y</div>"]
     rest = [f"<div>Advert<p>Longer text {i}</p>z{i}</div>" for i in range(5)]
     assert texts(*first, *rest) == [["a", "x"], ["y"], *[[f"Longer text {i}", f"z{i}"] for i in range(5)]]
+
+
+def test_nesting_has_no_bound():
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    assert texts(f"<div id=page><article>{deep(200, 'a')}<p>rest</p></article></div>") == [["a", "rest"]]
+    assert texts("x" + deep(200, "<nav>menu</nav><div class='ad'>buy<div>now</div></div>b") + "c") == [["x", "b", "c"]]
+    assert texts("<div>" * 200 + "<nav>menu</nav>b") == [["b"]]
+    assert texts("x" + deep(200, "<article>y</article>")) == [["y"]]
+    assert texts(deep(20_000, "z")) == [["z"]]
+    pages = [deep(200, f"<p>Text of page {i}</p>") + "<p>Terms</p>" for i in range(6)]
+    assert texts(*pages) == [[f"Text of page {i}"] for i in range(6)]
