@@ -62,13 +62,40 @@ CLOSES = {
 }
 NOT_CONTENT = frozenset("nav footer aside form button dialog menu head fieldset".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-bar|aside|footer|masthead|banner|topbar|"
-    r"ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookies?|consent|gdpr|notice|"
-    r"notices|notification|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|"
-    r"comments?|commentlist|disqus|replies|respond|popup|modal|overlay|toolbar|pagination|pager|widget|skip-link)"
-    r"(?:$|[\s_-])|(?:^|\s)(?:(?:site|page|main|top)[_-]?)?header(?:$|\s)|comment(?:s|list)?$", re.I)
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|teaser|promo|ads?|sponsored)(?:$|[\s_-])", re.I)
+# Names in a class or id by which an element is no content: a token counts if each of its parts, between hyphens and
+# underscores, is one of these words or an affix, and one is a word. So ``cookie-notice`` and ``sidebar-left`` count, and
+# ``has-sidebar``, ``tag-ads`` and ``social-policy`` do not.
+SURE = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer ad ads advert adverts advertisement advertising "
+    "sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus replies respond login signup "
+    "pagination pager skip-link".split()
+)
+WORDS = SURE | frozenset(
+    "sidebar side-bar aside masthead banner topbar promo promotion notice notices notification alert newsletter subscribe "
+    "subscription share sharing social related recommended popup modal overlay toolbar widget widgets".split()
+)
+AFFIXES = frozenset(
+    "site page main top bottom left right first second primary secondary tertiary global sub mobile desktop sticky fixed "
+    "floating js google dfp the bar box block wrapper wrap container inner outer area section group holder list item items "
+    "slot unit zone label title link links button buttons btn icon icons bar form trail posts articles stories body text "
+    "header center side".split()
+)
+HEADERS = re.compile(r"(?:(?:site|page|main|top)[_-]?)?header")
+TEASERS = frozenset("comment comments reply replies related teaser promo ad ads sponsored".split())
+ANSWERS = frozenset("comment comments reply replies".split())
+JOINED = re.compile(r"(?!no|has|with|hide|show)[a-z]+comment(?:s|list)?")
+#: Marks of elements that fall away: by tag or role, and surely or less so by class or id.
+DROPS = ("drop", "sure", "class")
+
+
+def _says(named: str, words: frozenset[str]) -> bool:
+    """Whether a token of a class or id consists of such words and affixes."""
+    for token in named.lower().split():
+        parts = [x for x in re.split(r"[_-]+", token) if x and not x.isdigit()]
+        if token in words or any(x in words for x in parts) and all(x in words or x in WORDS or x in AFFIXES for x in parts):
+            return True
+    return False
+
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -81,14 +108,19 @@ SPACE = re.compile(r"\s+")
 class Element:
     """An element of a page: its name, what its attributes say of it, its children and texts in order.
 
+    The mark "sure" or "class" is one by class or id alone; the page as a whole decides about these (``_settle``).
+
     Set once all is read, for the whole subtree: the number of texts and of those that are links, whether a main part
-    with text stands outside what is dropped, and whether there is a heading.
+    with text stands outside what is dropped, whether one stands there by tag and role alone, whether that is a ``main``,
+    the characters of such parts and of all texts but links outside what is dropped, and whether there is a heading.
     """
 
-    __slots__ = ("name", "label", "mark", "kids", "texts", "linked", "main", "heading")
+    __slots__ = ("name", "label", "mark", "part", "kids", "texts", "linked", "main", "held", "only", "chars", "kept", "doubt", "heading")
 
     def __init__(self, name: str, attributes: dict[str, str]):
-        self.name, self.kids, self.texts, self.linked, self.main, self.heading = name, [], 0, 0, False, False
+        self.name, self.kids, self.part = name, [], ""
+        self.texts = self.linked = self.chars = self.kept = 0
+        self.main = self.held = self.only = self.doubt = self.heading = False
         named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
         self.label = f"{name}.{re.sub(r'[0-9]+', '', named)}" if named else name
         hidden = "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
@@ -96,25 +128,42 @@ class Element:
         if hidden or name in NOT_CONTENT or role in ROLES:
             self.mark = "drop"
         elif name in ("article", "main") or role in ("main", "article"):
-            self.mark = "drop" if COMMENTS.search(named) else "main"
+            self.part = "main" if "main" in (name, role) else "article"
+            self.mark = "class" if self.part == "article" and _says(named, TEASERS) else "main"
+            if self.mark == "class" and _says(named, ANSWERS):
+                self.part = "answer"
         elif name in ("html", "body"):
             self.mark = ""
         elif name == "header":
             self.mark = "header"
         else:
-            self.mark = "drop" if MARKS.search(named) else ""
+            self.mark = "" if not named else "sure" if _says(named, SURE) or any(map(JOINED.fullmatch, named.lower().split())) else "class" if _says(named, WORDS) else ""
+            if not self.mark and any(HEADERS.fullmatch(x) for x in named.lower().split()):
+                self.mark = "class"
 
     def sum_up(self) -> None:
         """Sets what is said of the subtree; its elements come first."""
+        size = 0
         for kid in self.kids:
-            if isinstance(kid, Element):
-                self.texts += kid.texts
-                self.linked += kid.linked
-                self.main = self.main or kid.mark != "drop" and (kid.mark == "main" and kid.texts > 0 or kid.main)
-                self.heading = self.heading or kid.heading or kid.name in ("h1", "h2")
-            else:
+            if not isinstance(kid, Element):
                 self.texts += 1
                 self.linked += kid[1]
+                size += 0 if kid[1] else len(kid[0])
+                continue
+            self.texts += kid.texts
+            self.linked += kid.linked
+            self.heading = self.heading or kid.heading or kid.name in ("h1", "h2")
+            if kid.mark == "drop":
+                continue
+            self.held = self.held or kid.held or kid.mark == "main" and kid.texts > 0
+            self.only = self.only or kid.only or kid.part == "main" and kid.texts > 0
+            self.chars += kid.chars
+            if kid.mark not in DROPS:
+                self.main = self.main or kid.main or kid.mark == "main" and kid.texts > 0
+                size += kid.kept
+        self.kept = size
+        if self.part in ("main", "article"):
+            self.chars = max(self.chars, size)
 
 
 def attributes_of(rest: str) -> dict[str, str]:
@@ -192,17 +241,33 @@ def parsed(page: str | None) -> Element:
                 enter(Element(name, attributes_of(found["rest"])))
         elif name not in VOID and found["rest"].strip(" /"):
             element = Element(name, attributes_of(found["rest"]))
-            if element.mark == "drop":  # inline, but not content
+            if element.mark in DROPS:  # inline, but not content
                 flush()
                 enter(element)
     flush()
     for element in reversed(elements):
         element.sum_up()
+    _settle(elements)
     return root
 
 
+def _settle(elements: list[Element]) -> None:
+    """Decides about elements marked by class or id alone.
+
+    One that holds the page's ``main`` stays. Where no main part stands outside of them, those that hold articles stay if
+    these have most of the text. The others fall away, but for the case that nothing else counts (``counted``).
+    """
+    root = elements[0]
+    outweigh = not root.main and root.chars > 0 and root.chars >= root.kept
+    for x in elements:
+        if x.mark in ("sure", "class"):
+            x.doubt = x.mark == "class" and x.part != "answer"
+            x.mark = "drop" if not (x.only or outweigh and x.chars > 0) else "main" if x.part else ""
+    root.main = root.main or root.only or outweigh and root.held
+
+
 def _marked_inline(stack: list[Element], name: str) -> bool:
-    return stack[-1].name == name and stack[-1].mark == "drop"
+    return stack[-1].name == name and stack[-1].mark in DROPS
 
 
 # A wrapper's nodes are lists, which JSON can hold:
@@ -223,7 +288,7 @@ def _digest(text: str) -> str:
 
 def wrapper_of(page: Element) -> list:
     """The wrapper of a single page."""
-    seen = _digest(max(_blocks(page, None), key=len, default=""))
+    seen = _digest(max(counted(page, None), key=len, default=""))
 
     def node(element: Element, depth: int) -> list:
         kids = [
@@ -372,12 +437,16 @@ def _slots(wrapper: str) -> Slots:
 
 def main_text(page: str | None, slots: Slots | None) -> str:
     """The blocks of a page's main part, two line ends between them."""
-    return "\n\n".join(_blocks(parsed(page), slots))
+    return "\n\n".join(counted(parsed(page), slots))
+
+
+def counted(root: Element, slots: Slots | None) -> list[str]:
+    """The texts that count, in order; without a wrapper, by the page alone. Where none does, a class or id that does not
+    tell surely is not followed, and then all of the body counts."""
+    return _blocks(root, slots, root.main, False) or _blocks(root, slots, root.main, True) or _blocks(root, slots, False, True)
 
 
-def _blocks(root: Element, slots: Slots | None) -> list[str]:
-    """The texts that count, in order; without a wrapper, by the page alone."""
-    region = root.main
+def _blocks(root: Element, slots: Slots | None, region: bool, trusting: bool) -> list[str]:
     blocks: list[str] = []
     # Of each open element: children to come, its node, the place in the node's children, whether in the main part.
     walk: list[list] = [[iter(root.kids), slots.root if slots else None, 0, False]]
@@ -398,7 +467,7 @@ def _blocks(root: Element, slots: Slots | None) -> list[str]:
             if inside or not region and not template:
                 blocks.append(kid[0])
             continue
-        if kid.mark == "drop" or kid.mark == "header" and not (inside and kid.heading):
+        if kid.mark == "drop" and not (trusting and kid.doubt) or kid.mark == "header" and not (inside and kid.heading):
             continue
         if not region and not inside and kid.texts > 1 and kid.texts == kid.linked:  # a list of links
             continue

@@ -40,3 +40,28 @@ def test_nesting_has_no_bound():
     assert texts(deep(20_000, "z")) == [["z"]]
     pages = [deep(200, f"<p>Text of page {i}</p>") + "<p>Terms</p>" for i in range(6)]
     assert texts(*pages) == [[f"Text of page {i}"] for i in range(6)]
+
+
+def test_layout_classes_do_not_drop_the_article():
+    for holder in ('div class="content has-sidebar"', 'div id=page class="no-sidebar"', 'div class="elementor-widget"',
+                   'div class="post social-policy"', 'article class="post tag-ads"', 'main class="no-comments"'):
+        name = holder.split()[0]
+        assert texts(f"<body><{holder}><p>Text</p></{name}></body>") == [["Text"]], holder
+    for holder in ("sidebar", "widget", "cookie-notice", "ads"):  # what holds the article stays, whatever its class
+        for part in ("article", "main", "div role=main", "article class=promo"):
+            assert texts(f"<p>Site</p><div class={holder}><{part}><p>All the text</p></{part.split()[0]}></div>")[0][-1] == "All the text"
+    assert texts("<div class=widget><p>All there is</p></div>") == [["All there is"]]
+    assert texts("<article><div class=widget><p>All there is</p></div></article><p>Site</p>") == [["All there is"]]
+    pages = [f"<div><p>Text of page {i}</p></div><p>Terms</p>" for i in range(6)]  # what the wrapper leaves nothing of
+    assert texts(*pages, "<div class=notice><p>A notice</p></div><p>Terms</p>")[-1] == ["A notice"]
+
+
+def test_marked_classes_still_fall_away():
+    for mark in ("ad", "ad-slot", "google-ads", "cookie-notice", "site-footer", "left-sidebar", "related-posts", "share-buttons", "comment-list",
+                 "main-nav", "newsletter-signup", "top-bar banner", "widget widget_text", "site-header", "usercomments", "Sidebar--left", "ad-300"):
+        assert texts(f'<div class="{mark}"><p>bad</p></div><div><p>Text</p></div>') == [["Text"]], mark
+    answers = "<div id=comments>" + "<article class='comment even'><p>A long comment</p></article>" * 5 + "</div>"
+    assert texts(f"<div><p>Text</p></div>{answers}") == [["Text"]]
+    assert texts(f"<article><p>Text</p></article>{answers}") == [["Text"]]
+    assert texts("<article><p>Text</p></article><div class=related><article><p>Another and a longer text</p></article></div>") == [["Text"]]
+    assert texts("<div class=ad><p>buy</p></div>") == [[""]]
