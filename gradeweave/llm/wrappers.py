@@ -47,9 +47,11 @@ WIDE, HOSTS, PARTS = 16, 2_000, 64
 #: Nesting that wrappers tell apart; deeper elements are flat to them. The tree of a page has no bound.
 DEEP = 150
 
-# HTML's void elements, elements whose content is no markup, and block-level elements.
+# HTML's void elements, elements whose content is no markup, elements that fall away within a text and
+# end at a block, and block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+MUTE = frozenset("svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary "
@@ -174,6 +176,7 @@ def parsed(page: str | None) -> Element:
     """Tree of a page's block-level elements. Texts are strings with a flag for texts that are links."""
     root = Element("#root", {})
     stack, text, links, in_link = [root], [], [], 0
+    muted: list[str] = []  # open elements of MUTE, and a foreignobject within an svg, which may hold blocks
     elements, at = [root], defaultdict(list)  # in the order of their start tags; places in the stack by name
 
     def flush() -> None:
@@ -199,11 +202,14 @@ def parsed(page: str | None) -> Element:
         return max((at[x][-1] for x in names if at[x]), default=0)
 
     def add(piece: str) -> None:
+        if muted:
+            return
         text.append(piece)
         if in_link:
             links.append(piece)
 
     place, page = 0, page or ""
+    last_foreign = -1
     while found := TOKEN.match(page, place):
         place = found.end()
         if found["text"] is not None:
@@ -216,11 +222,25 @@ def parsed(page: str | None) -> Element:
             if not found["end"] and not found["rest"].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, place)
                 place = end.end() if end else len(page)
-            add(" " if name != "svg" else "")
+            add(" ")
+        elif name in MUTE or muted and name == "foreignobject":
+            if found["end"]:
+                if name in muted:
+                    while muted.pop() != name:
+                        pass
+            elif not found["rest"].endswith("/"):
+                if name == "foreignobject" and last_foreign < 0:
+                    last_foreign = page.lower().rfind("</foreignobject")
+                if name != "foreignobject" or place < last_foreign:
+                    add(" " if name == "select" else "")
+                    muted.append(name)
+        elif muted and muted[-1] == "foreignobject" and place <= last_foreign:
+            continue
         elif found["end"]:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in BLOCK or _marked_inline(stack, name):
+                muted.clear()
                 if at[name]:
                     close(at[name][-1])
                 else:
@@ -230,6 +250,9 @@ def parsed(page: str | None) -> Element:
         elif name == "a":
             in_link += 1
         elif name in BLOCK:
+            if name == "hr" and muted:
+                continue
+            muted.clear()
             flush()
             if name in CLOSES:
                 shut, bound = CLOSES[name]

@@ -65,3 +65,16 @@ def test_marked_classes_still_fall_away():
     assert texts(f"<article><p>Text</p></article>{answers}") == [["Text"]]
     assert texts("<article><p>Text</p></article><div class=related><article><p>Another and a longer text</p></article></div>") == [["Text"]]
     assert texts("<div class=ad><p>buy</p></div>") == [[""]]
+
+
+def test_embedded_markup_costs_no_article():
+    article = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><p>Rest</p></article>"
+    assert texts(article) == [["Let x=2 be", "Rest"]]
+    assert texts("<article><object data=a.svg><p>Fallback</p></object><p>Rest</p></article>") == [["Fallback", "Rest"]]
+    for tag in ("math", "object", "svg", "select"):  # without an end tag
+        assert texts(f"<p>a <{tag}></p><article><p>One</p><p><{tag} x=y></p><p>Two</p></article>") == [["One", "Two"]], tag
+        assert texts(f"<{tag}><article><p>One</p></article>") == [["One"]], tag
+    assert texts("<p>Click <svg><title>t</title><g><text>no</text></g><a>no</a><svg/></svg> here <select><option>a<hr><option>b</select>too</p>") == [["Click here too"]]
+    assert texts("<p>a <svg><foreignObject><div>no</div><p>no</p></foreignObject><text>no</text></svg>b</p>") == [["a b"]]
+    assert texts("<p>a <svg><foreignObject></p><p>b</p>") == [["a", "b"]]
+    assert texts("<p>a <svg><foreignObject></p><p>b <svg><foreignObject>no</foreignObject></svg></p><p>c</p>")[0][-1] == "c"
