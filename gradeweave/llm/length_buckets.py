@@ -6,9 +6,10 @@ batches hold as many documents as fit a token budget when each is padded to the
 bucket's length.
 
 The histogram has one cell for each length up to ``EXACT_TO`` and above it 1024
-cells for each doubling, so it has a proven bound (about 100,000 cells) at any
-size of the corpus; a cell is represented by the largest length in it, so every
-document fits its bucket. A document longer than the budget is a batch of its
+cells for each doubling. A cell counts its lengths one by one while they are at most ``EACH``, which holds for all
+cells of the first doubling; a cell with more is represented by the largest length in it, so every document fits its
+bucket. So boundaries are optimal, or optimal among these lengths and cells where cells hold more, and the histogram
+has a proven bound (about 1,100,000 entries) at any size of the corpus. A document longer than the budget is a batch of its
 own: nothing is cut.
 
 Defined results: null lengths count as 0, equal lengths and repeated rows are
@@ -24,6 +25,8 @@ from pyspark.sql.window import Window
 
 #: Lengths counted one by one; a power of two.
 EXACT_TO = 65_536
+#: Different lengths that a cell counts one by one: all that the narrowest cells above EXACT_TO can hold.
+EACH = 64
 #: Rows that are numbered together when batches are formed, at least this many batches' worth.
 SHARD_ROWS, SHARD_BATCHES = 100_000, 64
 
@@ -75,7 +78,7 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
             if len(hull) > head:
                 m, b, i = hull[head]
                 now[j], choice[j] = m * x + b + total[j] * x, i
-        choices.append(choice)
+        choices.append(np.array(choice, np.int32))
         if best[n] is not None and now[n] is not None and now[n] >= best[n]:
             choices.pop()
             break
@@ -85,16 +88,18 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
         if j == 0:
             break
         bounds.append(xs[j - 1])
-        j = choice[j]
+        j = int(choice[j])
     return bounds[::-1]
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """longest, n for every occupied cell; ``lengths`` has n_tokens."""
-    return (
-        lengths.groupBy(cell(F.col("n_tokens")).alias("cell"))
-        .agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
+    """longest, n for every occupied cell, or for each length of a cell with few; ``lengths`` has n_tokens."""
+    single = lengths.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    by_cell = single.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(
+        F.collect_list(F.struct(F.col("n_tokens").alias("longest"), "n")).alias("each"),
+        F.struct(F.max("n_tokens").alias("longest"), F.sum("n").alias("n")).alias("whole"),
     )
+    return by_cell.select(F.inline(F.when(F.size("each") <= EACH, F.col("each")).otherwise(F.array("whole"))))
 
 
 def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_536) -> DataFrame:
