@@ -81,3 +81,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND mean_chars BETWEEN 2.0 AND 12.0 AND symbols <= 0.1 AND stops >= 0.06 AND dups <= 0.5 AS kept
 FROM judged
 """
+
+ORACLE["op13_fill_in_middle"] = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), numbered AS (
+    SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS one, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS two,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+            WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), cut AS (
+    SELECT *, substr(t, 1, least(one, two)) AS p, substr(t, least(one, two) + 1, greatest(one, two) - least(one, two)) AS m,
+        substr(t, greatest(one, two) + 1) AS s
+    FROM numbered
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(one, two) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN greatest(one, two) - least(one, two) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM cut
+"""

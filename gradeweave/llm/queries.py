@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.llm import (
-    chat_parts, knn_quality, length_buckets, lexicon_bpe, line_dedup, quality_rules, rotated_codes, simhash, token_counts,
+    chat_parts, fill_in_middle, knn_quality, length_buckets, lexicon_bpe, line_dedup, quality_rules, rotated_codes, simhash, token_counts,
     wrappers,
 )
 from gradeweave.llm.common import prepare, table
@@ -105,3 +105,13 @@ def op9_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document's fill-in-middle output and of the text rebuilt from it."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("fim.output"), F.col("fim.form"))
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
