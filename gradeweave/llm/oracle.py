@@ -82,6 +82,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+_NUMBERS = "len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0"
+
+ORACLE["op11_pca_tiles"] = f"""
+WITH RECURSIVE sound AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND {_NUMBERS} AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound AS a, sound AS b
+    WHERE a.vec_id <> b.vec_id
+        AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT a AS vec_id, (SELECT count(*) FROM links WHERE links.a = reached.a) AS n_links, min(b) AS component_id, min(b) = a AS kept
+FROM reached GROUP BY a
+"""
+
 ORACLE["op13_fill_in_middle"] = """
 WITH drawn AS (
     SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.llm import (
-    chat_parts, fill_in_middle, knn_quality, length_buckets, lexicon_bpe, line_dedup, quality_rules, rotated_codes, simhash, token_counts,
-    wrappers,
+    chat_parts, fill_in_middle, knn_quality, length_buckets, lexicon_bpe, line_dedup, pca_tiles, quality_rules, rotated_codes,
+    simhash, token_counts, wrappers,
 )
 from gradeweave.llm.common import prepare, table
 
@@ -107,6 +107,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query
+def op11_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, by cosines of 0.9 and more."""
+    return pca_tiles.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, cuts and digests of every document's fill-in-middle output and of the text rebuilt from it."""

@@ -188,7 +188,7 @@ def test_odd_pages(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     rel = con.execute(ORACLE[name])
     heads = [d[0] for d in rel.description]
