@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.llm import (
-    chat_parts, fill_in_middle, knn_quality, length_buckets, lexicon_bpe, line_dedup, pca_tiles, quality_rules, rotated_codes,
+    chat_parts, fill_in_middle, half_cells, knn_quality, length_buckets, lexicon_bpe, line_dedup, pca_tiles, quality_rules, rotated_codes,
     simhash, token_counts, wrappers,
 )
 from gradeweave.llm.common import prepare, table
@@ -113,6 +113,17 @@ def op11_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca_tiles.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+@query
+def op12_half_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, by integer scores."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    given, e = table(spark, sf_dir, "embeddings"), F.col("embedding").cast("array<double>")
+    items = given.select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(~F.exists(e, bad), F.transform(e, lambda x: F.floor(256 * x))).alias("ints"))
+    return half_cells.hard_negatives(items, F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, cuts and digests of every document's fill-in-middle output and of the text rebuilt from it."""
