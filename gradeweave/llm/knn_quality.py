@@ -8,9 +8,12 @@ broadcast; every document's cosines with all of them are computed in blocks,
 and the nearest ``NEIGHBOURS`` vote with their similarity.
 
 Training is bounded by ``MAX_LABELLED`` rows, the first by a hash of doc_id,
-which bounds what the driver collects and broadcasts (``MAX_LABELLED`` times
-``DIMENSIONS`` plus ``TERMS`` times ``DIMENSIONS`` numbers). Only rows outside the fold that is held out
-are learnt from; language, source, labels and ids are no inputs.
+which bounds what the driver collects (``MAX_LABELLED`` times ``TERMS`` numbers, as one Arrow buffer) and broadcasts
+(``MAX_LABELLED`` times ``DIMENSIONS`` plus ``TERMS`` times ``DIMENSIONS`` numbers). Only rows outside the fold that is
+held out are learnt from; language, source, labels and ids are no inputs.
+
+Cosines are taken in double precision and rounded to ``STEP``, so that neither the size of a batch nor the order of a
+sum decides who votes: of equally near neighbours, those vote whose doc_id has the smaller hash.
 
 Defined results: a null or empty text gets the share of good rows in training, and any text does where no row is
 labelled (0.5 then); of several labels of a document the lowest counts; extra columns are kept by ``keep_good``.
@@ -25,15 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import BinaryType
 
 from gradeweave.llm.common import fresh
+from gradeweave.session import materialize
 
 MAX_LABELLED = 6_000
 PAIR_TERMS, STRUCTURE_TERMS = 1_024, 4
 TERMS = PAIR_TERMS + STRUCTURE_TERMS
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 25, 4
 BLOCK = 512
+#: What cosines are rounded to.
+STEP = 1e-9
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,9 +73,9 @@ def term_vector(text: str | None) -> np.ndarray:
     return out
 
 
-@F.arrow_udf(ArrayType(FloatType()))
+@F.arrow_udf(BinaryType())
 def _terms(texts: pa.Array) -> pa.Array:
-    return pa.array([term_vector(t.as_py()) for t in texts], pa.list_(pa.float32()))
+    return pa.array([term_vector(t.as_py()).tobytes() for t in texts], pa.binary())
 
 
 @dataclass(frozen=True)
@@ -83,15 +89,18 @@ class NeighbourModel:
     @classmethod
     def fit(cls, rows: np.ndarray, labels: np.ndarray) -> NeighbourModel:
         seen = (rows > 0).sum(axis=0)
-        idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
-        weighted = rows * idf
-        _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-        projection = idf[:, None] * vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-        return cls(projection, cls.unit(rows @ projection), labels.astype(np.float32))
+        idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+        _, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64) * idf[:, None] * idf[None, :])
+        projection = idf[:, None] * vectors[:, ::-1][:, :DIMENSIONS]
+        return cls(projection, cls.latent(rows, projection), labels.astype(np.float64))
 
     @staticmethod
-    def unit(rows: np.ndarray) -> np.ndarray:
-        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    def latent(rows: np.ndarray, projection: np.ndarray) -> np.ndarray:
+        """Rows of terms as unit vectors of the latent space."""
+        out = np.empty((len(rows), projection.shape[1]))
+        for begin in range(0, len(rows), BLOCK):
+            out[begin:begin + BLOCK] = rows[begin:begin + BLOCK].astype(np.float64) @ projection
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def prior(self) -> float:
         return float(self.labels.mean()) if len(self.labels) else 0.5
@@ -102,12 +111,14 @@ class NeighbourModel:
         k = min(NEIGHBOURS, len(self.labels))
         if k == 0:
             return out
+        n = len(self.labels)
         for begin in range(0, len(rows), BLOCK):
-            cosines = self.unit(rows[begin:begin + BLOCK] @ self.projection) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(cosines, near, axis=1), 0, None).astype(np.float64) ** SHARPNESS
+            steps = np.rint(self.latent(rows[begin:begin + BLOCK], self.projection) @ self.vectors.T / STEP).astype(np.int64)
+            order = n - 1 - np.arange(n) + steps * n  # by cosine, then by place: no two are equal
+            near = np.sort(np.partition(order, n - k, axis=1)[:, n - k:], axis=1)
+            weight = np.clip((near // n) * STEP, 0, None) ** SHARPNESS
             total = weight.sum(axis=1)
-            vote = (weight * self.labels[near]).sum(axis=1)
+            vote = (weight * self.labels[n - 1 - near % n]).sum(axis=1)
             out[begin:begin + BLOCK] = np.where(total > 0, vote / np.where(total > 0, total, 1), out[begin:begin + BLOCK])
         return np.clip(out, 0.0, 1.0)
 
@@ -119,16 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Neighb
         usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    rows = (
+    # Stored first, so that a few files and not all tasks send their rows to the driver.
+    held = materialize(
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
-        .select("doc_id", "quality", _terms("text").alias("terms"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toArrow()
-    )
-    terms = np.array(rows["terms"].to_pylist(), np.float32).reshape(-1, TERMS)
-    quality = rows["quality"].to_numpy()
-    if len(terms) == 0:
-        return NeighbourModel(np.zeros((TERMS, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.float32))
-    return NeighbourModel.fit(terms, quality)
+        .select("doc_id", "quality", _terms("text").alias("terms")), "quality-terms")
+    rows = held.orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(limit).select("quality", "terms").toArrow()
+    if len(rows) == 0:
+        return NeighbourModel(np.zeros((TERMS, DIMENSIONS)), np.zeros((0, DIMENSIONS)), np.zeros(0))
+    raw = rows["terms"].combine_chunks()
+    begin, end = (np.frombuffer(raw.buffers()[1], np.int32)[at] for at in (raw.offset, raw.offset + len(raw)))
+    terms = np.frombuffer(raw.buffers()[2], np.float32, (end - begin) // 4, begin).reshape(-1, TERMS)
+    return NeighbourModel.fit(terms, rows["quality"].to_numpy())
 
 
 def scored(docs: DataFrame, model: NeighbourModel, name: str) -> DataFrame:

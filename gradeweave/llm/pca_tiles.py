@@ -380,7 +380,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
         listed.select("node", "vec", "copies", "lowest").join(counts, "node", "left").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    lowest = nodes.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    # Grouped by the root as a struct, so that the join's shuffle is its own and can split a component with many members.
+    lowest = nodes.groupBy(F.struct("root").alias("k")).agg(F.min("lowest").alias("component_id")).select("k.root", "component_id")
     classes = nodes.join(lowest, "root").select(
         "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     placed = good.join(classes, "vec").select(

@@ -88,6 +88,19 @@ def test_classifier_on_the_held_out_fold(spark, docs_of):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in rows)
 
 
+def test_equally_near_neighbours_vote_in_order_and_batches_change_nothing():
+    rng = np.random.default_rng(3)
+    terms = rng.random((40, knn_quality.TERMS)).astype(np.float32)
+    twins = np.repeat(terms[:4], 20, axis=0)  # each row twenty times: more than vote
+    marks = np.arange(80) % 20 < 10
+    model = knn_quality.NeighbourModel.fit(twins, marks)
+    for one in range(4):
+        assert model.scores(terms[one:one + 1])[0] > 0.5  # of its copies all vote, then the first of the next twin
+    rows = rng.random((700, knn_quality.TERMS)).astype(np.float32)
+    alone = np.concatenate([model.scores(rows[i:i + 1]) for i in range(0, 700, 50)])
+    assert np.abs(alone - model.scores(rows)[::50]).max() < 1e-12
+
+
 def test_held_out_labels_do_not_reach_the_scores(spark, docs_of):
     docs, labels = labelled(spark, docs_of)
     wrong = labels.withColumn("quality", F.when(knn_quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -99,12 +112,12 @@ def test_classifier_equals_brute_force_and_takes_odd_rows(spark, docs_of):
     docs, labels = labelled(spark, docs_of)
     model = knn_quality.fit(docs, labels)
     rows = np.stack([knn_quality.term_vector(t) for t in ("River and stone. " * 9, "RIVER!! AND!! " * 9, "x")])
-    unit = model.unit(rows @ model.projection)
+    unit = model.latent(rows, model.projection)
     for i, got in enumerate(model.scores(rows)):
         cosines = unit[i] @ model.vectors.T
         near = np.argsort(-cosines, kind="stable")[:knn_quality.NEIGHBOURS]
         w = np.clip(cosines[near], 0, None).astype(float) ** knn_quality.SHARPNESS
-        assert abs(got - (w * model.labels[near]).sum() / w.sum()) < 1e-3
+        assert abs(got - (w * model.labels[near]).sum() / w.sum()) < 1e-6
     odd = docs_of([(1, None), (2, ""), (None, "x"), (4, "the " * 100_000), (4, "y")])
     scores = [r.score for r in knn_quality.quality_scores(odd, labels).collect()]
     assert len(scores) == 5 and all(0 <= s <= 1 for s in scores)
