@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import mode_first_seen, per_key
-from gradeweave.functions.text import full_name
+from gradeweave.functions.text import full_name, taken_as_same
 from gradeweave.operators.likeness import PARTS, distinct_names, name_graph, name_owners
 from gradeweave.session import materialize, scratch_folder
 
@@ -48,7 +48,7 @@ def _placed(pairs: DataFrame, owners: DataFrame) -> DataFrame:
             F.col("owner").alias(f"{part}_owner"),
             F.col("owner_block").alias(f"{part}_owner_block"),
         )
-        key = F.upper(f"{part}_name")
+        key = taken_as_same(F.col(f"{part}_name"))
         out = out.join(names, key == F.col(f"{part}_key")).drop(f"{part}_key")
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import commonest
+from gradeweave.functions.text import fold
 
 TERM = ["student_identifier", "semester"]
 STANDING, EMPHASIS = "class_standing", "emphasis"
@@ -22,7 +23,7 @@ def attribute_conflicts(profiles: DataFrame, attributes: list[str]) -> DataFrame
     values = profiles.select(*TERM, "n", "first_ord", F.inline(listed))
     keys = [*TERM, "attribute"]
     spelled = values.groupBy(*keys, "value").agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
-    folded = F.struct(F.upper("value"))  # a struct is counted even when its field is missing
+    folded = F.struct(fold(F.col("value")))  # a struct is counted even when its field is missing
     found = spelled.groupBy(*keys).agg(
         F.count_distinct(folded).alias("n_values"), commonest("value", "n", "first_ord").alias("value")
     )

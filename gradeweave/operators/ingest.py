@@ -13,6 +13,8 @@ from gradeweave.functions.text import (
     NBSP,
     WHITE_SPACE,
     clean,
+    fold,
+    fold_text,
     full_name,
     is_blank,
     semester_sort_key,
@@ -84,7 +86,7 @@ def map_header(header: Sequence[str | None], last: int) -> tuple[dict[str, int],
         text = _clean_header(raw)
         if not text:
             continue
-        if text.upper() == REPEATED_HEADER.upper():
+        if fold_text(text) == fold_text(REPEATED_HEADER):
             if seen < len(REPEATED_NAMES):
                 renamed[position] = REPEATED_NAMES[seen]
             seen += 1
@@ -181,7 +183,7 @@ def row_diagnostics(named: DataFrame) -> DataFrame:
 def reclassify_emphasis(rows: DataFrame) -> DataFrame:
     """First-year and new students of one programme count as its applicants."""
     emphasis = F.col("emphasis")
-    entering = (F.col("class_standing") == FRESHMAN) | F.contains(F.upper("semester"), F.lit(NEW_STUDENT))
+    entering = (F.col("class_standing") == FRESHMAN) | F.contains(fold(F.col("semester")), F.lit(NEW_STUDENT))
     return rows.withColumn(
         "emphasis", F.when(entering & (emphasis == APPLICANT_OF), F.lit(APPLICANT)).otherwise(emphasis)
     )

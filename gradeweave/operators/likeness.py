@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import per_key
-from gradeweave.functions.text import is_blank, sound_code, sounds_or_looks_alike
+from gradeweave.functions.text import fold, is_blank, sound_code, sounds_or_looks_alike
 from gradeweave.session import materialize
 
 PARTS = ("first", "last")
@@ -48,7 +48,7 @@ def name_nodes(names: DataFrame) -> DataFrame:
 
     Blank names are alike to nothing but themselves and get a block each.
     """
-    folded = names.groupBy("part", F.upper("name").alias("key")).agg(
+    folded = names.groupBy("part", fold(F.col("name")).alias("key")).agg(
         F.count(F.lit(1)).alias("variants"), F.max("name_ord").alias("key_ord")
     )
     key = F.col("key")

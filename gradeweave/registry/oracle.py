@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from gradeweave.registry.queries import SEMESTER
 from gradeweave.sources.order_sheet import (
+    ALIKE_EMPHASES,
+    ALIKE_FIRST,
+    ALIKE_LAST,
+    ALIKE_STANDINGS,
     EMPHASES,
     FIRST_NAMES,
     FIRST_SCORE_COLUMN,
@@ -25,6 +29,15 @@ def _case(key: str, mapping: dict[str, str]) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 
 
+def _marked(x: str) -> str:
+    """Upper case in which the letters without capital that occur are one-byte marks, as edits are counted in bytes."""
+    return f"upper(translate({x}, '\xdf\u0131', chr(1) || chr(2)))"
+
+
+def _upper(x: str) -> str:
+    return f"translate({_marked(x)}, chr(1) || chr(2), '\xdf\u0131')"
+
+
 # The texts of reports and messages, written out once more.
 NOT_AVAILABLE = "N/A"
 TITLE = "Assessment Scores For "
@@ -53,8 +66,8 @@ forms AS (
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 ),
 base AS (
-  SELECT *, CASE WHEN c % 97 = 0 THEN 'Mary' ELSE {_list(FIRST_NAMES)}[c % 16 + 1] END AS bf,
-         CASE WHEN c % 97 = 0 THEN 'Ann'
+  SELECT *, CASE WHEN c % 97 = 0 THEN 'Mary' WHEN c % 83 < 2 THEN {_list(ALIKE_FIRST)}[c % 83 + 1] ELSE {_list(FIRST_NAMES)}[c % 16 + 1] END AS bf,
+         CASE WHEN c % 97 = 0 THEN 'Ann' WHEN c % 89 < 2 THEN {_list(ALIKE_LAST)}[c % 89 + 1]
               ELSE {_list(SURNAME_HEADS)}[(c // 16) % 16 + 1] || {_list(SURNAME_TAILS)}[(c // 256) % 12 + 1] END AS bl
   FROM forms
 ),
@@ -63,8 +76,8 @@ sheet AS (
     CASE WHEN k % 67 = 0 OR k % 61 = 0 THEN NULL WHEN k % 53 = 0 THEN bl WHEN k % 179 = 0 THEN 'Mary-Ann'
          WHEN k % 47 = 0 THEN bf[1:2] || bf[4:] WHEN k % 59 = 0 THEN chr(160) || bf || chr(160) ELSE bf END AS first_raw,
     CASE WHEN k % 67 = 0 THEN NULL WHEN k % 53 = 0 THEN bf WHEN k % 43 = 0 THEN bl || 's' ELSE bl END AS last_raw,
-    CASE WHEN k % 73 = 0 THEN NULL ELSE {_case("prio[1:1]", STANDINGS)} END AS standing_raw,
-    CASE WHEN k % 71 = 0 THEN NULL ELSE {_case("seg", EMPHASES)} END AS emphasis_raw,
+    CASE WHEN k % 73 = 0 THEN NULL WHEN c % 83 < 2 THEN {_list(ALIKE_STANDINGS)}[k % 2 + 1] ELSE {_case("prio[1:1]", STANDINGS)} END AS standing_raw,
+    CASE WHEN k % 71 = 0 THEN NULL WHEN c % 89 < 2 THEN {_list(ALIKE_EMPHASES)}[k % 2 + 1] ELSE {_case("seg", EMPHASES)} END AS emphasis_raw,
     CASE WHEN k % 79 = 0 THEN 'TBD' WHEN k % 83 = 0 THEN 'New Student Fall ' || year(d)
          WHEN month(d) < 7 THEN 'Spring ' || year(d) ELSE 'Fall ' || year(d) END AS semester_raw
   FROM base
@@ -243,7 +256,7 @@ swapped AS (
 
 def _code(name: str) -> str:
     """Sound code: runs of one class, also across H and W, collapse class by class."""
-    letters = f"regexp_replace(upper({name}), '[^A-Z]', '', 'g')"
+    letters = f"regexp_replace({_upper(name)}, '[^A-Z]', '', 'g')"
     body = f"translate({letters}, 'BFPVCGJKQSXZDTLMNR', '111122222222334556')"
     head = f"translate({letters}[1:1], 'BFPVCGJKQSXZDTLMNR', '111122222222334556')"
     for d in "123456":
@@ -256,7 +269,7 @@ def _code(name: str) -> str:
 def _names(source: str) -> str:
     return f"""
 names AS MATERIALIZED (
-  SELECT part, name, min(ord) AS ord, {_code("name")} AS code
+  SELECT part, name, min(ord) AS ord, {_code("name")} AS code, {_marked("name")} AS up
   FROM (SELECT 'first' AS part, first_name AS name, ord FROM {source}
         UNION ALL SELECT 'last', last_name, ord FROM {source})
   WHERE trim(coalesce(name, '')) <> '' GROUP BY part, name
@@ -264,9 +277,8 @@ names AS MATERIALIZED (
 alike AS MATERIALIZED (
   SELECT a.part, a.name AS a, a.ord AS a_ord, a.code AS a_code, b.name AS b, b.code AS b_code
   FROM names a JOIN names b ON a.part = b.part
-  WHERE a.code = b.code OR levenshtein(upper(a.name), upper(b.name)) <= 1
-     OR starts_with(upper(a.name), upper(b.name)) OR starts_with(upper(b.name), upper(a.name))
-     OR ends_with(upper(a.name), upper(b.name)) OR ends_with(upper(b.name), upper(a.name))
+  WHERE a.code = b.code OR levenshtein(a.up, b.up) <= 1
+     OR starts_with(a.up, b.up) OR starts_with(b.up, a.up) OR ends_with(a.up, b.up) OR ends_with(b.up, a.up)
 )"""
 
 
@@ -284,19 +296,19 @@ used AS MATERIALIZED (
 )"""
 
 # Pairs of names, and the pairs each would take of those after it. Empty names do not occur.
-EDGES = """
+EDGES = f"""
 pairs AS MATERIALIZED (
   SELECT first_name, last_name, min(ord) AS ord, count(*) AS n FROM swapped
   WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY ALL
 ),
 wide AS (SELECT part, name, unnest(members) AS member FROM used),
-folded AS MATERIALIZED (SELECT DISTINCT part, name, upper(member) AS member FROM wide),
+folded AS MATERIALIZED (SELECT DISTINCT part, name, {_upper('member')} AS member FROM wide),
 takes AS MATERIALIZED (
   SELECT p.ord AS taker, q.ord AS taken
   FROM pairs p
   JOIN folded x ON x.part = 'first' AND x.name = p.first_name
   JOIN folded y ON y.part = 'last' AND y.name = p.last_name
-  JOIN pairs q ON upper(q.first_name) = x.member AND upper(q.last_name) = y.member
+  JOIN pairs q ON {_upper('q.first_name')} = x.member AND {_upper('q.last_name')} = y.member
   WHERE p.ord <= q.ord
 )"""
 
@@ -365,7 +377,7 @@ def _conflicts(source: str) -> str:
 ),
 {tag}_conflicts AS MATERIALIZED (
   SELECT student_identifier, semester, c.n_values, m.{attribute}
-  FROM (SELECT student_identifier, semester, count(DISTINCT coalesce(upper({attribute}), chr(1))) AS n_values
+  FROM (SELECT student_identifier, semester, count(DISTINCT coalesce({_upper(attribute)}, chr(3))) AS n_values
         FROM {source} GROUP BY ALL) c
   JOIN {tag}_modes m USING (student_identifier, semester)
   WHERE m.place = 1 AND c.n_values > 1
@@ -521,10 +533,10 @@ FROM documents JOIN terms USING (student_identifier) JOIN student_places USING (
     "soundex_names": f"""WITH {SCORES}, n AS (SELECT DISTINCT 'first' AS part, first_name AS name FROM scores
   UNION SELECT 'last', last_name FROM scores)
 SELECT part, name, {_code("name")} AS code FROM n WHERE name IS NOT NULL""",
-    "levenshtein_pairs": f"""WITH {SCORES}, n AS (SELECT DISTINCT 'first' AS part, upper(first_name) AS name FROM scores
-  UNION SELECT 'last', upper(last_name) FROM scores)
+    "levenshtein_pairs": f"""WITH {SCORES}, n AS (SELECT DISTINCT 'first' AS part, {_upper("first_name")} AS name, {_marked("first_name")} AS up FROM scores
+  UNION SELECT 'last', {_upper("last_name")}, {_marked("last_name")} FROM scores)
 SELECT a.part, a.name, b.name AS other FROM n a JOIN n b ON a.part = b.part AND a.name <> b.name
-WHERE levenshtein(a.name, b.name) <= 1""",
+WHERE levenshtein(a.up, b.up) <= 1""",
     "similar_first_names": _alike("first"),
     "similar_last_names": _alike("last"),
     "maximal_name_sets": f"WITH {SCORES},{SWAPS},{LIKENESS} SELECT part, name, owner_name, set_size FROM used",

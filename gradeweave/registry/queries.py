@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import mode_first_seen
 from gradeweave.functions.numbers import format_mean
-from gradeweave.functions.text import clean, semester_sort_key, sound_code
+from gradeweave.functions.text import clean, fold, semester_sort_key, sound_code
 from gradeweave.operators import averages as avg
 from gradeweave.operators import clusters as clu
 from gradeweave.operators import conflicts as con
@@ -324,7 +324,7 @@ def alike_names(spark, sf_dir, part: str) -> DataFrame:
     names = lik.distinct_names(swapped_identities_of(spark, sf_dir)).where(F.col("part") == part)
     names = materialize(names, "distinct-names")
     nodes = materialize(lik.name_nodes(names), "name-nodes")
-    placed = names.select("name", F.upper("name").alias("key")).join(nodes.where("not blank"), "key")
+    placed = names.select("name", fold(F.col("name")).alias("key")).join(nodes.where("not blank"), "key")
     placed = placed.select("name", "node", F.element_at(F.split("block", ":", 2), 2).alias("code"))
     linked = lik.name_links(nodes).select("node", "linked")
     other = placed.select(F.col("node").alias("linked"), F.col("name").alias("alike"))
@@ -349,7 +349,7 @@ def maximal_name_sets(spark, sf_dir):
     """Each distinct name with the set it uses, named by the set's owner."""
     names = materialize(lik.distinct_names(swapped_identities_of(spark, sf_dir)), "distinct-names")
     owners = lik.name_owners(lik.name_graph(names))
-    used = names.select("part", "name", F.upper("name").alias("key")).join(
+    used = names.select("part", "name", fold(F.col("name")).alias("key")).join(
         owners.where("not blank").select("part", "key", "owner", F.col("owner_size").alias("set_size")),
         ["part", "key"],
     )

@@ -29,6 +29,9 @@ EMPHASES = {
     "MACHINERY": "Education",
 }
 STANDINGS = {"1": "1 - Freshman", "2": "2 - Sophomore", "3": "3 - Junior", "4": "4 - Senior", "5": "4 - senior"}
+# Spellings that differ by such a letter: first names, surnames, standings, emphases.
+ALIKE_FIRST, ALIKE_LAST = ("Ilkin", "Ilk\u0131n"), ("Strauss", "Strau\xdf")
+ALIKE_STANDINGS, ALIKE_EMPHASES = ("5 - Diploma", "5 - D\u0131ploma"), ("Masswerk", "Ma\xdfwerk")
 ATTRIBUTE_HEADERS = ["Row", "First Name", "Last Name", "Class Standing", "Emphasis", "Semester/Date",
                      "Status", "Customer"]
 SCORE_HEADERS = ["Oral", None, "Approach", "Approach", "Approach", "Approach", "Overall Success"]
@@ -84,12 +87,13 @@ def score_sheet_wide(spark: SparkSession, sf_dir: str) -> Sheet:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     missing = F.lit(None).cast("string")
     mary_ann = _hits(c, 97)
-    first = F.when(mary_ann, F.lit("Mary")).otherwise(_pick(FIRST_NAMES, c))
+    other_i, other_s = c % 83 < 2, c % 89 < 2
+    first = F.when(mary_ann, F.lit("Mary")).when(other_i, _pick(ALIKE_FIRST, c % 83)).otherwise(_pick(FIRST_NAMES, c))
     surname = F.concat(
         _pick(SURNAME_HEADS, F.shiftright(c, 4)),  # 16 first names
         _pick(SURNAME_TAILS, F.shiftright(c, 8)),  # 16 surname heads
     )
-    last = F.when(mary_ann, F.lit("Ann")).otherwise(surname)
+    last = F.when(mary_ann, F.lit("Ann")).when(other_s, _pick(ALIKE_LAST, c % 89)).otherwise(surname)
     nbsp = F.lit(NBSP)
     year = F.year("o_orderdate").cast("string")
 
@@ -107,10 +111,10 @@ def score_sheet_wide(spark: SparkSession, sf_dir: str) -> Sheet:
         .when(_hits(k, 43), F.concat(last, F.lit("s")))
         .otherwise(last)
     )
-    standing = F.when(_hits(k, 73), missing).otherwise(
+    standing = F.when(_hits(k, 73), missing).when(other_i, _pick(ALIKE_STANDINGS, k)).otherwise(
         _lookup(STANDINGS, F.substring("o_orderpriority", 1, 1))
     )
-    emphasis = F.when(_hits(k, 71), missing).otherwise(_lookup(EMPHASES, F.col("c_mktsegment")))
+    emphasis = F.when(_hits(k, 71), missing).when(other_s, _pick(ALIKE_EMPHASES, k)).otherwise(_lookup(EMPHASES, F.col("c_mktsegment")))
     semester = (
         F.when(_hits(k, 79), F.lit("TBD"))
         .when(_hits(k, 83), F.concat(F.lit("New Student Fall "), year))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeweave.functions.text import fold_text
 from gradeweave.session import materialize
 
 ROW_NO = "row_no"
@@ -40,7 +41,7 @@ def resolve_sheet_path(spark: SparkSession, workbook: str, sheet_name: str) -> s
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(root):
         for status in sorted(fs.listStatus(root), key=lambda s: s.getPath().getName()):
-            if status.getPath().getName().lower() == sheet_name.lower():
+            if fold_text(status.getPath().getName()) == fold_text(sheet_name):
                 return status.getPath().toString()
     raise ValueError(f"Sheet {sheet_name} not found in {workbook}")
 
@@ -48,7 +49,7 @@ def resolve_sheet_path(spark: SparkSession, workbook: str, sheet_name: str) -> s
 def resolve_sheet_table(spark: SparkSession, schema: str, sheet_name: str) -> str:
     """Qualified name of the catalog table whose name matches, in any case."""
     for table in spark.catalog.listTables(schema):
-        if table.name.lower() == sheet_name.lower():
+        if fold_text(table.name) == fold_text(sheet_name):
             return f"{schema}.{table.name}"
     raise ValueError(f"Sheet {sheet_name} not found in {schema}")
 

@@ -98,3 +98,21 @@ def test_column_number(bad):
     assert [column_number(x) for x in ("A", "I", "Z", "AA", "AP", "BA")] == [1, 9, 26, 27, 42, 53]
     with pytest.raises(ValueError):
         column_number(bad)
+
+
+def test_fold_changes_one_letter_to_one_letter(spark):
+    known = {
+        "Strauß": "STRAUß", "Strauss": "STRAUSS", "Ilkın": "ILKıN", "Ilkin": "ILKIN", "éΩя": "ÉΩЯ", "ﬁ ŉ ǰ": "ﬁ ŉ ǰ", "ſ": "ſ",
+        "ÿ": "Ÿ", "ẞ": "ẞ", "": "", None: None, "a😀ß\nb": "A😀ß\nB", "σς": "ΣΣ",
+    }
+    assert apply(spark, list(known), txt.fold) == list(known.values())
+    assert [None if x is None else txt.fold_text(x) for x in known] == list(known.values())
+    assert apply(spark, list(known), txt.taken_as_same) == list(known.values())
+
+
+def test_letters_without_capital_stay_apart_in_codes_and_likeness(spark):
+    assert apply(spark, ["Strauß", "Strauss", "Ilkın", "Ilkin", "ſnow"], txt.sound_code) == ["S360", "S362", "I425", "I425", "N000"]
+    alike = lambda a, b: apply(spark, [a], lambda c: txt.sounds_or_looks_alike(c, F.lit(b)))[0]
+    assert not alike("Strauß", "Strauss") and alike("Ilkın", "Ilkin") and alike("STRAUß", "straußen")
+    assert apply(spark, ["ß"], lambda c: txt.within_one_edit(c, F.lit("s"))) == [True]  # one letter against another
+    assert apply(spark, ["ß"], lambda c: txt.within_one_edit(c, F.lit("ss"))) == [False]

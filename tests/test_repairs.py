@@ -49,6 +49,14 @@ NAME_CASES = {
 }
 
 
+NAME_CASES["a letter without a capital"] = (
+    [("Eric", "Strauß", "Eric Strauß", 4), ("Eric", "Strauss", "Eric Strauss", 3), ("Eric", "Strauss", "Eric Strauss", 4)],
+    0, [("Eric", "Strauß"), ("Eric", "Strauss"), ("Eric", "Strauss")])
+NAME_CASES["a letter without a capital, one edit apart"] = (
+    [("Ilkın", "Snow", "Ilkın Snow", 4), ("Ilkin", "Snow", "Ilkin Snow", 3), ("Ilkin", "Snow", "Ilkin Snow", 4)],
+    1, [("Ilkin", "Snow")] * 3)
+
+
 @pytest.fixture(scope="module")
 def repaired_cases(scores_of):
     """All cases at once: each is many small jobs, so they run side by side."""
@@ -172,3 +180,11 @@ def test_misspelling_may_combine_a_new_name(scores_of):
     rows, _ = outcome(validate_scores(scores_of([{"first": f, "last": l} for f, l in names])))
     # Smyth is commonest by last name, Jon by first name.
     assert {(r.first_name, r.last_name, r.student_identifier) for r in rows} == {("Jon", "Smyth", "Jon Smyth")}
+
+
+def test_values_that_differ_by_a_letter_without_capital_are_a_conflict(scores_of):
+    rows = [{"first": "A", "last": "B", "emphasis": e} for e in ("Maßwerk", "Masswerk", "MASSWERK", "Masswerk")]
+    result = resolve_emphasis(scores_of(rows))
+    assert {r.emphasis for r in result.scores.collect()} == {"Masswerk"} and result.messages.count() == 1
+    same = resolve_emphasis(scores_of([{"first": "A", "last": "B", "emphasis": e} for e in ("Masswerk", "MASSWERK")]))
+    assert same.messages.count() == 0
