@@ -8,9 +8,13 @@ pairs nor members of sets are listed: classes and name pairs meet at a few
 keys, each made of a first and a last half, where a half is either a block
 (all its names are members) or an owner (names of other blocks linked to it).
 
-The order rule is settled in rounds, all undecided pairs at once: one that no
-undecided earlier pair could take becomes a leader, and what leaders take is
-settled with them. Each round decides at least the earliest pair left.
+The order rule is settled in two ways. While many pairs are undecided, it goes
+in rounds, all pairs at once: one that no undecided earlier pair could take
+becomes a leader, and what leaders take is settled with them. A few pairs are
+settled in order, within one row, whatever chains they form. Where a round
+decides less than half, pairs that can affect each other are told apart, and
+each such group that is small enough is settled in a row of its own; only
+larger ones go on in rounds.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import mode_first_seen, per_key
 from gradeweave.functions.text import full_name, taken_as_same
+from gradeweave.operators.components import components
 from gradeweave.operators.likeness import PARTS, distinct_names, name_graph, name_owners
 from gradeweave.session import materialize, scratch_folder
 
 log = logging.getLogger(__name__)
 
 PAIR = ["first_name", "last_name"]
+#: Pairs that are settled one after the other within one row: some thousand keys are looked through for each.
+AT_ONCE = 4_096
 
 
 def name_pairs(identities: DataFrame) -> DataFrame:
@@ -114,34 +121,80 @@ def _prepare(identities: DataFrame):
     return placed, classes, members
 
 
+def _key() -> Column:
+    return F.concat_ws("|", "first_half", "last_half")
+
+
+def _in_order(classes: DataFrame, members: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The leading pairs of groups of at most ``AT_ONCE`` pairs: group by group, one pair after the other. ``groups``
+    has pair and group; without it all pairs are one group."""
+    keyed = members.select("pair", _key().alias("key"), F.lit(False).alias("is_class")).unionByName(
+        classes.select("pair", _key().alias("key"), F.lit(True).alias("is_class")))
+    listed = lambda is_class: F.collect_list(F.when(F.col("is_class") == is_class, F.col("key")))
+    pairs = keyed.groupBy("pair").agg(listed(True).alias("takes_at"), listed(False).alias("met_at"))
+    pairs = pairs.withColumn("group", F.lit(0).cast("long")) if groups is None else pairs.join(groups, "pair")
+    queue = pairs.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pair", "takes_at", "met_at"))).alias("queue"))
+    nobody = F.struct(F.array().cast("array<bigint>").alias("leaders"), F.array().cast("array<string>").alias("led"))
+
+    def settled(so_far: Column, x: Column) -> Column:
+        leads = F.struct(
+            F.concat(so_far["leaders"], F.array(x["pair"])).alias("leaders"),
+            F.concat(so_far["led"], x["takes_at"]).alias("led"))
+        return F.when(F.arrays_overlap(so_far["led"], x["met_at"]), so_far).otherwise(leads)
+
+    return queue.select(F.explode(F.aggregate("queue", nobody, settled)["leaders"]).alias("pair"))
+
+
+def _groups(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Open pairs that can affect each other, directly or not: pair, group, size."""
+    at = members.select("pair", _key().alias("key")).unionByName(classes.select("pair", _key().alias("key"))).distinct()
+    links = at.join(per_key(at, ["key"], F.min("pair").alias("least")), "key").select("pair", "least")
+    roots = components(links).withColumnRenamed("u", "pair")
+    grouped = members.select("pair").distinct().join(roots, "pair", "left").select("pair", F.coalesce("root", "pair").alias("group"))
+    grouped = materialize(grouped, "conflict-groups")
+    return grouped.join(per_key(grouped, ["group"], F.count(F.lit(1)).alias("size")), "group")
+
+
 def _settle(classes: DataFrame, members: DataFrame) -> DataFrame:
     """The leading pairs.
 
     Classes and members shrink to the undecided pairs once these have halved,
-    so late rounds read little. Leaders of all rounds go to one folder.
+    so late rounds read little. Leaders of all steps go to one folder.
     """
     spark = members.sparkSession
     folder = scratch_folder(spark, "leaders")
+    steps = 0
+
+    def store(leading: DataFrame) -> DataFrame:
+        nonlocal steps
+        path = f"{folder}/step={steps}"
+        leading.write.parquet(path)
+        steps += 1
+        return spark.read.schema("pair long").parquet(path)
+
+    still = lambda df, pairs: df.join(pairs, "pair", "left_semi")
     open_pairs = members.select("pair").distinct()
-    held, rounds = None, 0
-    while True:
-        open_classes = classes.join(open_pairs, "pair", "left_semi")
-        open_members = members.join(open_pairs, "pair", "left_semi")
-        leading = _earliest_taker(open_members, open_classes).where("pair = taker").select("pair")
-        leading.write.parquet(f"{folder}/round={rounds}")
-        leading = spark.read.schema("pair long").parquet(f"{folder}/round={rounds}")
-        led = open_classes.join(leading, "pair", "left_semi")
-        settled = _earliest_taker(open_members, led).where("taker <= pair").select("pair")
+    held = left = open_pairs.count()
+    while left > AT_ONCE:
+        open_classes, open_members = still(classes, open_pairs), still(members, open_pairs)
+        leading = store(_earliest_taker(open_members, open_classes).where("pair = taker").select("pair"))
+        settled = _earliest_taker(open_members, still(open_classes, leading)).where("taker <= pair").select("pair")
         open_pairs = materialize(open_pairs.join(settled, "pair", "left_anti"), "open-pairs")
-        rounds += 1
-        left = open_pairs.count()
-        if left == 0:
-            log.info("name clusters settled in %d rounds", rounds)
-            return spark.read.schema("pair long, round int").parquet(folder).select("pair")
-        if held is None or 2 * left <= held:
-            classes = materialize(classes.join(open_pairs, "pair", "left_semi"), "open-classes")
-            members = materialize(members.join(open_pairs, "pair", "left_semi"), "open-members")
+        before, left = left, open_pairs.count()
+        if left > AT_ONCE and 2 * left > before:  # chains
+            open_classes, open_members = still(classes, open_pairs), still(members, open_pairs)
+            groups = _groups(open_classes, open_members)
+            few = materialize(groups.where(F.col("size") <= AT_ONCE).select("pair", "group"), "small-groups")
+            store(_in_order(still(open_classes, few), still(open_members, few), few))
+            open_pairs = materialize(open_pairs.join(few, "pair", "left_anti"), "open-pairs")
+            left = open_pairs.count()
+        if 2 * left <= held and left > AT_ONCE:
+            classes, members = (materialize(still(x, open_pairs), "open-keys") for x in (classes, members))
             held = left
+    if left or not steps:
+        store(_in_order(still(classes, open_pairs), still(members, open_pairs)))
+    log.info("name clusters settled in %d steps", steps)
+    return spark.read.schema("pair long, step int").parquet(folder).select("pair")
 
 
 def name_clusters(identities: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeweave.functions.aggregates import per_key
@@ -183,6 +183,42 @@ def _outranks(inner: str, outer: str) -> Column:
     )
 
 
+def _fingerprints() -> list[Column]:
+    """Two independent 64-bit fingerprints of the set of linked nodes."""
+    return [
+        F.sum(F.xxhash64("linked").cast("decimal(20,0)")).alias("print_1"),
+        F.bit_xor(F.xxhash64(F.lit("salt"), F.col("linked"))).alias("print_2"),
+    ]
+
+
+def _equal_sets(classes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a block whose links equal those of a later node (node), and the last nodes of such classes (node,
+    links).
+
+    Fingerprints only propose a class. Each of its nodes is then compared with the last one, link by link; those that
+    differ, if ever, are put into classes by the sorted links themselves.
+    """
+    by = ["block", "links", "print_1", "print_2"]
+    last = classes.groupBy(*by).agg(F.max("node").alias("head"), F.count(F.lit(1)).alias("size"))
+    proposed = classes.join(last.where("size > 1"), by).where("node <> head").select("node", "head", "links")
+    members = links.select("node", "linked")
+    of_head = links.select(F.col("node").alias("head"), "linked")
+    equal = (
+        proposed.join(members, "node").join(of_head, ["head", "linked"])
+        .groupBy("node", "links").agg(F.count(F.lit(1)).alias("common")).where("common = links").select("node")
+    )
+    equal = materialize(equal, "equal-sets")
+    unlike = proposed.join(equal, "node", "left_anti").select("node")
+    spelt = (
+        links.join(unlike, "node", "left_semi").groupBy("block", "node")
+        .agg(F.count(F.lit(1)).alias("links"), F.array_sort(F.collect_list("linked")).alias("held"))
+        .withColumn("head", F.max("node").over(Window.partitionBy("block", "held")))
+    )
+    followers = equal.unionByName(spelt.where("node <> head").select("node"))
+    heads = last.select(F.col("head").alias("node"), "links").unionByName(spelt.where("node = head").select("node", "links"))
+    return followers, heads
+
+
 def _covered_within_block(graph: NameGraph) -> DataFrame:
     """Nodes whose links are a part of the links of another node of the block.
 
@@ -199,15 +235,8 @@ def _covered_within_block(graph: NameGraph) -> DataFrame:
         .select("node")
     )
 
-    classes = links.groupBy("block", "node").agg(
-        F.count(F.lit(1)).alias("links"),
-        # Two independent 64-bit fingerprints of the set of linked nodes.
-        F.sum(F.xxhash64("linked").cast("decimal(20,0)")).alias("print_1"),
-        F.bit_xor(F.xxhash64(F.lit("salt"), F.col("linked"))).alias("print_2"),
-    )
-    by = ["block", "links", "print_1", "print_2"]
-    heads = classes.groupBy(*by).agg(F.max("node").alias("node"))
-    followers = classes.select("node").join(heads.select("node"), "node", "left_anti")
+    classes = links.groupBy("block", "node").agg(F.count(F.lit(1)).alias("links"), *_fingerprints())
+    followers, heads = _equal_sets(classes, links)
 
     head_nodes = heads.select("node", F.col("links").alias("head_links"))
     head_links = materialize(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeweave.functions.text import sound_code
+from gradeweave.operators import clusters as clu
 from gradeweave.operators import likeness as lik
 from gradeweave.plans.validate import repair_misspelled
 from tests.model import alike, near, respell, sound, used_sets
@@ -65,10 +66,12 @@ def random_rows(seed, vocabulary, pairs, rows, letters, longest):
     return [rng.choice(choices) for _ in range(rows)]
 
 
+@pytest.mark.parametrize("at_once", [clu.AT_ONCE, 3])
 @pytest.mark.parametrize(
     "shape", [(11, 25, 60, 150, "AEHWTDSL", 4), (12, 40, 150, 300, "ABCDELMNORST", 5), (13, 12, 60, 120, "AT", 5)]
 )
-def test_respelling(scores_of, shape):
+def test_respelling(scores_of, monkeypatch, shape, at_once):
+    monkeypatch.setattr(clu, "AT_ONCE", at_once)
     rows = random_rows(*shape)
     result = repair_misspelled(scores_of([{"first": f, "last": l} for f, l in rows]))
     got = [(r.first_name, r.last_name) for r in result.scores.orderBy("ord").collect()]
@@ -122,3 +125,44 @@ def test_hot_key_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def chain(spark, n):
+    """Each pair could take the next one."""
+    classes = spark.range(n).selectExpr("id as pair", "concat('a', id) as first_half", "'x' as last_half")
+    after = spark.range(1, n).selectExpr("id as pair", "concat('a', id - 1) as first_half", "'x' as last_half")
+    return classes, classes.unionByName(after)
+
+
+def jobs_of(spark, name, action):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return action(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_chain_settles_in_a_constant_number_of_jobs(spark):
+    used = set()
+    for n in (20, 2_000):
+        leaders, jobs = jobs_of(spark, f"chain-{n}", lambda: clu._settle(*chain(spark, n)))
+        assert sorted(r.pair for r in leaders.collect()) == list(range(0, n, 2))
+        used.add(jobs)
+    assert len(used) == 1
+
+
+def test_chains_above_the_bound_are_settled_group_by_group(spark, monkeypatch):
+    monkeypatch.setattr(clu, "AT_ONCE", 4)
+    parts = [chain(spark, 4), chain(spark, 9)]
+    shifted = [[t.selectExpr(f"pair + {100 * k} as pair", f"concat(first_half, '-{k}') as first_half", "last_half") for t in p] for k, p in enumerate(parts)]
+    classes, members = (a.unionByName(b) for a, b in zip(*shifted))
+    leaders = clu._settle(classes, members)
+    assert sorted(r.pair for r in leaders.collect()) == [0, 2, 100, 102, 104, 106, 108]
+    assert clu._settle(classes.limit(0), members.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd_of", CROWDS[:1])
+def test_sets_with_one_fingerprint_are_compared_link_by_link(spark, monkeypatch, crowd_of):
+    constant = [F.lit(0).cast("decimal(30,0)").alias("print_1"), F.lit(0).cast("long").alias("print_2")]
+    monkeypatch.setattr(lik, "_fingerprints", lambda: [F.max(c).alias(n) for c, n in zip(constant, ("print_1", "print_2"))])
+    test_used_sets(spark, crowd_of)
