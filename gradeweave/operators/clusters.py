@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gradeweave.functions.aggregates import mode_first_seen, per_key
 from gradeweave.functions.text import full_name, taken_as_same
 from gradeweave.operators.components import components
-from gradeweave.operators.likeness import PARTS, distinct_names, name_graph, name_owners
+from gradeweave.operators.likeness import PARTS, distinct_names, name_blocks, name_graph, name_owners
 from gradeweave.session import materialize, scratch_folder
 
 log = logging.getLogger(__name__)
@@ -101,7 +101,7 @@ def _earliest_taker(members: DataFrame, heads: DataFrame) -> DataFrame:
 
 def first_takers(identities: DataFrame) -> DataFrame:
     """Each pair with the earliest pair whose sets hold it, itself at the latest."""
-    pairs, classes, members = _prepare(identities)
+    pairs, classes, members, _ = _prepare(identities)
     taken = _earliest_taker(members, classes)
     heads = pairs.select(
         F.col("pair").alias("taker"),
@@ -118,7 +118,7 @@ def _prepare(identities: DataFrame):
     placed = materialize(_placed(name_pairs(identities), owners), "placed-pairs")
     classes = class_keys(placed)
     members = materialize(member_keys(placed, graph.links, classes), "member-keys")
-    return placed, classes, members
+    return placed, classes, members, graph
 
 
 def _key() -> Column:
@@ -197,12 +197,18 @@ def _settle(classes: DataFrame, members: DataFrame) -> DataFrame:
     return spark.read.schema("pair long, step int").parquet(folder).select("pair")
 
 
-def name_clusters(identities: DataFrame) -> DataFrame:
-    """Each pair with its leader: first_name, last_name, pair, n, leader."""
-    pairs, classes, members = _prepare(identities)
+def clusters_and_blocks(identities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``name_clusters`` gives, and the blocks of names that sound alike (see ``name_blocks``)."""
+    pairs, classes, members, graph = _prepare(identities)
     leaders = _settle(classes, members)
     taken = _earliest_taker(members, classes.join(leaders, "pair", "left_semi"))
-    return pairs.join(taken.withColumnRenamed("taker", "leader"), "pair").select(*PAIR, "pair", "n", "leader")
+    clusters = pairs.join(taken.withColumnRenamed("taker", "leader"), "pair").select(*PAIR, "pair", "n", "leader")
+    return clusters, name_blocks(graph)
+
+
+def name_clusters(identities: DataFrame) -> DataFrame:
+    """Each pair with its leader: first_name, last_name, pair, n, leader."""
+    return clusters_and_blocks(identities)[0]
 
 
 def canonical_names(clusters: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.functions.numbers import is_number, number_loss, number_value
@@ -20,7 +21,7 @@ from gradeweave.functions.text import (
     semester_sort_key,
     text_or_empty,
 )
-from gradeweave.schema import SCORE_PRECISION, SCORE_SCALE, columns_per_row
+from gradeweave.schema import SCORE_COLUMNS, SCORE_PRECISION, SCORE_SCALE, columns_per_row
 from gradeweave.sources.sheets import ROW_NO, Sheet, cell
 
 # Header texts, labels and messages of the sheet format.
@@ -43,6 +44,8 @@ FRESHMAN = "1 - Freshman"
 NEW_STUDENT = "NEW STUDENT"
 APPLICANT_OF = "Musical Theatre"
 APPLICANT = "Musical Theatre Applicant"
+#: Kinds of what a sheet holds.
+SCORE, FINDING = "score", "finding"
 
 
 def column_number(letters: str) -> int:
@@ -147,24 +150,27 @@ def keep_dated(rows: DataFrame) -> DataFrame:
     return rows.where(_has_term())
 
 
-def keep_scored(rows: DataFrame, layout: Layout) -> DataFrame:
-    """Drop rows with nothing in the score range, skipped columns included.
-    A range of one cell is not tested."""
+def _has_value(layout: Layout) -> Column:
+    """Whether anything stands in the score range, skipped columns included. A range of one cell is not tested."""
     if len(layout.scanned) <= 1:
-        return rows
-    blanks = [is_blank(F.col(cell(c))) for c in layout.scanned]
-    every = blanks[0]
-    for blank in blanks[1:]:
-        every = every & blank
-    return rows.where(~every)
+        return F.lit(True)
+    return reduce(Column.__or__, [~is_blank(F.col(cell(c))) for c in layout.scanned])
 
 
-def row_diagnostics(named: DataFrame) -> DataFrame:
-    """One row per missing attribute of a named row: row_no, field, message."""
+def keep_scored(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Drop rows with nothing in the score range."""
+    return rows.where(_has_value(layout))
+
 
-    def finding(field: str, problem, text):
-        row = F.concat(F.lit("Row "), F.col(ROW_NO).cast("string"), F.lit(": "), text)
-        return F.when(problem, F.struct(F.lit(field).alias("field"), row.alias("message")))
+def _row(text: Column) -> Column:
+    return F.concat(F.lit("Row "), F.col(ROW_NO).cast("string"), F.lit(": "), text)
+
+
+def _row_findings() -> list[Column]:
+    """What is missing in a named row: structs of field and message, null where nothing is."""
+
+    def finding(field: str, problem: Column, text: Column) -> Column:
+        return F.when(problem, F.struct(F.lit(field).alias("field"), _row(text).alias("message")))
 
     findings = [
         finding(field, _is_empty(field), F.lit(f"{NAME_HEADERS[field]} is missing"))
@@ -175,8 +181,12 @@ def row_diagnostics(named: DataFrame) -> DataFrame:
         text_or_empty(F.col("semester")),
         F.lit("'; skipping row."),
     )
-    findings.append(finding("semester", ~_has_term(), quoted))
-    present = F.filter(F.array(*findings), lambda f: f.isNotNull())
+    return [*findings, finding("semester", ~_has_term(), quoted)]
+
+
+def row_diagnostics(named: DataFrame) -> DataFrame:
+    """One row per missing attribute of a named row: row_no, field, message."""
+    present = F.filter(F.array(*_row_findings()), lambda f: f.isNotNull())
     return named.select(ROW_NO, F.inline(present))
 
 
@@ -189,14 +199,16 @@ def reclassify_emphasis(rows: DataFrame) -> DataFrame:
     )
 
 
-def unpivot_scores(rows: DataFrame, layout: Layout) -> DataFrame:
+def unpivot_scores(rows: DataFrame, layout: Layout, *more: tuple[str | None, int, str | None]) -> DataFrame:
     """One row per row and score column, with the raw cell text. Columns are
-    told apart by position, as names may repeat."""
+    told apart by position, as names may repeat. ``more`` adds cells that are
+    the same in all rows: name, position and text."""
     ids = [c for c in rows.columns if c not in {cell(n) for n in layout.scanned}]
-    triples = [x for c, name in layout.scores
-               for x in (F.lit(name).cast("string"), F.lit(c), F.col(cell(c)))]
+    text = lambda x: F.lit(x).cast("string")
+    triples = [x for c, name in layout.scores for x in (text(name), F.lit(c), F.col(cell(c)))]
+    triples += [x for name, c, raw in more for x in (text(name), F.lit(c), text(raw))]
     return rows.select(
-        *ids, F.stack(F.lit(len(layout.scores)), *triples).alias("score_name", "col_no", "raw")
+        *ids, F.stack(F.lit(len(triples) // 3), *triples).alias("score_name", "col_no", "raw")
     )
 
 
@@ -208,13 +220,18 @@ def numeric_scores(cells: DataFrame, precision: int = SCORE_PRECISION, scale: in
     return numbers.withColumn("score", number_value(F.col("raw"), precision, scale)).where(F.col("score").isNotNull())
 
 
+def _score_finding(precision: int, scale: int) -> Column:
+    """What the type of scores cuts of a cell that holds a number, as in ``_row_findings``."""
+    loss = number_loss(F.col("raw"), precision, scale)
+    told = F.when(loss == "large", F.lit("' is too large; skipping cell.")).otherwise(F.lit(f"' is rounded to {scale} places."))
+    message = _row(F.concat(F.lit("Score '"), F.col("raw"), told))
+    return F.when(loss.isNotNull(), F.struct(F.lit("score").alias("field"), message.alias("message")))
+
+
 def score_diagnostics(cells: DataFrame, precision: int = SCORE_PRECISION, scale: int = SCORE_SCALE) -> DataFrame:
     """One row per number that the type of scores cuts: row_no, field, message."""
-    lost = cells.where(is_number(F.col("raw"))).withColumn("loss", number_loss(F.col("raw"), precision, scale))
-    large = F.lit("' is too large; skipping cell.")
-    told = F.when(F.col("loss") == "large", large).otherwise(F.lit(f"' is rounded to {scale} places."))
-    message = F.concat(F.lit("Row "), F.col(ROW_NO).cast("string"), F.lit(": Score '"), F.col("raw"), told)
-    return lost.where(F.col("loss").isNotNull()).select(ROW_NO, F.lit("score").alias("field"), message.alias("message"))
+    told = cells.where(is_number(F.col("raw"))).withColumn("told", _score_finding(precision, scale))
+    return told.where(F.col("told").isNotNull()).select(ROW_NO, "told.*")
 
 
 def usable_rows(sheet: Sheet, layout: Layout) -> DataFrame:
@@ -229,9 +246,37 @@ def read_scores(
     rows = usable_rows(sheet, layout).withColumn("semester_sort", semester_sort_key(F.col("semester")))
     scores = numeric_scores(unpivot_scores(rows, layout), precision, scale)
     return scores.select(
+        (F.col(ROW_NO) * columns_per_row(width or len(sheet.header)) + F.col("col_no")).alias("ord"), *SCORE_COLUMNS[1:],
+    )
+
+
+def sheet_events(
+    sheet: Sheet, layout: Layout, precision: int = SCORE_PRECISION, scale: int = SCORE_SCALE, width: int | None = None
+) -> DataFrame:
+    """All scores and all diagnostics of a sheet in one pass over it, told apart by ``kind``.
+
+    The columns are those of ``read_scores``, then row_no, field and message. A row of the sheet is unpivoted into its
+    cells and itself, as a cell in column 0: what is missing in the row belongs to that one.
+    """
+    rows = reclassify_emphasis(keep_named(sheet_rows(sheet, layout)))
+    rows = rows.withColumn("semester_sort", semester_sort_key(F.col("semester"))).withColumn("_used", _has_term() & _has_value(layout))
+    itself = (None, 0, None)
+    cells = unpivot_scores(rows, layout, itself).where((F.col("col_no") == 0) | (F.col("_used") & is_number(F.col("raw"))))
+    values = cells.withColumn("score", number_value(F.col("raw"), precision, scale))
+
+    def event(kind: str, when: Column, finding: Column | None = None) -> Column:
+        told = [finding[c].alias(c) if finding is not None else F.lit(None).cast("string").alias(c) for c in ("field", "message")]
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), *told))
+
+    of_row = [event(FINDING, f.isNotNull(), f) for f in _row_findings()]
+    lost = _score_finding(precision, scale)
+    of_cell = [event(SCORE, F.col("score").isNotNull()), event(FINDING, lost.isNotNull(), lost)]
+    events = F.when(F.col("col_no") == 0, F.array(*of_row)).otherwise(F.array(*of_cell))
+    listed = values.withColumn("_event", F.explode(events)).where(F.col("_event").isNotNull())
+    return listed.select(
+        "_event.kind",
         (F.col(ROW_NO) * columns_per_row(width or len(sheet.header)) + F.col("col_no")).alias("ord"),
-        "first_name", "last_name", "student_identifier", "semester", "semester_sort",
-        "class_standing", "emphasis", "score_name", "score",
+        *SCORE_COLUMNS[1:], ROW_NO, "_event.field", "_event.message",
     )
 
 

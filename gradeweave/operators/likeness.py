@@ -176,6 +176,17 @@ def name_graph(names: DataFrame) -> NameGraph:
     return NameGraph(materialize(nodes, "name-sizes"), links, materialize(blocks, "name-blocks"))
 
 
+def name_blocks(graph: NameGraph) -> DataFrame:
+    """How crowded each sound code is: part, code, names, spellings, links. Names count once in any case; links are
+    likenesses with names of other codes. Nothing is dropped for being crowded."""
+    links = per_key(graph.links, ["block"], F.count(F.lit(1)).alias("links"))
+    at = F.split("block", ":", 2)
+    return graph.blocks.join(links, "block", "left").select(
+        at[0].alias("part"), at[1].alias("code"), F.col("block_keys").alias("names"), F.col("block_variants").alias("spellings"),
+        F.coalesce("links", F.lit(0)).alias("links"),
+    )
+
+
 def _outranks(inner: str, outer: str) -> Column:
     """Of two nested sets the larger stays; of equal ones the later."""
     return (F.col(f"{inner}_size") < F.col(f"{outer}_size")) | (

@@ -78,6 +78,15 @@ def report_pivot(cells: DataFrame, semesters: list[str] | None = None) -> DataFr
     return wide.fillna(NOT_AVAILABLE, known)
 
 
+def report_pivot_map(cells: DataFrame) -> DataFrame:
+    """``report_pivot`` without a column for each semester, for any number of them: assessments down, and a map from
+    semester to own average, the student's semesters in order."""
+    entry = F.struct("semester_sort", "first_ord", "semester", "yours")
+    listed = cells.groupBy("student_identifier", "score_name").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    pair = lambda e: F.struct(e["semester"], e["yours"])
+    return listed.select("student_identifier", "score_name", F.map_from_entries(F.transform("entries", pair)).alias("semesters"))
+
+
 def student_report(grid: DataFrame, positions: DataFrame) -> DataFrame:
     """One document per student: title, note, semesters, and the rows in order."""
     lines = grid.groupBy("student_identifier", "score_pos", "score_name").agg(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.operators.cells import as_cells, identities, profile
-from gradeweave.operators.clusters import canonical_names, misspelled_pairs, name_clusters
+from gradeweave.operators.clusters import canonical_names, clusters_and_blocks, misspelled_pairs
 from gradeweave.operators.conflicts import EMPHASIS, STANDING, attribute_conflicts
 from gradeweave.operators.messages import message_rows, union_messages
 from gradeweave.operators.name_swaps import swap_map
@@ -64,11 +64,13 @@ def _repaired_identities(swaps: DataFrame) -> DataFrame:
     )
 
 
-def _name_map(swaps: DataFrame, rules: Rules) -> DataFrame:
+def _name_map(swaps: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame | None]:
     """Each identity with its final identifier and names (``*_2``) and, where
-    the spelling changed, ``spelling_id``."""
+    the spelling changed, ``spelling_id``; and the blocks of names, if these were compared."""
+    blocks = None
     if rules.misspellings:
-        clusters = materialize(name_clusters(_repaired_identities(swaps)), "name-clusters")
+        clusters, blocks = clusters_and_blocks(_repaired_identities(swaps))
+        clusters = materialize(clusters, "name-clusters")
         wrong = misspelled_pairs(canonical_names(clusters)).select(
             F.col("first_name").alias("first_name_1"), F.col("last_name").alias("last_name_1"),
             F.col("canonical_first_name").alias("_first"), F.col("canonical_last_name").alias("_last"),
@@ -78,13 +80,14 @@ def _name_map(swaps: DataFrame, rules: Rules) -> DataFrame:
     else:
         for c in ("_first", "_last", "spelling_id"):
             swaps = swaps.withColumn(c, F.lit(None).cast("string"))
-    return swaps.select(
+    named = swaps.select(
         *IDENTITY, "flip_id", "dash_id", "spelling_id",
         "student_identifier_1", "first_name_1", "last_name_1",
         F.coalesce("spelling_id", "student_identifier_1").alias("student_identifier_2"),
         F.coalesce("_first", "first_name_1").alias("first_name_2"),
         F.coalesce("_last", "last_name_1").alias("last_name_2"),
     )
+    return named, blocks
 
 
 def _name_messages(terms: DataFrame) -> list[DataFrame]:
@@ -106,6 +109,7 @@ def _name_messages(terms: DataFrame) -> list[DataFrame]:
 class Findings:
     fixes: DataFrame  # identity and semester, their new values, one row where any differs
     messages: DataFrame
+    blocks: DataFrame | None = None  # how crowded the blocks of names are, where these were compared
 
     @cached_property
     def corrections(self) -> DataFrame:
@@ -116,7 +120,7 @@ class Findings:
 def find_corrections(profiles: DataFrame, rules: Rules = Rules()) -> Findings:
     """Run the rules over profiles (see ``profile``)."""
     swaps = materialize(_swapped(profiles, rules), "swaps")
-    names = _name_map(swaps, rules)
+    names, blocks = _name_map(swaps, rules)
 
     renamed = profiles.alias("p").join(names.alias("m"), null_safe("p", "m", IDENTITY)).select(
         *[f"p.{c}" for c in IDENTITY], "p.semester", "p.class_standing", "p.emphasis", "p.n", "p.first_ord",
@@ -157,7 +161,7 @@ def find_corrections(profiles: DataFrame, rules: Rules = Rules()) -> Findings:
     changed = F.coalesce("fix_class_standing", F.lit(False)) | F.coalesce("fix_emphasis", F.lit(False))
     for c in IDENTITY:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"{c}_2"))
-    return Findings(fixes.where(changed), union_messages(messages))
+    return Findings(fixes.where(changed), union_messages(messages), blocks)
 
 
 def apply_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:

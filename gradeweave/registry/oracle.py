@@ -491,8 +491,8 @@ WHERE row_no IN (SELECT row_no FROM raw_cells WHERE raw IS NOT NULL)""",
   CASE WHEN (class_standing = '1 - Freshman' OR contains(lower(semester), 'new student')) AND emphasis = 'Musical Theatre'
        THEN 'Musical Theatre Applicant' ELSE emphasis END AS emphasis FROM rows_""",
     "unpivot_scores": f"""WITH {ROWS} SELECT row_no, CAST(ln + {FIRST_SCORE_COLUMN - 1} AS INTEGER) AS col_no,
-  {SCORE_NAME} AS score_name, raw FROM usable JOIN raw_cells USING (row_no)
-  WHERE EXISTS (SELECT 1 FROM raw_cells filled WHERE filled.row_no = usable.row_no AND filled.raw IS NOT NULL)""",
+  {SCORE_NAME} AS score_name, raw
+FROM (SELECT *, count(raw) OVER (PARTITION BY row_no) AS filled FROM raw_cells) JOIN usable USING (row_no) WHERE filled > 0""",
     "numeric_scores": f"WITH {SCORES} SELECT {SCORE_COLUMNS} FROM scores",
     "semester_sort_key": f"""WITH {ROWS} SELECT semester, {_sort_key("semester")} AS semester_sort, count(*) AS n
 FROM rows_ GROUP BY ALL""",

@@ -33,6 +33,7 @@ SCORE_SCHEMA = T.StructType(
     ]
 )
 
+SCORE_COLUMNS = SCORE_SCHEMA.names
 IDENTITY = ["student_identifier", "first_name", "last_name"]
 PROFILE = IDENTITY + ["semester", "class_standing", "emphasis"]
 AVERAGE_KEYS = ["student_identifier", "semester", "semester_sort", "score_name"]

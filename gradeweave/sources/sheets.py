@@ -8,6 +8,7 @@ Header texts may repeat, so cells are addressed by position: ``c1``, ``c2``...
 from __future__ import annotations
 
 import csv
+import io
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
@@ -107,29 +108,46 @@ def read_csv_sheet(spark: SparkSession, path: str, row_no_header: str | None = N
 
 def read_csv_sheets(spark: SparkSession, path: str, row_no_header: str | None = None,
                     multi_line: bool = False) -> list[Sheet]:
-    """Sheets over the CSV files of a folder, one for each different header line.
+    """Sheets over the CSV files of a folder, one for each different header.
 
     ``row_no_header`` names the column that holds the row number. Without it
     rows are numbered by file path and line over all files, the first data row
-    being 2. A header is one line.
+    being 2. A quoted heading may hold line ends; with ``multi_line`` any cell
+    may, and files are then read once more.
     """
-    options = {"multiLine": multi_line, "escape": '"', "encoding": "UTF-8", "header": True}
-    headers = _header_lines(spark, path)
-    if not headers:
+    lines = _stored_lines(spark, path)
+    heads = _headers(lines)
+    if not heads:
         raise ValueError(f"Sheet {path} has no data")
-    read = []
-    for line in sorted(headers):
-        header = tuple(text or None for text in next(csv.reader([line.removeprefix("\ufeff")])))
-        schema = T.StructType([T.StructField(cell(i), T.StringType()) for i in range(1, len(header) + 1)])
-        files = path if len(headers) == 1 else headers[line]
-        read.append((spark.read.options(**options).schema(schema).csv(files), header))
+    headers = sorted({h.text for h in heads})
+    titles = [tuple(t or None for t in next(csv.reader(io.StringIO(h.removeprefix("\ufeff"), newline="")))) for h in headers]
+    schemas = [T.StructType([T.StructField(cell(i), T.StringType()) for i in range(1, len(t) + 1)]) for t in titles]
+    if multi_line:
+        parts = [
+            _with_place(spark.read.options(**CSV, header=True, multiLine=True).schema(schema)
+                        .csv([unquote(h.file) for h in heads if h.text == text]))
+            for text, schema in zip(headers, schemas, strict=True)
+        ]
+        if row_no_header is None:
+            parts = [materialize(p, "sheet-lines") for p in parts]
+    else:
+        # One row per file, as the driver lists the files anyway.
+        known = spark.createDataFrame(
+            [(h.file, h.last, headers.index(h.text)) for h in heads], "_file string, _last long, _header int")
+        data = lines.join(F.broadcast(known), "_file").where("_start > 0 or _id > _last")
+        parts = [
+            data.where(F.col("_header") == k)
+            .select(F.from_csv("value", ", ".join(f"{c} string" for c in schema.names), CSV).alias("_row"), *PLACE)
+            .select("_row.*", *PLACE)
+            for k, schema in enumerate(schemas)
+        ]
     if row_no_header is None:
-        sheets = [Sheet(c, h) for c, (_, h) in zip(number_lines([c for c, _ in read]), read, strict=True)]
+        sheets = [Sheet(c, t) for c, t in zip(number_lines(parts), titles, strict=True)]
     else:
-        if lost := [h for _, h in read if row_no_header not in h]:
+        if lost := [t for t in titles if row_no_header not in t]:
             raise ValueError(f"No column {row_no_header} in {path}: {lost[0]}")
-        number = lambda h: F.col(cell(h.index(row_no_header) + 1)).try_cast("bigint").alias(ROW_NO)
-        sheets = [Sheet(c.select(number(h), *c.columns), h) for c, h in read]
+        number = lambda t: F.col(cell(t.index(row_no_header) + 1)).try_cast("bigint").alias(ROW_NO)
+        sheets = [Sheet(c.select(number(t), *c.drop(*PLACE).columns), t) for c, t in zip(parts, titles, strict=True)]
         numbers = reduce(DataFrame.unionByName, [s.cells.select(ROW_NO) for s in sheets])
         numbered_once(Sheet(numbers, ()), path)
     if all(s.cells.isEmpty() for s in sheets):
@@ -137,37 +155,66 @@ def read_csv_sheets(spark: SparkSession, path: str, row_no_header: str | None =
     return sheets
 
 
-def _header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """First lines and the files that start with them. One row per file comes to the driver, which lists the files anyway."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"),
+CSV = {"escape": '"', "encoding": "UTF-8"}
+#: Where a line comes from: its file, the split's first byte, and a number that grows within the split.
+PLACE = ["_file", "_start", "_id"]
+
+
+def _with_place(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
     )
-    heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "id").alias("line"))
-    found: dict[str, list[str]] = {}
-    for row in heads.orderBy("file").collect():
-        found.setdefault(row["line"], []).append(unquote(row["file"]))
-    return found
+
+
+def _stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files that are not blank, read once and stored with their places."""
+    lines = spark.read.text(path).where(F.rlike("value", F.lit("[^\\x00-\\x20]")))
+    return materialize(_with_place(lines), "sheet-lines")
+
+
+@dataclass(frozen=True)
+class Header:
+    file: str
+    text: str
+    last: int  # the number of its last line
+
+
+def _headers(lines: DataFrame) -> list[Header]:
+    """Every file's header, from the stored lines of its first split; one row per file comes to the driver.
+
+    A header ends where its quotes are closed: with its first line, or else with the next one that has an odd number
+    of quotes. One that is never closed is a line.
+    """
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    begun = lines.where("_start = 0")
+    firsts = begun.groupBy("_file").agg(F.min("_id").alias("first"), F.min_by("value", "_id").alias("text"), F.min_by(odd, "_id").alias("open"))
+    found = {r["_file"]: Header(r["_file"], r["text"], r["first"]) for r in firsts.collect()}
+    opened = materialize(firsts.where("open").select("_file", "first"), "open-headers")
+    if not opened.isEmpty():
+        more = begun.join(F.broadcast(opened), "_file")
+        ends = more.where(odd & (F.col("_id") > F.col("first"))).groupBy("_file").agg(F.min("_id").alias("last"))
+        texts = (
+            more.join(F.broadcast(ends), "_file").where("_id <= last").groupBy("_file", "last")
+            .agg(F.array_sort(F.collect_list(F.struct("_id", "value"))).alias("lines"))  # the lines of one header
+        )
+        for r in texts.collect():
+            found[r["_file"]] = Header(r["_file"], "\n".join(x["value"] for x in r["lines"]), r["last"])
+    return [found[f] for f in sorted(found)]
 
 
 def number_lines(parts: list[DataFrame]) -> list[DataFrame]:
     """Row numbers in file-path, then line, order over all parts, starting at 2.
 
-    Lines are stored once, with the file split they come from. Within a split
+    Lines are stored with the file split they come from. Within a split
     the generated ids run on line by line, so a row's place is its distance
     from the split's first id plus the rows of all splits before it. Only
     per-split totals are ordered in one place and broadcast, two numbers per
     split; no line is shuffled.
     """
     split = ["_file", "_start"]
-    stored = [
-        materialize(p.select(
-            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_id")), "sheet-lines")
-        for p in parts
-    ]
     totals = reduce(DataFrame.unionByName, [
-        s.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")) for s in stored
+        p.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")) for p in parts
     ])
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(totals.select(
@@ -175,9 +222,9 @@ def number_lines(parts: list[DataFrame]) -> list[DataFrame]:
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 2).alias("_shift"),
     ), "sheet-splits")
     numbered = []
-    for part, lines in zip(parts, stored, strict=True):
-        placed = lines.withColumn("_split", F.xxhash64(*split)).join(F.broadcast(offsets), "_split")
-        numbered.append(placed.select((F.col("_id") + F.col("_shift")).alias(ROW_NO), *part.columns))
+    for part in parts:
+        placed = part.withColumn("_split", F.xxhash64(*split)).join(F.broadcast(offsets), "_split")
+        numbered.append(placed.select((F.col("_id") + F.col("_shift")).alias(ROW_NO), *part.drop(*PLACE).columns))
     return numbered
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeweave import JobOptions, run
 from gradeweave.operators.ingest import plan_layout, read_scores, sheet_diagnostics
+from gradeweave.plans.validate import Rules
 from gradeweave.sources.outputs import refuse_overlap
 from gradeweave.sources.sheets import (
     Sheet,
@@ -164,7 +165,8 @@ def test_validate_only(spark, workbook, tmp_path):
     out = tmp_path / "out"
     report = run(spark, options(workbook, validate_only=True, output=str(out)))
     assert report.cells is None and report.documents is None
-    assert sorted(p.name for p in out.iterdir()) == ["diagnostics", "messages", "run_counts"]
+    assert sorted(p.name for p in out.iterdir()) == [
+        "crowded_blocks", "diagnostics", "ingested", "messages", "run_counts"]
 
 
 def test_output_must_not_overlap_input(spark, workbook):
@@ -229,3 +231,126 @@ def test_collation_orders_names_as_people_do(spark, scores_of):
     order = lambda **k: [r.last_name for r in students_by_last_name(averages, **k).orderBy("student_pos").collect()]
     assert order() == ["A", "B", "a", "b"]
     assert order(collation="UNICODE") == ["a", "A", "b", "B"]
+
+
+def test_earlier_report_survives_a_failure_between_two_tables(spark, workbook, tmp_path, monkeypatch):
+    from gradeweave.plans import report_job
+
+    out = tmp_path / "out"
+    run(spark, options(workbook, output=str(out)))
+    before = {t: sorted(map(str, spark.read.parquet(f"{out}/{t}").collect())) for t in ("report_cells", "run_counts", "ingested")}
+
+    def fails(*_, **__):
+        raise RuntimeError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(report_job, "write_by_student", fails)
+        with pytest.raises(RuntimeError):
+            run(spark, options(workbook, output=str(out), current_semester="Spring 2020"))
+    assert {t: sorted(map(str, spark.read.parquet(f"{out}/{t}").collect())) for t in before} == before
+    assert not [p.name for p in out.iterdir() if p.name.startswith(".")]
+    # Only what is checked is replaced by a run that only checks.
+    run(spark, options(workbook, output=str(out), current_semester="Spring 2020", validate_only=True))
+    assert spark.read.parquet(f"{out}/run_counts").first().scores_used == 9
+    assert sorted(map(str, spark.read.parquet(f"{out}/report_cells").collect())) == before["report_cells"]
+
+
+def test_a_switch_that_was_cut_off_is_undone(spark, tmp_path):
+    from gradeweave.sources.outputs import EARLIER, STAGED, recover, replaced_together, write_table
+
+    out = tmp_path / "out"
+    table = lambda n: spark.createDataFrame([(n,)], "n int")
+    seen = lambda t: spark.read.parquet(f"{out}/{t}").first().n
+    with replaced_together(spark, str(out)) as folder:
+        write_table(table(1), f"{folder}/a")
+        write_table(table(1), f"{folder}/b")
+    # As if the machine stopped after the first table was replaced and the second taken away.
+    for name, n in ((f"{EARLIER}x/a", 1), (f"{EARLIER}x/b", 1), (f"{STAGED}x/b", 2), ("a", 2)):
+        write_table(table(n), str(out / name))
+    import shutil
+    shutil.rmtree(out / "b")
+    recover(spark, str(out))
+    assert (seen("a"), seen("b")) == (1, 1) and sorted(p.name for p in out.iterdir()) == ["a", "b"]
+    with pytest.raises(ZeroDivisionError):
+        with replaced_together(spark, str(out)) as folder:
+            write_table(table(3), f"{folder}/a")
+            1 / 0
+    assert seen("a") == 1
+    with replaced_together(spark, str(out)) as folder:
+        write_table(table(4), f"{folder}/b")
+    assert (seen("a"), seen("b")) == (1, 4) and sorted(p.name for p in out.iterdir()) == ["a", "b"]
+
+
+def test_output_must_not_overlap_a_table(spark, tmp_path):
+    from gradeweave.plans.report_job import inputs_of
+
+    spark.range(3).write.option("path", str(tmp_path / "t")).saveAsTable("overlap_sheet")
+    table = JobOptions("default", "OVERLAP_SHEET", source="table", row_no_header="id", output=str(tmp_path / "t" / "out"))
+    try:
+        assert [f.rpartition("/")[2] for f in inputs_of(spark, table)] == ["t"]
+        with pytest.raises(ValueError, match="overlaps"):
+            run(spark, table)
+    finally:
+        spark.sql("DROP TABLE overlap_sheet")
+
+
+def test_job_orders_students_by_collation(spark, tmp_path):
+    folder = tmp_path / "book" / "Sheet1"
+    folder.mkdir(parents=True)
+    names = [("x", "b"), ("y", "A"), ("z", "a"), ("v", "B"), ("w", "A")]
+    lines = [",".join([*HEADER[:5], "Oral", "x"])] + [f"{f},{n},4 - Senior,Acting,Fall 2019,4," for f, n in names]
+    (folder / "f.csv").write_text("\n".join(lines))
+    plain = Rules(flips=False, dashes=False, misspellings=False)  # such short names are all alike
+    order = lambda **k: [r[0] for r in run(spark, JobOptions(
+        str(tmp_path / "book"), start_column="F", last_column="F", skip_columns=(), rules=plain, **k)).cells.orderBy("student_pos").select("student_identifier").collect()]
+    assert order() == ["y A", "w A", "v B", "z a", "x b"]
+    assert order(collation="UNICODE") == ["z a", "y A", "w A", "x b", "v B"]
+
+
+def test_a_sheet_is_read_in_one_pass(spark, sheet, tmp_path):
+    from gradeweave.operators.ingest import sheet_events
+    from gradeweave.plans.report_job import run_sheet
+
+    sheet.cells.toDF("row_no", *[f"h{i}" for i in range(1, 15)]).write.parquet(str(tmp_path / "t"))
+    stored = read_parquet_sheet(spark, str(tmp_path / "t"), "row_no", list(HEADER))
+    layout = plan_layout(stored.header, "F", "M", ("I",))
+    events = sheet_events(stored, layout)
+    assert events._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    scores = events.where("kind = 'score'").select("ord", "student_identifier", "emphasis", "semester_sort", "score_name", "score")
+    assert sorted(map(str, scores.collect())) == sorted(map(str, read_scores(stored, layout).select(scores.columns).collect()))
+    found = events.where("kind = 'finding'").select("row_no", "field", "message")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sheet_diagnostics(stored, layout).collect()))
+    report = run_sheet(stored, options("unused"))
+    for table in (report.diagnostics, report.messages, report.cells, report.crowded):
+        assert not [f for f in table.inputFiles() if str(tmp_path) in f]  # all else comes from what was stored
+    assert report.ingested.first().asDict() == {"rows_read": 7, "cells_kept": 11, "cells_lost": 0}
+
+
+def test_crowded_sound_codes_are_told(spark, scores_of):
+    from gradeweave.operators.clusters import clusters_and_blocks
+
+    names = ["Bat", "Bad", "bad", "Bet", "Snow", "Batt", "B"]
+    identities = spark.createDataFrame([(n, "Lee", 1, i) for i, n in enumerate(names)], "first_name string, last_name string, n long, first_ord long")
+    blocks = {(r.part, r.code): (r.names, r.spellings, r.links) for r in clusters_and_blocks(identities)[1].collect()}
+    assert blocks["first", "B300"] == (4, 5, 4) and blocks["first", "B000"] == (1, 1, 4) and blocks["last", "L000"] == (1, 1, 0)
+
+
+def test_pivot_as_a_map_takes_any_number_of_semesters(spark, scores_of):
+    from gradeweave.operators.averages import cohort_average, report_cells, student_score_averages
+    from gradeweave.operators.cells import score_cells
+    from gradeweave.operators.report import report_pivot, report_pivot_map
+
+    rows = [{"first": "Ann", "last": "Lee", "semester": f"Fall {y}", "sort": f"{y}2", "score": y % 5} for y in range(2031, 2000, -1)]
+    rows.append({"first": "Ann", "last": "Lee", "name": None, "semester": "Fall 2005", "sort": "20052", "score": 1})
+    cells = score_cells(scores_of(rows))
+    table = report_cells(student_score_averages(cells), cohort_average(cells))
+    old = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "5")
+    try:
+        with pytest.raises(Exception, match="pivot"):
+            report_pivot(table).collect()
+        pairs = F.arrays_zip(F.map_keys("semesters").alias("k"), F.map_values("semesters").alias("v"))
+        got = {r.score_name: [tuple(x) for x in r.pairs] for r in report_pivot_map(table).select("score_name", pairs.alias("pairs")).collect()}
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", old)
+    assert got == {"Oral": [(f"Fall {y}", str(y % 5)) for y in range(2001, 2032)], None: [("Fall 2005", "1")]}

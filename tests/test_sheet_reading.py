@@ -51,6 +51,34 @@ def test_each_file_has_its_own_header(spark, tmp_path):
         read_csv_sheet(spark, f"{workbook}/Sheet1")
 
 
+def test_a_heading_may_hold_line_ends(spark, tmp_path):
+    folder = tmp_path / "book" / "Sheet1"
+    folder.mkdir(parents=True)
+    head = ",".join(NAMES)
+    (folder / "a.csv").write_text(f'\n\ufeff{head},"Oral\r\nexam ""1""","Two\n\nends",x\r\nAnn,Lee,4 - Senior,Acting,Fall 2019,4,3,\r\n', encoding="utf-8")
+    (folder / "b.csv").write_text(f'{head},Oral,Essay,x\n\n   \nBob,Ray,4 - Senior,Acting,Fall 2019,2,1,\n', encoding="utf-8")
+    (folder / "c.csv").write_text(f'{head},Oral,"Essay,x\nCy,Orr,4 - Senior,Acting,Fall 2019,5,5,\n', encoding="utf-8")  # never closed
+    sheets = read_csv_sheets(spark, str(folder))
+    titles = {s.header[5:]: sorted((r.row_no, r.c1, r.c6) for r in s.cells.collect()) for s in sheets}
+    assert titles == {('Oral\nexam "1"', "Two\nends", "x"): [(2, "Ann", "4")], ("Oral", "Essay", "x"): [(3, "Bob", "2")],
+                      ("Oral", "Essay,x"): [(4, "Cy", "5")]}
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    """Header and rows come from the lines as they were stored, not from the files."""
+    workbook = book(tmp_path, a=[[*NAMES, "Oral"], *[row("Ann", "Lee", "4")] * 5])
+    (sheet,) = read_csv_sheets(spark, f"{workbook}/Sheet1")
+    assert sheet.cells.inputFiles() and not [f for f in sheet.cells.inputFiles() if "book/Sheet1" in f]
+    (tmp_path / "book" / "Sheet1" / "a.csv").unlink()
+    assert sheet.cells.count() == 5
+
+
+def test_cells_may_hold_line_ends_where_asked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"y\nz"\n1,"2\n3"\n4,5\n')
+    (sheet,) = read_csv_sheets(spark, str(tmp_path), multi_line=True)
+    assert sheet.header == ("x", "y\nz") and sorted(map(tuple, sheet.cells.collect())) == [(2, "1", "2\n3"), (3, "4", "5")]
+
+
 def test_no_line_is_shuffled(spark, tmp_path):
     workbook = book(tmp_path, a=[[*NAMES, "Oral"], *[row("Ann", "Lee", "4")] * 50])
     (sheet,) = read_csv_sheets(spark, f"{workbook}/Sheet1")
