@@ -106,7 +106,7 @@ def _clean(column: str) -> str:
 
 def _sort_key(x: str) -> str:
     words = f"string_split({x}, ' ')"
-    term = f"replace(replace(upper({words}[-2]), 'FALL', '2'), 'SPRING', '1')"
+    term = f"replace(replace({_upper(words + '[-2]')}, 'FALL', '2'), 'SPRING', '1')"
     return (
         f"CASE WHEN NOT contains({x}, ' ') THEN NULL WHEN contains(upper({x}), 'NEW STUDENT') THEN {words}[-1] || '0' "
         f"WHEN contains(upper({x}), 'FALL') OR contains(upper({x}), 'SPRING') THEN {words}[-1] || {term} ELSE {x} END"
