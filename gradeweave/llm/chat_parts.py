@@ -9,7 +9,8 @@ has to fit into one row.
 
 Control strings begin with ``<|``. Inside texts and roles, every ``<`` with any
 number of backslashes and a ``|`` behind it gets one more backslash, so no
-control string can arise, and taking one away restores the text.
+control string can arise, and taking one away restores the text. Text parts in a row are escaped as one text, as
+a control string may be cut in two by them; they are one span of the loss mask as well.
 
 Defined results: a null text, part list or role counts as empty; a part of
 unknown kind counts as text; equal turn numbers are ordered by role, then
@@ -49,6 +50,13 @@ def escape(text: str) -> str:
     return re.sub(r"<(\\*)\|", r"<\\\1|", text)
 
 
+def escape_after(text: str, opened: bool) -> tuple[str, bool]:
+    """``text`` escaped behind a text that ends in ``<`` and backslashes, if ``opened``; and whether both together do."""
+    closes = opened and re.match(r"\\*\|", text)
+    still = re.search(r"<\\*\Z", text) or opened and not text.strip("\\")
+    return "\\" * bool(closes) + escape(text), bool(still)
+
+
 def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
@@ -71,6 +79,7 @@ class Flattener:
     length: int = 0
     loss: list[dict] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
+    opened: bool = False  # whether the text so far ends in what may begin a control string
 
     def put(self, piece: str) -> None:
         self.pieces.append(piece)
@@ -82,8 +91,11 @@ class Flattener:
 
     def visit_text(self, part: dict) -> None:
         begin = self.length
-        self.put(escape(part.get("text") or ""))
+        escaped, self.opened = escape_after(part.get("text") or "", self.opened)
+        self.put(escaped)
         if self.role == "assistant" and self.length > begin:
+            if self.loss and self.loss[-1]["end"] == begin:
+                begin = self.loss.pop()["begin"]
             self.loss.append({"begin": begin, "end": self.length})
 
     def visit_image(self, part: dict) -> None:
@@ -99,6 +111,7 @@ class Flattener:
     def attach(self, part: dict, tokens: int) -> None:
         self.attachments.append({"kind": part["kind"], "ref": part.get("ref"), "place": self.length, "tokens": tokens})
         self.put(f"<|{part['kind']}|>")
+        self.opened = False
 
     def turn(self, parts: list[dict]) -> dict:
         self.put(f"{START}{escape_role(self.role)}\n")

@@ -103,6 +103,26 @@ def test_parts_become_placeholders(spark):
     assert out[1].segment == "<|im_start|>user\n<|im_end|>\n" and out[2].segment == "<|im_start|>\n<|im_end|>\n"
 
 
+def test_control_strings_cut_into_parts_stay_text():
+    rng = random.Random(7)
+    pieces = [*CONTROL, "<", "|", "\\", "<\\", "<|", "|>", "<\\\\|", "a", "\n", "<|image|>"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 5)))
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 6)))
+        parts = [{"kind": "text", "text": text[a:b]} for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        at = rng.randint(0, len(parts))
+        for role, given, said in (("assistant", parts, [text]), ("user", parts, [text]),
+                                  ("assistant", [*parts[:at], {"kind": "image"}, *parts[at:]],
+                                   ["".join(p["text"] for p in half) for half in (parts[:at], parts[at:])])):
+            turn = chat_parts.Flattener(role, chat_parts.Expansion()).turn(given)
+            assert turn["segment"].count("<|im_start|>") == 1 and turn["segment"].count("<|im_end|>") == 1
+            assert turn["segment"].count("<|image|>") == len(said) - 1 and turn["segment"].count("<|") == 1 + len(said)
+            read_role, body = chat_parts.read_segment(turn["segment"])
+            assert (read_role, chat_parts.unescape(body)) == (role, "<|image|>".join(said))
+            spans = [chat_parts.unescape(turn["segment"][s["begin"]:s["end"]]) for s in turn["loss"]]
+            assert spans == ([t for t in said if t] if role == "assistant" else [])
+
+
 def test_digests_of_conversations(spark):
     rows = [(i % 7 if i % 11 else None, i // 7, random.Random(i).choice(["user", "assistant", None, "system\n"]), random.Random(i).choice([*CONTROL, None, "é" * 9]), "x")
             for i in range(300)]
