@@ -4,7 +4,11 @@ The index knows which document holds which line key (``refs``), how many documen
 largest of them (``counts``), and, per shard of keys, a cuckoo filter of the
 keys that enough documents hold (``filters``). Inserting and deleting documents
 move the counts; keys that cross the limit enter or leave the filters. So
-deleting what was inserted gives the index before it.
+deleting what was inserted gives the answers of the index before it.
+
+Filters follow their keys in size. A shard whose filter gets fuller than ``FULLEST``, or emptier than ``EMPTIEST``, is
+built anew from the counts, which are exact; and where all shards hold twice the keys they are meant for on average, or
+an eighth, all are built anew as more or fewer shards. The other shards only take up what changed.
 
 Cleaning asks the filters first and the counts only for keys that pass, so a
 false positive of a filter costs a lookup and never a line. Line and filter
@@ -39,6 +43,8 @@ MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys per filter, and lines per group that meets a filter, on average.
 SHARD_KEYS, GROUP_LINES = 50_000, 200_000
 SLOTS, KICKS = 4, 200
+#: Share of a filter's cells that may be taken, and that must be unless it has the smallest size.
+FULLEST, EMPTIEST, LEAST_BUCKETS = 0.85, 0.05, 16
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -73,7 +79,7 @@ class CuckooFilter:
 
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
-        buckets = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / (SLOTS * 0.7)))))
+        buckets = max(LEAST_BUCKETS, 1 << max(0, int(np.ceil(np.log2(max(1, keys) / (SLOTS * 0.7))))))
         return cls(np.zeros((buckets, SLOTS), np.uint16), [])
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,10 +164,15 @@ class LineIndex:
     def build(cls, docs: DataFrame) -> LineIndex:
         refs = materialize(line_refs(docs).distinct(), "line-refs")
         counts = materialize(_counted(refs), "line-counts")
-        common = _common(counts)
-        shards = max(1, -(-common.count() // SHARD_KEYS))
-        empty = docs.sparkSession.createDataFrame([], FILTER_SCHEMA)
-        return cls(refs, counts, _moved(empty, common.select("key", F.lit(True).alias("added")), shards), shards)
+        return cls._anew(refs, counts, _common(counts).count())
+
+    @classmethod
+    def _anew(cls, refs: DataFrame, counts: DataFrame, common: int) -> LineIndex:
+        """Index with filters built from the counts, of which ``common`` are of keys that enough documents hold."""
+        shards = max(1, -(-common // SHARD_KEYS))
+        empty = refs.sparkSession.createDataFrame([], FILTER_SCHEMA)
+        added = _common(counts).select("key", F.lit(True).alias("added"))
+        return cls(refs, counts, _moved(empty, _dealt(added, shards)), shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With more documents. What it knows of them already changes nothing."""
@@ -180,12 +191,24 @@ class LineIndex:
         return self._next(refs, counts)
 
     def _next(self, refs: DataFrame, counts: DataFrame) -> LineIndex:
+        keys = _dealt(_common(counts).select("key"), self.shards)
+        sizes = materialize(keys.groupBy("shard").agg(F.count("*").alias("n")), "line-shards")
+        common = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        if common > 2 * SHARD_KEYS * self.shards or 8 * common < SHARD_KEYS * self.shards and self.shards > 1:
+            return self._anew(refs, counts, common)
         before, after = _common(self.counts).select("key"), _common(counts).select("key")
         changes = (
             after.join(before, "key", "left_anti").withColumn("added", F.lit(True))
             .union(before.join(after, "key", "left_anti").withColumn("added", F.lit(False)))
         )
-        return LineIndex(refs, counts, _moved(self.filters, changes, self.shards), self.shards)
+        cells, share = F.length("cells") / 2, F.coalesce("n", F.lit(0)) * 2 / F.length("cells")
+        unfit = self.filters.join(sizes, "shard", "left").filter(
+            (share > FULLEST) | (share < EMPTIEST) & (cells > LEAST_BUCKETS * SLOTS)).select("shard")
+        unfit = materialize(unfit, "line-unfit")  # at most one row for each shard, some bytes
+        again = keys.join(F.broadcast(unfit), "shard", "left_semi").select("shard", "key", F.lit(True).alias("added"))
+        rest = _dealt(changes, self.shards).join(F.broadcast(unfit), "shard", "left_anti").select("shard", "key", "added")
+        held = self.filters.join(F.broadcast(unfit), "shard", "left_anti")
+        return LineIndex(refs, counts, _moved(held, rest.union(again)), self.shards)
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """doc_id, keys whose lines the document loses."""
@@ -223,10 +246,14 @@ def _common(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("n_docs") >= MIN_DOCS)
 
 
-def _moved(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
-    dealt = changes.withColumn("shard", _shard(shards))
+def _dealt(keys: DataFrame, shards: int) -> DataFrame:
+    return keys.withColumn("shard", _shard(shards))
+
+
+def _moved(filters: DataFrame, changes: DataFrame) -> DataFrame:
+    """Filters after the ``changes``: shard, key, and whether it was added."""
     return materialize(
-        filters.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(_updated, FILTER_SCHEMA), "line-filters")
+        filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, FILTER_SCHEMA), "line-filters")
 
 
 def _cleaned():

@@ -145,6 +145,25 @@ def test_deleting_what_was_inserted_restores_the_index(docs_of):
     assert {r[0] for r in cleaned(lost, shared) if r[1]} == {2}
 
 
+@pytest.mark.parametrize("shard_keys", [50_000, 40])
+def test_filters_grow_with_their_keys_and_shrink_again(docs_of, monkeypatch, shard_keys):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    lines = [f"line number {i} that is long enough" for i in range(3_000)]
+    few = docs_of([(d, "\n".join(lines[:5])) for d in range(3)])
+    many = docs_of([(10 + d, "\n".join(lines)) for d in range(3)])
+    index = line_dedup.LineIndex.build(few)
+    grown = index.insert(many)
+    state = grown.filters.collect()
+    assert sum(len(r.stash) for r in state) < 30 and sum(len(r.cells) for r in state) < 2 * 16 * 3_000
+    assert (grown.shards == 1) == (shard_keys > 3_000)
+    again = line_dedup.LineIndex.build(few.union(many))
+    assert cleaned(grown, few.union(many)) == cleaned(again, few.union(many))
+    back = grown.delete(many)
+    assert cleaned(back, few) == cleaned(index, few) and back.shards == index.shards
+    assert sum(len(r.cells) for r in back.filters.collect()) <= 4 * sum(len(r.cells) for r in index.filters.collect())
+    assert cleaned(back.insert(many), few.union(many)) == cleaned(again, few.union(many))
+
+
 def test_cuckoo_filter_holds_all_even_when_overfull():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
