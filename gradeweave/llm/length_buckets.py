@@ -5,28 +5,34 @@ over it finds the bucket boundaries with the least padding. Within a bucket,
 batches hold as many documents as fit a token budget when each is padded to the
 bucket's length.
 
-The histogram has one cell for each length up to ``EXACT_TO`` and above it 1024
-cells for each doubling. A cell counts its lengths one by one while they are at most ``EACH``, which holds for all
-cells of the first doubling; a cell with more is represented by the largest length in it, so every document fits its
-bucket. So boundaries are optimal, or optimal among these lengths and cells where cells hold more, and the histogram
-has a proven bound (about 1,100,000 entries) at any size of the corpus. A document longer than the budget is a batch of its
-own: nothing is cut.
+The histogram has one cell for each length up to ``EXACT_TO`` and above it 1024 cells for each doubling, so it has a
+proven bound at any size of the corpus. A cell knows its least and largest length. With every cell at its least length,
+the programme gives a cost that no choice of boundaries can undercut; where the cells it chooses hold one length each,
+that choice is possible, and so the best there is. Until then, the chosen cells are split into up to ``PARTS`` finer
+ones and the programme runs again: the lengths beside boundaries are told apart, and only these.
+
+A document longer than the budget is a batch of its own: nothing is cut. Texts are read once; lengths are stored with a
+running number, by which rows are dealt out, so that rows given many times do not meet in one task.
 
 Defined results: null lengths count as 0, equal lengths and repeated rows are
-ordered by a hash and stay apart, an empty table gives no rows, extra columns are dropped.
+ordered by a hash of their running number and stay apart, an empty table gives no rows, extra columns are dropped.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeweave.session import materialize
+
 #: Lengths counted one by one; a power of two.
 EXACT_TO = 65_536
-#: Different lengths that a cell counts one by one: all that the narrowest cells above EXACT_TO can hold.
-EACH = 64
+#: Cells that one is split into.
+PARTS = 1_024
 #: Rows that are numbered together when batches are formed, at least this many batches' worth.
 SHARD_ROWS, SHARD_BATCHES = 100_000, 64
 
@@ -92,14 +98,44 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return bounds[::-1]
 
 
-def histogram(lengths: DataFrame) -> DataFrame:
-    """longest, n for every occupied cell, or for each length of a cell with few; ``lengths`` has n_tokens."""
-    single = lengths.groupBy("n_tokens").agg(F.count("*").alias("n"))
-    by_cell = single.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(
-        F.collect_list(F.struct(F.col("n_tokens").alias("longest"), "n")).alias("each"),
-        F.struct(F.max("n_tokens").alias("longest"), F.sum("n").alias("n")).alias("whole"),
-    )
-    return by_cell.select(F.inline(F.when(F.size("each") <= EACH, F.col("each")).otherwise(F.array("whole"))))
+@dataclass(frozen=True, order=True)
+class Cell:
+    """A range of lengths, from the least to the largest that occurs in it, and how many documents have them."""
+
+    least: int
+    longest: int
+    n: int
+
+
+def histogram(counts: DataFrame) -> list[Cell]:
+    """The occupied cells, in order; ``counts`` has n_tokens and n. At most as many rows as there are cells."""
+    return _cells(counts, cell(F.col("n_tokens")))
+
+
+def _cells(counts: DataFrame, number: Column) -> list[Cell]:
+    n = F.col("n_tokens")
+    grouped = counts.groupBy(number.alias("cell")).agg(F.min(n).alias("least"), F.max(n).alias("longest"), F.sum("n").alias("n"))
+    return sorted(Cell(r["least"], r["longest"], r["n"]) for r in grouped.collect())
+
+
+def split(counts: DataFrame, wide: list[Cell]) -> list[Cell]:
+    """The cells that ``wide`` ones, at most one for each bucket, consist of; at most PARTS for each."""
+    n, number = F.col("n_tokens"), F.lit(None).cast("long")
+    for k, c in enumerate(wide):
+        part = F.floor((n - c.least) * F.lit(PARTS) / F.lit(max(PARTS, c.longest - c.least + 1)))
+        number = F.when(n.between(c.least, c.longest), F.lit(k * PARTS) + part).otherwise(number)
+    return _cells(counts.withColumn("part", number).filter("part is not null"), F.col("part"))
+
+
+def boundaries(counts: DataFrame, buckets: int) -> list[int]:
+    """Upper lengths of at most ``buckets`` buckets, of least padding among all; ``counts`` has n_tokens and n."""
+    cells = histogram(counts)
+    while True:
+        chosen = set(optimal_boundaries(np.array([c.least for c in cells]), np.array([c.n for c in cells]), buckets))
+        wide = [c for c in cells if c.least in chosen and c.least < c.longest]
+        if not wide:
+            return sorted(chosen)
+        cells = sorted([c for c in cells if c not in wide] + split(counts, wide))
 
 
 def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_536) -> DataFrame:
@@ -107,25 +143,27 @@ def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_53
 
     ``length`` is the token count as an expression over ``docs``. A batch is
     named by bucket, shard and batch; slot is a document's place in it. A
-    shard, found by a hash of doc_id, keeps numbering local: its last batch may
+    shard, found by a hash of a row's running number, keeps numbering local: its last batch may
     be short, one in SHARD_BATCHES or fewer.
     """
-    lengths = docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"))
-    cells = sorted((r["longest"], r["n"]) for r in histogram(lengths).collect())  # at most the bound above
-    xs, ns = np.array([c[0] for c in cells]), np.array([c[1] for c in cells])
-    bounds = optimal_boundaries(xs, ns, buckets) or [0]
+    lengths = materialize(docs.select(
+        "doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "pack-lengths")
+    counts = materialize(lengths.groupBy("n_tokens").agg(F.count("*").alias("n")), "pack-counts")
+    bounds = boundaries(counts, buckets) or [0]
     sizes = [max(1, budget // max(1, bound)) for bound in bounds]
-    held = [int(ns[(xs > below) & (xs <= bound)].sum()) for below, bound in zip([-1, *bounds], bounds, strict=False)]
+    bucket = sum((F.col("n_tokens") > b).cast("int") for b in bounds)
+    in_bucket = {r["bucket"]: r["n"] for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()}
+    held = [in_bucket.get(k, 0) for k in range(len(bounds))]
     shards = [max(1, n // max(SHARD_ROWS, size * SHARD_BATCHES)) for n, size in zip(held, sizes, strict=True)]
     of_bucket = lambda values: F.get(F.array(*map(F.lit, values)), F.col("bucket"))
     spread = (
-        lengths.withColumn("bucket", sum((F.col("n_tokens") > b).cast("int") for b in bounds))
-        .withColumn("mixed", F.xxhash64("doc_id", "n_tokens"))
+        lengths.withColumn("bucket", bucket)
+        .withColumn("mixed", F.xxhash64("row"))
         .withColumn("bucket_tokens", of_bucket(bounds).cast("long"))
         .withColumn("size", of_bucket(sizes))
         .withColumn("shard", F.pmod("mixed", of_bucket(shards)).cast("long"))
     )
-    order = Window.partitionBy("bucket", "shard").orderBy("mixed", "doc_id")
+    order = Window.partitionBy("bucket", "shard").orderBy("mixed", "row")
     numbered = spread.withColumn("place", F.row_number().over(order) - 1)
     return numbered.select(
         "doc_id", "n_tokens", "bucket", "bucket_tokens", "shard",
