@@ -1,11 +1,12 @@
 """HTML extraction with wrappers that are inferred per host.
 
-A page is a stream of tokens, tags and texts. Each element's stream of children is
-first folded: equal neighbours, single or in groups, become one repeated
-child. Then the pages of a host are aligned one after the other with the wrapper so
-far: children that match by tag are aligned in turn, a text that differs becomes a slot, a child that one side lacks
-becomes optional, and a child met several times repeated. A stream that grows
-too varied becomes one repeated group of optional children. There are
+A page is a stream of tokens, tags and texts. A tag is told by its name and its shape: whether it holds texts only, such
+elements, or deeper ones; classes and ids do not count, so they cannot make a wrapper grow. Within each element's stream
+of children, a run of one tag becomes one repeated child, and so does a repeated group of two or three, each in its
+place. Then the pages of a host are aligned one after the other with the wrapper so
+far: children that match are aligned in turn, a text that differs becomes a slot, a child that one side lacks
+becomes optional, and a child met several times repeated. A stream that stays longer than ``WIDE`` becomes one repeated
+group of optional children, of which there are no more than tags. There are
 no alternatives, so a wrapper is a union-free regular expression over tokens.
 
 Wrappers align with wrappers in the same way. So each task folds its pages into one
@@ -13,8 +14,11 @@ wrapper per host, and these are aligned in two steps per host; a host with a
 third of all pages is folded in all tasks.
 
 Extraction walks a page along its host's wrapper. Elements that are not content by their tag, role,
-class or id fall away. Of the rest, the article or main part counts, whole; a page without one gives its body without
-lists of links and without what the wrapper shows to be the template's (a text that stayed the same on ``ENOUGH``
+class or id fall away. Of the rest, a part that the page itself marks as its article or main counts, whole. On other
+pages the wrapper chooses the part: from the root on, it goes down to the child whose slots, over all pages of the host, hold
+``SHARE`` of the text in slots, until the text is spread over several children or a repeated one. Of that part, and of the
+body where the wrapper finds none on a page, lists of
+links fall away and what the wrapper shows to be the template's (a text that stayed the same on ``ENOUGH``
 pages whose longest texts, of those that count, differ). A text that the wrapper does not place is judged by the
 page alone.
 
@@ -43,7 +47,9 @@ from gradeweave.session import materialize
 ENOUGH = 5
 #: Children a wrapper's stream may have before it becomes a repeated group, hosts a task folds at a time, and parts in
 #: which a host's wrappers are aligned first.
-WIDE, HOSTS, PARTS = 16, 2_000, 64
+WIDE, HOSTS, PARTS = 128, 2_000, 64
+#: Share of the text in slots that a part has to hold to be the main one.
+SHARE = 0.7
 #: Nesting that wrappers tell apart; deeper elements are flat to them. The tree of a page has no bound.
 DEEP = 150
 
@@ -107,6 +113,10 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)
 SPACE = re.compile(r"\s+")
 
 
+#: Shapes of elements, by their height: of texts only, of such elements, of deeper ones.
+SHAPES = ("texts", "flat", "deep")
+
+
 class Element:
     """An element of a page: its name, what its attributes say of it, its children and texts in order.
 
@@ -117,14 +127,14 @@ class Element:
     the characters of such parts and of all texts but links outside what is dropped, and whether there is a heading.
     """
 
-    __slots__ = ("name", "label", "mark", "part", "kids", "texts", "linked", "main", "held", "only", "chars", "kept", "doubt", "heading")
+    __slots__ = ("name", "tag", "height", "mark", "part", "kids", "texts", "linked", "main", "held", "only", "chars", "kept", "doubt", "heading")
 
     def __init__(self, name: str, attributes: dict[str, str]):
         self.name, self.kids, self.part = name, [], ""
-        self.texts = self.linked = self.chars = self.kept = 0
+        self.texts = self.linked = self.chars = self.kept = self.height = 0
         self.main = self.held = self.only = self.doubt = self.heading = False
         named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-        self.label = f"{name}.{re.sub(r'[0-9]+', '', named)}" if named else name
+        self.tag = name
         hidden = "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         role = attributes.get("role", "").lower()
         if hidden or name in NOT_CONTENT or role in ROLES:
@@ -154,6 +164,7 @@ class Element:
                 continue
             self.texts += kid.texts
             self.linked += kid.linked
+            self.height = max(self.height, kid.height + 1)
             self.heading = self.heading or kid.heading or kid.name in ("h1", "h2")
             if kid.mark == "drop":
                 continue
@@ -164,6 +175,7 @@ class Element:
                 self.main = self.main or kid.main or kid.mark == "main" and kid.texts > 0
                 size += kid.kept
         self.kept = size
+        self.tag = f"{self.name}/{SHAPES[min(self.height, 2)]}"
         if self.part in ("main", "article"):
             self.chars = max(self.chars, size)
 
@@ -294,9 +306,10 @@ def _marked_inline(stack: list[Element], name: str) -> bool:
 
 
 # A wrapper's nodes are lists, which JSON can hold:
-#   ["#", value or None, linked, pages]       a text, its slot open (None) once values differ; until then, digests of
-#                                             up to ENOUGH pages that show it, by their longest text
-#   ["E", label, mark, children]              an element
+#   ["#", value or None, linked, pages, size] a text, its slot open (None) once values differ; until then, digests of
+#                                             up to ENOUGH pages that show it, by their longest text; size is the length
+#                                             of all texts met here, but of links and of what falls away
+#   ["E", tag, children]                      an element
 #   ["R", children]                           a repeated group of optional children
 # and a child is [node, optional, repeated].
 
@@ -313,36 +326,37 @@ def wrapper_of(page: Element) -> list:
     """The wrapper of a single page."""
     seen = _digest(max(counted(page, None), key=len, default=""))
 
-    def node(element: Element, depth: int) -> list:
+    def node(element: Element, depth: int, counts: bool) -> list:
+        counts = counts and element.mark not in ("drop", "header") and depth < DEEP
         kids = [
-            [node(kid, depth + 1) if isinstance(kid, Element) else ["#", _digest(kid[0]), kid[1], [seen]], False, False]
+            [node(kid, depth + 1, counts) if isinstance(kid, Element)
+             else ["#", _digest(kid[0]), kid[1], [seen], len(kid[0]) if counts and not kid[1] else 0], False, False]
             for kid in (element.kids if depth < DEEP else _texts(element))
         ]
-        return ["E", element.label, element.mark, folded(kids)]
+        return ["E", element.tag, folded(kids)]
 
-    return node(page, 1)
+    return node(page, 1, True)
 
 
 def folded(kids: list) -> list:
-    """Children with equal neighbours, then equal groups of two or three, as one repeated."""
+    """Children with a run of one symbol as one repeated child, then groups of two or three that repeat as one group."""
     out: list = []
     for kid in kids:
         if out and _symbol(out[-1][0]) == _symbol(kid[0]):
             out[-1] = [merged(out[-1][0], kid[0]), out[-1][1] and kid[1], True]
         else:
             out.append(kid)
-    for width in (2, 3) if len(out) <= 8 * WIDE else ():
+    for width in (2, 3):
         names = [_symbol(k[0]) for k in out]
-        place = 0
-        while place + 2 * width <= len(names):
+        done, place = [], 0
+        while place < len(out):
             times = 1
-            while names[place:place + width] == names[place + times * width:place + (times + 1) * width]:
+            while names[place:place + width] == names[place + times * width:place + (times + 1) * width] and place + (times + 1) * width <= len(names):
                 times += 1
-            if times > 1:
-                group = out[place:place + times * width]
-                out[place:place + times * width] = [[_group(group), False, True]]
-                names = [_symbol(k[0]) for k in out]
-            place += 1
+            taken = times * width if times > 1 and "(*)" not in names[place:place + width] else 1
+            done.append([_group(out[place:place + taken]), False, True] if taken > 1 else out[place])
+            place += taken
+        out = done
     return out if len(out) <= WIDE else [[_group(out), False, True]]
 
 
@@ -360,16 +374,15 @@ def merged(a: list, b: list) -> list:
     """The wrapper that matches whatever either of two nodes of one symbol matches."""
     if a[0] == "#":
         same = a[1] is not None and a[1] == b[1]
-        return ["#", a[1] if same else None, a[2] and b[2], sorted({*a[3], *b[3]})[:ENOUGH] if same else []]
+        return ["#", a[1] if same else None, a[2] and b[2], sorted({*a[3], *b[3]})[:ENOUGH] if same else [], a[4] + b[4]]
     if a[0] == "R":
         return _group(a[1] + b[1])
-    return ["E", a[1], a[2] if a[2] == b[2] else a[2] or b[2], aligned(a[3], b[3])]
+    return ["E", a[1], aligned(a[2], b[2])]
 
 
 def aligned(a: list, b: list) -> list:
-    """Two streams of children as one: a mismatch becomes an optional child or joins a repeated group."""
-    if any(k[0][0] == "R" for k in (*a, *b)):
-        return [[_group([*a, *b]), False, True]] if a and b else [[k[0], True, k[2]] for k in (a or b)]
+    """Two streams of children as one, along their longest common sequence: a child that one side lacks is optional, and
+    one that a group of the other side holds joins it."""
     x, y = [_symbol(k[0]) for k in a], [_symbol(k[0]) for k in b]
     n, m = len(x), len(y)
     longest = [[0] * (m + 1) for _ in range(n + 1)]
@@ -387,7 +400,53 @@ def aligned(a: list, b: list) -> list:
         else:
             out.append([b[j][0], True, b[j][2]])
             j += 1
-    return folded(out)
+    return _refolded(out)
+
+
+def _refolded(kids: list) -> list:
+    """Runs of one symbol that an alignment has brought together as one child, and a stream too long as one group."""
+    out: list = []
+    for kid in kids:
+        if out and _symbol(out[-1][0]) == _symbol(kid[0]):
+            out[-1] = [merged(out[-1][0], kid[0]), out[-1][1] and kid[1], True]
+        else:
+            out.append(kid)
+    return out if len(out) <= WIDE else [[_group(out), False, True]]
+
+
+def slot_text(node: list) -> int:
+    """Characters of all texts met in the open slots of a wrapper's node."""
+    if node[0] == "#":
+        return node[4] if node[1] is None or len(node[3]) < ENOUGH else 0
+    return sum(slot_text(k[0]) for k in node[-1])
+
+
+def main_nodes(root: list) -> list[list]:
+    """The nodes of a wrapper's main part: one element, or the forms it takes in turn, which stand side by side as optional
+    children of one name. None where the text is spread over the page."""
+    chosen, node, all_text = [], root, slot_text(root)
+    while all_text:
+        kids = node[2]
+        sizes = [slot_text(k[0]) for k in kids]
+        best = max(range(len(kids)), key=sizes.__getitem__, default=None)
+        if best is None or kids[best][0][0] != "E" or kids[best][2]:
+            break
+        name, shape = kids[best][0][1].split("/")
+        like = lambda k: k[1] and not k[2] and k[0][0] == "E" and k[0][1].split("/")[0] == name
+        first = last = best
+        while kids[best][1] and first > 0 and like(kids[first - 1]):
+            first -= 1
+        while kids[best][1] and last + 1 < len(kids) and like(kids[last + 1]):
+            last += 1
+        beside = [k for i, k in enumerate(kids) if not first <= i <= last and sizes[i]]
+        alone = not any(k[0][0] == "#" or k[0][0] == "R" or k[0][1].endswith("/texts") for k in beside)
+        if sum(sizes[first:last + 1]) < SHARE * all_text or shape == "texts" and not alone:
+            break
+        chosen = [k[0] for k in kids[first:last + 1]]
+        if last > first:
+            break
+        node = chosen[0]
+    return chosen
 
 
 def host(url: Column) -> Column:
@@ -440,16 +499,15 @@ class Slots:
 
     def __init__(self, wrapper: str):
         self.root = json.loads(wrapper)
+        self.main = {id(n) for n in main_nodes(self.root)}
 
     def child(self, kids: list, place: int, symbol: str) -> tuple[list | None, int]:
         """The wrapper's child that matches ``symbol`` at or behind ``place``, and the place to go on from."""
-        if len(kids) == 1 and kids[0][0][0] == "R":
-            return next((k[0] for k in kids[0][0][1] if _symbol(k[0]) == symbol), None), place
         for at in range(place, len(kids)):
-            node = kids[at][0]
+            node, _, repeated = kids[at]
             inner = next((k[0] for k in node[1] if _symbol(k[0]) == symbol), None) if node[0] == "R" else None
             if inner is not None or _symbol(node) == symbol:
-                return inner or node, at
+                return inner or node, at + (not repeated)
         return None, place
 
 
@@ -466,15 +524,23 @@ def main_text(page: str | None, slots: Slots | None) -> str:
 def counted(root: Element, slots: Slots | None) -> list[str]:
     """The texts that count, in order; without a wrapper, by the page alone. Where none does, a class or id that does not
     tell surely is not followed, and then all of the body counts."""
-    return _blocks(root, slots, root.main, False) or _blocks(root, slots, root.main, True) or _blocks(root, slots, False, True)
+    if not root.main and slots and slots.main and (found := _blocks(root, slots, PART, False)):
+        return found
+    marked = MARKED if root.main else BODY
+    return _blocks(root, slots, marked, False) or _blocks(root, slots, marked, True) or _blocks(root, slots, BODY, True)
+
+
+#: Where texts count: in the part that the page marks, in the wrapper's main part, or in the whole body.
+MARKED, PART, BODY = "marked", "part", "body"
 
 
-def _blocks(root: Element, slots: Slots | None, region: bool, trusting: bool) -> list[str]:
+def _blocks(root: Element, slots: Slots | None, where: str, trusting: bool) -> list[str]:
     blocks: list[str] = []
-    # Of each open element: children to come, its node, the place in the node's children, whether in the main part.
-    walk: list[list] = [[iter(root.kids), slots.root if slots else None, 0, False]]
+    # Of each open element: children to come, its node, the place in the node's children, whether in a marked part, and
+    # whether in the part that counts.
+    walk: list[list] = [[iter(root.kids), slots.root if slots else None, 0, False, where == BODY]]
     while walk:
-        kids, node, place, inside = walk[-1]
+        kids, node, place, marked, inside = walk[-1]
         kid = next(kids, None)
         if kid is None:
             walk.pop()
@@ -484,17 +550,20 @@ def _blocks(root: Element, slots: Slots | None, region: bool, trusting: bool) ->
         if not is_text and len(walk) >= DEEP:
             found = node
         elif node is not None and node[0] == "E":
-            found, walk[-1][2] = slots.child(node[3], place, "#" if is_text else f"<{kid.label}>")
+            found, walk[-1][2] = slots.child(node[2], place, "#" if is_text else f"<{kid.tag}>")
         if is_text:
             template = found is not None and len(found[3]) >= ENOUGH and found[1] == _digest(kid[0])
-            if inside or not region and not template:
+            if marked or inside and not template:
                 blocks.append(kid[0])
             continue
-        if kid.mark == "drop" and not (trusting and kid.doubt) or kid.mark == "header" and not (inside and kid.heading):
+        if kid.mark == "drop" and not (trusting and kid.doubt) or kid.mark == "header" and not (marked and kid.heading):
             continue
-        if not region and not inside and kid.texts > 1 and kid.texts == kid.linked:  # a list of links
+        if where != MARKED and not marked and kid.texts > 1 and kid.texts == kid.linked:  # a list of links
             continue
-        walk.append([iter(kid.kids), found, 0, inside or kid.mark == "main"])
+        walk.append([
+            iter(kid.kids), found, 0, marked or kid.mark == "main",
+            inside or where == PART and found is not None and id(found) in slots.main,
+        ])
     return blocks
 
 

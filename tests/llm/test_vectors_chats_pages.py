@@ -187,9 +187,9 @@ def test_template_texts_fall_away():
 def test_alignment_makes_options_and_repeats():
     tree = lambda h: wrappers.wrapper_of(wrappers.parsed(h))
     both = wrappers.merged(tree("<div><h1>a</h1><p>b</p></div>"), tree("<div><h1>c</h1><h2>d</h2><p>b</p><p>e</p></div>"))
-    kids = both[3][0][0][3]
-    assert [(k[0][1], k[1], k[2]) for k in kids] == [("h1", False, False), ("h2", True, False), ("p", False, True)]
-    group = tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")[3][0][0][3]
+    kids = both[2][0][0][2]
+    assert [(k[0][1], k[1], k[2]) for k in kids] == [("h1/texts", False, False), ("h2/texts", True, False), ("p/texts", False, True)]
+    group = tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")[2][0][0][2]
     assert len(group) == 1 and group[0][0][0] == "R" and group[0][2]
 
 
