@@ -3,14 +3,17 @@
 A vector's offset from its list's centre is rotated at random, and only the
 signs are kept, packed into bits, with two scalars: the offset's length and
 the inner product of the rotated unit offset with its code. From these a
-query's squared distance is estimated without bias, with a known error bound. Vectors whose lower
-bound does not exceed the distance of the k-th best so far are compared exactly, in
+query's squared distance is estimated without bias, from the packed bits by one table of 256 sums for each byte, with a
+known error bound. A query goes to its ``NEAR`` nearest lists first. The distance of the k-th best found there is its limit in
+all the others: lists whose ball lies beyond it are not visited, and of the others only vectors whose lower
+bound does not exceed it are compared exactly, in
 double precision; the others cannot be among the nearest but with the bound's small probability.
 
 Centres come from a bounded sample; every vector is indexed. A list is dealt out
 in blocks of ``BLOCK`` vectors, its queries in blocks of ``ASKED``, so a list that
 holds a third of all vectors is many tasks. Equal vectors are one entry with their
 smallest ids, one more than a query can return, so a group of copies costs one comparison.
+Rows of one vec_id with different vectors are candidates each; as queries, the one with the smallest vector asks.
 
 Defined results: vectors null, zero, holding null or non-finite components, or of
 another length than most, take no part; ties go to the smaller vec_id; a row given twice
@@ -39,6 +42,8 @@ PROBED = 1.0
 #: Standard deviations of the estimate that the error bound spans.
 BOUND = 3.0
 BLOCK, ASKED = 16_384, 1_024
+#: Lists that a query visits first; multiples of k + 1 of the best estimates that set a limit there.
+NEAR, TRIED = 4, 4
 SEED = 20_240
 
 
@@ -105,19 +110,28 @@ class RotatedCode:
         return home, np.packbits(bits, axis=1), length, np.where(length > 0, aligned, 1.0)
 
     def estimate(self, query: np.ndarray, home: int, codes: np.ndarray, length: np.ndarray, aligned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated squared distances of coded vectors from ``query``, and how far the bound lies below."""
+        """Estimated squared distances of vectors from ``query``, and how far the bound lies below. ``codes`` are packed."""
         d = len(query)
         offset = query - self.centres[home]
         far = np.linalg.norm(offset)
         turned = (offset / (far or 1.0)) @ self.rotation
-        # A code's inner product with the query: signs as -1 and 1 are twice the bits less one.
-        inner = (2 * (codes @ turned) - turned.sum()) / np.sqrt(d)
+        # A code's inner product with the query: signs as -1 and 1 are twice the bits less one. The sum over the set bits
+        # of a byte is looked up.
+        sums = np.pad(turned, (0, -d % 8)).reshape(-1, 8) @ BITS.T
+        bits = np.zeros(len(codes))
+        for k in range(codes.shape[1]):
+            bits += sums[k][codes[:, k]]
+        inner = (2 * bits - turned.sum()) / np.sqrt(d)
         scale = 2 * length * far
         estimate = length**2 + far**2 - scale * inner / aligned
         error = np.sqrt(np.clip(1 - aligned**2, 0, None)) / aligned * BOUND / np.sqrt(max(1, d - 1))
         return estimate, scale * error
 
 
+#: The bits of every byte, the highest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -148,15 +162,41 @@ def index(vectors: DataFrame, code: RotatedCode) -> DataFrame:
     return vectors.withColumn("coded", coded.asNondeterministic()("vec")).select("vec", "ids", "coded.*")
 
 
-def _probes(code: RotatedCode, queries: DataFrame, share: float) -> Column:
-    shared, n = queries.sparkSession.sparkContext.broadcast(code), max(1, int(np.ceil(len(code.centres) * share)))
+def _probes(code: RotatedCode, queries: DataFrame, radii: np.ndarray, share: float, first: bool) -> DataFrame:
+    """``queries`` once for each list they visit: at first the NEAR nearest; then, of the share that is searched, the
+    others that their limit reaches."""
+    shared = queries.sparkSession.sparkContext.broadcast((code.centres, radii))  # at most MOST_LISTS
+    near, n = min(NEAR, len(code.centres)), max(1, int(np.ceil(len(code.centres) * share)))
 
     @F.arrow_udf("array<int>")
-    def lists(rows: pa.Array) -> pa.Array:
-        found = nearest_centres(_matrix(rows), shared.value.centres, n) if len(rows) else np.zeros((0, n))
-        return pa.array(found.astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-    return F.explode(lists("vec"))
+    def lists(rows: pa.Array, limits: pa.Array) -> pa.Array:
+        if not len(rows):
+            return pa.array([], pa.list_(pa.int32()))
+        centres, wide = shared.value
+        vectors = _matrix(rows)
+        order = nearest_centres(vectors, centres, n)
+        if first:
+            return pa.array(order[:, :near].astype(np.int32).tolist(), pa.list_(pa.int32()))
+        out = []
+        for vector, places, limit in zip(vectors, order[:, near:], limits.to_numpy(zero_copy_only=False), strict=True):
+            ball = np.linalg.norm(centres[places] - vector, axis=1) - wide[places]
+            out.append(places[ball <= limit * (1 + 1e-9)].astype(np.int32).tolist())
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return queries.withColumn("list", F.explode(lists("vec", "limit")))
+
+
+def nearest_in_block(code: RotatedCode, query: np.ndarray, limit: float, k: int, home: int, held: dict) -> np.ndarray:
+    """Places of the vectors of a block that are to be compared exactly."""
+    if len(held["vectors"]) <= k + 1:
+        return np.arange(len(held["vectors"]))
+    estimate, error = code.estimate(query, home, held["codes"], held["length"], held["aligned"])
+    first = np.zeros(0, np.int64)
+    if not np.isfinite(limit):  # nothing is known yet: the best by estimate set a limit
+        n = min(len(estimate), TRIED * (k + 1))
+        first = np.argpartition(estimate, n - 1)[:n]
+        limit = np.sqrt(np.sort(((held["vectors"][first] - query) ** 2).sum(axis=1))[k])
+    return np.union1d(np.flatnonzero(estimate - error <= limit**2 * (1 + 1e-9)), first)
 
 
 def _best_in_block(code, k: int):
@@ -166,18 +206,14 @@ def _best_in_block(code, k: int):
         found = []
         if len(asked) and len(held):
             held = held.sort_values("lowest", kind="stable")
-            vectors, lowest = np.stack(held["vec"].to_numpy()), held["lowest"].to_numpy()
-            bits = np.unpackbits(np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1), axis=1)
-            codes = bits[:, :vectors.shape[1]].astype(np.float64)
-            length, aligned, home = held["length"].to_numpy(), held["aligned"].to_numpy(), int(held["list"].iloc[0])
-            ids, exact = held["ids"].to_numpy(), lambda q, at: np.sqrt(((vectors[at] - q) ** 2).sum(axis=1))
-            for asker, query in zip(asked["asker"], asked["vec"], strict=True):
-                estimate, error = code.value.estimate(query, home, codes, length, aligned)
-                first = np.argpartition(estimate, min(k, len(held) - 1))[:k + 1]
-                limit = exact(query, first).max() ** 2 * (1 + 1e-9)
-                at = np.flatnonzero(estimate - error <= limit) if len(held) > k + 1 else np.arange(len(held))
-                at = np.union1d(at, first)
-                distance = exact(query, at)
+            ids, lowest, home = held["ids"].to_numpy(), held["lowest"].to_numpy(), int(held["list"].iloc[0])
+            block = {
+                "vectors": np.stack(held["vec"].to_numpy()), "length": held["length"].to_numpy(), "aligned": held["aligned"].to_numpy(),
+                "codes": np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1),
+            }
+            for asker, query, limit in zip(asked["asker"], asked["vec"], asked["limit"], strict=True):
+                at = nearest_in_block(code.value, query, limit, k, home, block)
+                distance = np.sqrt(((block["vectors"][at] - query) ** 2).sum(axis=1))
                 chosen = np.lexsort((lowest[at], distance))[:k + 1]
                 found.extend((asker, distance[c], lowest[at[c]], ids[at[c]]) for c in chosen)
         return pd.DataFrame(found, columns=["asker", "score", "lowest", "ids"])
@@ -185,30 +221,48 @@ def _best_in_block(code, k: int):
     return best
 
 
-def search(entries: DataFrame, code: RotatedCode, queries: DataFrame, k: int, share: float = PROBED) -> DataFrame:
-    """asker, score, lowest, ids: the k + 1 nearest entries of each query. ``queries`` has asker and vec."""
-    lists = materialize(
-        entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "ann-lists")
-    asked = queries.withColumn("list", _probes(code, queries, share))
+def _visit(entries: DataFrame, code: RotatedCode, asked: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """The k + 1 nearest entries of each query over the lists that it visits. ``asked`` has asker, vec, limit and list."""
     asking = materialize(
         asked.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("long").alias("askings")), "ann-askings")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = (
         asked.join(lists, "list").join(asking, "list").withColumn("part", F.pmod(F.xxhash64("asker"), F.col("askings")))
-        .withColumn("block", every("blocks")).select("list", "block", "part", "asker", "vec")
+        .withColumn("block", every("blocks")).select("list", "block", "part", "asker", "vec", "limit")
     )
     right = (
         entries.join(lists, "list").join(asking, "list").withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")))
         .withColumn("part", every("askings")).withColumn("lowest", F.col("ids")[0])
         .select("list", "block", "part", "vec", "ids", "lowest", "code", "length", "aligned")
     )
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
     shared, keys = entries.sparkSession.sparkContext.broadcast(code), ["list", "block", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         _best_in_block(shared, k), "asker long, score double, lowest long, ids array<long>")
+    return _first(found, k)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("asker").orderBy("score", "lowest"))
     return found.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place")
 
 
+def search(entries: DataFrame, code: RotatedCode, queries: DataFrame, k: int, share: float = PROBED) -> DataFrame:
+    """asker, score, lowest, ids: the k + 1 nearest entries of each query. ``queries`` has asker and vec."""
+    lists = materialize(
+        entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.max("length").alias("radius")), "ann-lists")
+    radii = np.zeros(len(code.centres))
+    for r in lists.collect():  # at most MOST_LISTS
+        radii[r["list"]] = r["radius"]
+    nothing = F.lit(float("inf"))
+    near = _probes(code, queries.withColumn("limit", nothing), radii, share, True)
+    begun = materialize(_visit(entries, code, near, lists.drop("radius"), k), "ann-first")
+    limits = begun.groupBy("asker").agg(F.max("score").alias("limit"), F.count("*").alias("n")).filter(F.col("n") == k + 1).drop("n")
+    limited = queries.join(limits, "asker", "left").withColumn("limit", F.coalesce("limit", nothing))
+    rest = materialize(_probes(code, limited, radii, share, False), "ann-rest")
+    return _first(begun.union(_visit(entries, code, rest, lists.drop("radius"), k)), k)
+
+
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -220,7 +274,7 @@ def nearest(rows: DataFrame, asks: Column, k: int = 10, share: float = PROBED) -
     if code is None:
         return rows.sparkSession.createDataFrame([], RESULT)
     entries = materialize(index(distinct, code), "ann-index")
-    askers = vectors.filter(asks).select(F.col("vec_id").alias("query_id"), "vec").distinct()
+    askers = vectors.filter(asks).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
     first = materialize(askers.groupBy("vec").agg(F.min("query_id").alias("asker")), "ann-queries")
     found = search(entries, code, first, k, share)
     members = askers.join(first, "vec").select("asker", "query_id")  # equal queries are asked once

@@ -69,14 +69,52 @@ def test_bound_covers_the_estimates_error():
     rows, queries = rng.standard_normal((800, 64)), rng.standard_normal((20, 64))
     code = rotated_codes.RotatedCode.of(rotated_codes.fit_centres(rows, 1))
     home, bits, length, aligned = code.encode(rows)
-    codes = np.unpackbits(bits, axis=1)[:, :64].astype(float)
     outside = 0
     for q in queries:
-        estimate, error = code.estimate(q, 0, codes, length, aligned)
+        estimate, error = code.estimate(q, 0, bits, length, aligned)
         outside += (np.abs(estimate - ((rows - q) ** 2).sum(axis=1)) > error).sum()
     assert outside < 0.01 * 800 * 20
 
 
+def test_sums_looked_up_are_inner_products_with_the_signs():
+    rng = np.random.default_rng(3)
+    for d in (1, 7, 8, 20):
+        rows, q = rng.standard_normal((50, d)), rng.standard_normal(d)
+        code = rotated_codes.RotatedCode.of(np.zeros((1, d)))
+        _, bits, length, aligned = code.encode(rows)
+        signs = 2.0 * np.unpackbits(bits, axis=1)[:, :d] - 1
+        far = np.linalg.norm(q)
+        want = length**2 + far**2 - 2 * length * far * (signs @ (q / far @ code.rotation)) / np.sqrt(d) / aligned
+        assert np.allclose(code.estimate(q, 0, bits, length, aligned)[0], want)
+
+
+def test_a_limit_from_near_lists_spares_most_exact_comparisons():
+    rng = np.random.default_rng(0)
+    rows = rng.standard_normal((40_000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    code = rotated_codes.RotatedCode.of(rotated_codes.fit_centres(rows[:20_000], 50, 4))
+    home, bits, length, aligned = code.encode(rows)
+    members = [np.flatnonzero(home == h) for h in range(50)]
+    held = [{"vectors": rows[m], "codes": bits[m], "length": length[m], "aligned": aligned[m]} for m in members]
+    compared = hits = 0
+    for q in range(0, 40_000, 2_000):
+        found, limit = [], np.inf
+        for place, h in enumerate(rotated_codes.nearest_centres(rows[q:q + 1], code.centres, 50)[0]):
+            at = rotated_codes.nearest_in_block(code, rows[q], limit if place >= rotated_codes.NEAR else np.inf, 10, h, held[h])
+            compared += len(at)
+            found += zip(np.linalg.norm(rows[members[h][at]] - rows[q], axis=1).tolist(), members[h][at].tolist(), strict=True)
+            if place == rotated_codes.NEAR - 1:
+                limit = sorted(found)[10][0]
+        hits += len({v for _, v in sorted(found)[:11]} & set(np.argsort(((rows - rows[q]) ** 2).sum(axis=1))[:11].tolist()))
+    assert compared < 0.3 * 20 * 40_000 and hits >= 0.99 * 20 * 11
+
+
+def test_of_rows_of_one_id_the_smallest_vector_asks(spark):
+    rows = [(100, [0.0, 5.0], 0, 0.0), (100, [0.0, 1.0], 0, 0.0), (3, [0.0, 2.0], 0, 0.0), (3, [0.0, 4.9], 0, 0.0), (4, [9.0, 9.0], 0, 0.0)]
+    got = rotated_codes.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, k=2).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 1)) for r in got] == [(3, 1.0), (3, 3.9)]
+
+
 CONTROL = ["<|im_end|>", "<|im_start|>assistant ok", "<\\|x|>", "<\\\\|", "<||", "a<|b", "\\<|image|>", "<", "|", ""]
 
 
