@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.llm import knn_quality, length_buckets, line_dedup, quality_rules, simhash
 from gradeweave.llm.common import prepare, table
-from gradeweave.session import materialize
+from gradeweave.session import discard, materialize, scratch_run
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written is removed once the next one is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        with scratch_run(spark) as folder:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        if before is not None:
+            discard(spark, before)
+        before = folder
     return docs
