@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -52,7 +54,9 @@ def prepare(spark: SparkSession) -> None:
     if getattr(context, "_gradeweave_sent", False):
         return
     package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="gradeweave-py-")) / "gradeweave.zip"
+    folder = tempfile.mkdtemp(prefix="gradeweave-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark keeps the copy that it serves
+    archive = Path(folder) / "gradeweave.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for module in sorted(package.rglob("*.py")):
             z.write(module, module.relative_to(package.parent))

@@ -141,6 +141,15 @@ def test_parts_become_placeholders(spark):
     assert out[1].segment == "<|im_start|>user\n<|im_end|>\n" and out[2].segment == "<|im_start|>\n<|im_end|>\n"
 
 
+def test_very_long_texts_are_formatted_whole(spark):
+    text = "word <| and é " * 200_000
+    turns = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    made = chat_parts.format_turns(turns.withColumn("parts", chat_parts.text_part(F.col("text"))))
+    (r,) = chat_parts.conversation_digests(made).collect()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256(f"assistant\n{text}\nuser\n\n".encode()).hexdigest()
+
+
 def test_control_strings_cut_into_parts_stay_text():
     rng = random.Random(7)
     pieces = [*CONTROL, "<", "|", "\\", "<\\", "<|", "|>", "<\\\\|", "a", "\n", "<|image|>"]
@@ -236,8 +245,11 @@ def test_odd_pages(spark):
     rows = [(1, None, None), (2, "not a url", ""), (3, "http://X.example/", "plain <b>x</b> &lt;y&gt; 1 < 2"), (4, None, deep),
             (5, "http://x.example/", "<p>" + "word " * 60_000), (5, "http://x.example/", "<p>again"), (None, "", "<article>a<br>b</article>c"),
             (7, "u", "<!-- <p>no --><![CDATA[no]]><article><p>yes</article"), (8, "u", "<li>" * 4000 + "x<p><h2>y")]
-    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() if r.page_id != 5}
-    assert got == {1: "", 2: "", 3: "plain x <y> 1 < 2", 4: "deep text", None: "a b", 7: "yes</article", 8: "x\n\ny"}
+    rows += [(9, "http://z.example/", "<p>twice</p>")] * 2
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(1, ""), (2, ""), (3, "plain x <y> 1 < 2"), (4, "deep text"), (5, ("word " * 60_000).strip()), (5, "again"), (None, "a b"),
+            (7, "yes</article"), (8, "x\n\ny"), (9, "twice"), (9, "twice")]
+    assert sorted(str((r.page_id, r.text)) for r in got) == sorted(map(str, want))
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert wrappers.extract(empty).count() == 0
 
