@@ -507,6 +507,10 @@ WHERE student_identifier IN (SELECT student_identifier FROM scores WHERE semeste
     "report_cells": f"WITH {RAW_REPORT} SELECT * EXCLUDE (first_ord) FROM shown",
     "report_grid": f"WITH {RAW_REPORT},{GRID} SELECT * FROM grid",
     "report_pivot": _pivot(),
+    "report_pivot_map": f"""WITH {RAW_REPORT} SELECT student_identifier, score_name,
+  string_agg(semester, '|' ORDER BY semester_sort, first_ord) AS semesters,
+  string_agg(yours, '|' ORDER BY semester_sort, first_ord) AS yours
+FROM shown GROUP BY student_identifier, score_name""",
     "students_by_last_name": f"WITH {RAW_REPORT} SELECT * FROM student_places",
     "student_semesters": f"WITH {RAW_REPORT} SELECT * FROM semester_places",
     "student_assessments": f"WITH {RAW_REPORT} SELECT * FROM score_places",
@@ -539,6 +543,12 @@ SELECT a.part, a.name, b.name AS other FROM n a JOIN n b ON a.part = b.part AND
 WHERE levenshtein(a.up, b.up) <= 1""",
     "similar_first_names": _alike("first"),
     "similar_last_names": _alike("last"),
+    "name_blocks": f"""WITH {SCORES},{SWAPS},{_names('swapped')},
+linked AS (SELECT DISTINCT x.part, x.a_code, n.up AS a, m.up AS b FROM alike x
+  JOIN names n ON n.part = x.part AND n.name = x.a JOIN names m ON m.part = x.part AND m.name = x.b WHERE x.a_code <> x.b_code),
+counted AS (SELECT part, a_code, count(*) AS links FROM linked GROUP BY ALL)
+SELECT n.part, n.code, count(DISTINCT n.up) AS names, count(*) AS spellings, coalesce(any_value(c.links), 0) AS links
+FROM names n LEFT JOIN counted c ON c.part = n.part AND c.a_code = n.code GROUP BY n.part, n.code""",
     "maximal_name_sets": f"WITH {SCORES},{SWAPS},{LIKENESS} SELECT part, name, owner_name, set_size FROM used",
     "name_pair_edges": f"""WITH {SCORES},{SWAPS},{LIKENESS},{EDGES},
 firsts AS (SELECT taken, min(taker) AS taker FROM takes GROUP BY 1)

@@ -262,6 +262,16 @@ def report_pivot(spark, sf_dir):
     return rep.report_pivot(report_cells_of(spark, sf_dir), semesters)
 
 
+@register
+def report_pivot_map(spark, sf_dir):
+    """The pivot as a map, its keys and values in order."""
+    rows = rep.report_pivot_map(report_cells_of(spark, sf_dir))
+    listed = lambda x: F.array_join(x, "|")
+    return rows.select(
+        "student_identifier", "score_name", listed(F.map_keys("semesters")).alias("semesters"),
+        listed(F.map_values("semesters")).alias("yours"))
+
+
 @register
 def students_by_last_name(spark, sf_dir):
     return odr.students_by_last_name(averages_of(cells_of(spark, sf_dir)))
@@ -344,6 +354,12 @@ def similar_last_names(spark, sf_dir):
     return alike_names(spark, sf_dir, "last")
 
 
+@register
+def name_blocks(spark, sf_dir):
+    """Names, spellings and links of every sound code."""
+    return lik.name_blocks(lik.name_graph(lik.distinct_names(swapped_identities_of(spark, sf_dir))))
+
+
 @register
 def maximal_name_sets(spark, sf_dir):
     """Each distinct name with the set it uses, named by the set's owner."""
