@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from gradeweave.llm import components as comp
 from gradeweave.llm import line_dedup, simhash
+from gradeweave.operators import components as comp
 
 LONG = " ".join(f"w{i % 977}" for i in range(90_000))
 
