@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeweave.functions.text import sound_code
 from gradeweave.operators import clusters as clu
 from gradeweave.operators import likeness as lik
+from gradeweave.operators.components import components
 from gradeweave.plans.validate import repair_misspelled
 from tests.model import alike, near, respell, sound, used_sets
 
@@ -166,3 +167,9 @@ def test_sets_with_one_fingerprint_are_compared_link_by_link(spark, monkeypatch,
     constant = [F.lit(0).cast("decimal(30,0)").alias("print_1"), F.lit(0).cast("long").alias("print_2")]
     monkeypatch.setattr(lik, "_fingerprints", lambda: [F.max(c).alias(n) for c, n in zip(constant, ("print_1", "print_2"))])
     test_used_sets(spark, crowd_of)
+
+
+def test_components_of_a_chain_a_star_and_a_loop(spark):
+    links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 15)] + [(5, 5), (200, 201), (201, 202), (202, 200)]
+    found = {r.u: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(1, 21)} | {100 + i: 100 for i in range(1, 15)} | {201: 200, 202: 200}
