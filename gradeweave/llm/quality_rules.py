@@ -26,6 +26,8 @@ STOP_WORDS = (
     "für", "es", "als", "auch", "an",
     "el", "los", "y", "las", "por", "con", "para", "al", "lo", "como", "del", "se", "su", "no", "más",
 )
+#: The same with one mark behind them: looked up whole, a word needs no cutting.
+STOP_FORMS = tuple(w + mark for w in STOP_WORDS for mark in ("", ".", ",", ";", ":"))
 
 
 @dataclass(frozen=True)
@@ -68,15 +70,18 @@ def _repeated_starts(windows: Column) -> Column:
 
 
 def repeat_words(ws: Column) -> Column:
-    """Words in three-word windows that the text holds twice or more. Texts whose windows all differ are not sorted."""
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(ws) - 3),
-        lambda i: F.struct(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.alias("i")),
-    )
-    counted = let(windows, lambda v: F.when(
-        F.size(F.array_distinct(F.transform(v, lambda x: x["w"]))) < F.size(v),
-        let(F.array_sort(v), lambda s: _covered(_repeated_starts(s))),
-    ).otherwise(0))
+    """Words in three-word windows that the text holds twice or more.
+
+    Windows are told apart by a hash first: as many hashes as windows say that all differ. Only other texts have their
+    windows spelt out and sorted.
+    """
+    window = lambda i: [F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)]
+    places = F.sequence(F.lit(0), F.size(ws) - 3)
+    hashes = F.transform(places, lambda i: F.xxhash64(*window(i)))
+    spelt = F.transform(places, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("w"), i.alias("i")))
+    counted = F.when(
+        F.size(F.array_distinct(hashes)) < F.size(ws) - 2, let(F.array_sort(spelt), lambda s: _covered(_repeated_starts(s))),
+    ).otherwise(0)
     return F.when(F.size(ws) < 4, 0).otherwise(counted)
 
 
@@ -84,14 +89,13 @@ def _counts(text: Column) -> Column:
     """All counts of one text, its words split once."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    lower = lambda w: F.regexp_replace(F.lower(w), "[.,;:]$", "")
     return let(words(text), lambda ws: F.struct(
         F.size(ws).cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, f"{WHITE}+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines"),
         repeat_words(ws).cast("long").alias("n_repeat_words"),
-        F.size(F.filter(ws, lambda w: lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(ws, lambda w: F.lower(w).isin(*STOP_FORMS))).cast("long").alias("n_stop_words"),
         F.size(lines).cast("long").alias("n_lines"),
     ))
 
