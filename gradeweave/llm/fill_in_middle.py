@@ -32,7 +32,7 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SENTINEL = 3
 PLAIN, PSM, SPM = "plain", "psm", "spm"
 #: Bytes for which displacements are held at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 17
 
 
 @dataclass(frozen=True)

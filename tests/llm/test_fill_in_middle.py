@@ -66,3 +66,9 @@ def test_policy_decides_the_shares(docs_of):
     docs = docs_of([f"text {i}" for i in range(300)])
     forms = lambda **p: {r.form for r in fim.fill_in_middle(docs, policy=fim.Policy(**p)).select("fim.form").collect()}
     assert forms(plain=100) == {"plain"} and forms(plain=0, suffix_first=100) == {"spm"} and forms(plain=0, suffix_first=0) == {"psm"}
+
+
+def test_windows_hold_few_bytes():
+    """Besides the texts, a worker holds some numbers of eight bytes for each byte of a window: at most 1 MB each."""
+    assert all(8 * (end - begin) <= 1 << 20 for begin, end in fim.windows(10_000_000))
+    assert sum(end - begin for begin, end in fim.windows(10_000_000)) == 10_000_000
