@@ -22,6 +22,7 @@ from gradeweave.functions.text import (
     text_or_empty,
 )
 from gradeweave.schema import SCORE_COLUMNS, SCORE_PRECISION, SCORE_SCALE, columns_per_row
+from gradeweave.session import bound_methods
 from gradeweave.sources.sheets import ROW_NO, Sheet, cell
 
 # Header texts, labels and messages of the sheet format.
@@ -126,6 +127,7 @@ def select_columns(sheet: Sheet, layout: Layout) -> DataFrame:
 
 def sheet_rows(sheet: Sheet, layout: Layout) -> DataFrame:
     """Cleaned attributes and identifier beside the raw cells."""
+    bound_methods(sheet.cells.sparkSession)
     attributes = [clean(F.col(cell(c))).alias(name) for name, c in layout.attributes.items()]
     named = sheet.cells.select(ROW_NO, *attributes, *[cell(c) for c in layout.scanned])
     return named.withColumn("student_identifier", full_name(F.col("first_name"), F.col("last_name")))

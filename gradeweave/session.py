@@ -78,6 +78,18 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The JVM never compiles a longer method (in bytes of code). Spark then runs the operators of a stage one by one instead.
+METHOD_BYTES = 8_000
+METHOD_SETTING = "spark.sql.codegen.hugeMethodLimit"
+
+
+def bound_methods(spark: SparkSession) -> None:
+    """Where the session leaves Spark's default, keep generated code to what the JVM compiles. A sheet's many cells are
+    cleaned and parsed by one method otherwise, which is then interpreted for every row."""
+    if spark.conf.get(METHOD_SETTING, "65535") == "65535":
+        spark.conf.set(METHOD_SETTING, METHOD_BYTES)
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """Name of a new folder for tables written part by part."""
     return f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
