@@ -281,3 +281,15 @@ def test_token_counts_equal_brute_force(spark, docs_of, monkeypatch):
     for w in ("under", "understand", "underx", "under"):
         assert trie[w] == fewest_tokens(scores, w)
     assert token_counts.token_counts(docs_of(["x"]).limit(0), PIECES).count() == 0
+
+
+def test_a_worker_holds_a_small_trie(monkeypatch):
+    """Workers outnumber cores when tasks are short: a full trie with its words stays near 60 MB, and counts as an empty one does."""
+    assert token_counts.NODES <= 200_000 and token_counts.WORDS <= 100_000
+    scores = {token_counts.MARK: -5, "a": -7, "ab": -6, "b": -7}
+    trie, alone = token_counts.ForwardTrie(scores), token_counts.ForwardTrie(scores)
+    monkeypatch.setattr(token_counts, "WORDS", 10)
+    spelt = ["".join("ab"[n >> k & 1] for k in range(6)) for n in range(64)]
+    counts = [trie[word] for word in spelt]
+    assert len(trie) <= 11
+    assert counts == [alone.restart() or alone[word] for word in spelt]
